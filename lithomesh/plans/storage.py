@@ -56,8 +56,3 @@ def discard(df: DataFrame) -> None:
         target = jvm.org.apache.hadoop.fs.Path(path)
         conf = df.sparkSession._jsc.hadoopConfiguration()
         target.getFileSystem(conf).delete(target, True)
-
-
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch; with rows of documents this bounds a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

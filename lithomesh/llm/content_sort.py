@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithomesh.plans.storage import arrow_rows, materialise
+from lithomesh.plans.session import prepare_workers
+from lithomesh.plans.storage import materialise
 
 #: Characters of the normalised text that splitters carry.
 LEAD = 32
@@ -127,7 +128,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
+    prepare_workers(spark, 512)
     fields = [f for f in docs.schema.fields] if carry else []
     carried = [f"c{i}" for i in range(len(fields))]
     order = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from lithomesh.llm import content_sort
+from lithomesh.llm import bpe, chat_format, content_sort, packing, warc
 
 QUERIES = {
     "op3_content_sort": content_sort.op3_content_sort,
+    "op4_packing": packing.op4_packing,
+    "op5_warc": warc.op5_warc,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op7_bpe": bpe.op7_bpe,
 }
 
 SQL = {
     "op3_content_sort": content_sort.OP3_SQL,
+    "op5_warc": warc.OP5_SQL,
+    "op6_chat_format": chat_format.OP6_SQL,
 }

@@ -23,7 +23,7 @@ from lithomesh.operators.components import connected_components
 from lithomesh.plans.session import prepare_workers
 from lithomesh.plans.storage import materialise
 
-PREFIX = 6
+PREFIX = 8
 SHARED = 2
 #: Entries of a block of a list.
 BLOCK = 2048
@@ -152,7 +152,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     nothing: no links, their own id as component, kept. Equal vectors link with
     each other, and rows that repeat an id are kept alike. An empty table gives an
     empty result; other columns are ignored. The result is approximate: links are
-    never wrong, and of pairs at the threshold itself about 0.98 are found.
+    never wrong, and of pairs at the threshold itself over 0.99 are found.
     """
     spark = vectors.sparkSession
     prepare_workers(spark, 4096)

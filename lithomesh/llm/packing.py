@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithomesh.llm.tokens import ChunkTokenizer
+from lithomesh.llm.tokens import chunk_tokenizer
 from lithomesh.plans.session import prepare_workers
 
 #: Windows that a batch fills.
@@ -202,7 +202,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     prepare_workers(docs.sparkSession, 512)
 
     def run(batches):
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = chunk_tokenizer(tokenizer_path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], np.uint32)
 

@@ -1,29 +1,336 @@
-"""Named queries over the test tables and the SQL that states their results."""
+"""Named queries over the test tables, and the SQL that states their results.
+
+The table of embeddings stands in for a point cloud: position, colour and normal
+are taken from its first nine components, the label is the object, and ids modulo
+``SCENES`` are scenes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithomesh.operators import analysis, cut_pursuit, edges, features, geodesic, linkage, neighbours, regions, scoring, supervoxels, voxel_graph, voxels
+from lithomesh.operators.components import connected_components
+from lithomesh.plans.storage import materialise
+
+SCENES = 5
+CELL = 0.15
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = [F.col("embedding")[i].cast("double") for i in range(9)]
+    length = F.sqrt(e[6] * e[6] + e[7] * e[7] + e[8] * e[8])
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("s"), (F.col("vec_id") % SCENES).cast("string")).alias("scene_id"),
+        F.col("vec_id").alias("pid"),
+        *[e[i].alias(c) for i, c in enumerate("xyz")],
+        *[F.floor((e[3 + i] + 1) * 127).cast("double").alias(c) for i, c in enumerate("rgb")],
+        *[(e[6 + i] / length).alias(f"n{c}") for i, c in enumerate("xyz")],
+        F.col("label").cast("long").alias("label"),
+    )
+
+
+POINTS = f"""
+p AS (SELECT 's' || (vec_id % {SCENES}) AS scene_id, vec_id AS pid, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z,
+  floor((embedding[4]::double + 1) * 127) AS r, floor((embedding[5]::double + 1) * 127) AS g, floor((embedding[6]::double + 1) * 127) AS b,
+  embedding[7]::double / sqrt(embedding[7]::double * embedding[7]::double + embedding[8]::double * embedding[8]::double + embedding[9]::double * embedding[9]::double) AS nx,
+  embedding[8]::double / sqrt(embedding[7]::double * embedding[7]::double + embedding[8]::double * embedding[8]::double + embedding[9]::double * embedding[9]::double) AS ny,
+  embedding[9]::double / sqrt(embedding[7]::double * embedding[7]::double + embedding[8]::double * embedding[8]::double + embedding[9]::double * embedding[9]::double) AS nz,
+  label::bigint AS label FROM embeddings)"""
+
+
+def superpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partition into columns of cells."""
+    s = F.floor((F.col("x") + 1) / CELL) * 100 + F.floor((F.col("y") + 1) / CELL)
+    return points(spark, sf_dir).select("scene_id", "pid", s.alias("label"))
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("scene_id", "pid", "label")
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.contingency(superpoints(spark, sf_dir), objects(spark, sf_dir))
+
+
+def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.count_density(_table(spark, sf_dir))
+
+
+_CELL = f"(floor((x + 1) / {CELL}) * 100 + floor((y + 1) / {CELL}))::bigint"
+TABLE = f"""{POINTS},
+t AS (SELECT scene_id, {_CELL} AS s, label AS o, count(*) AS n, count(*)::double AS density FROM p GROUP BY ALL),
+al AS (SELECT scene_id, s, o AS alpha FROM t QUALIFY row_number() OVER (PARTITION BY scene_id, s ORDER BY density DESC, o) = 1),
+be AS (SELECT scene_id, o, s AS beta FROM t QUALIFY row_number() OVER (PARTITION BY scene_id, o ORDER BY density DESC, s) = 1),
+ab AS (SELECT scene_id, s, o AS alpha_beta, density AS density_ab FROM t JOIN be USING (scene_id, o) WHERE beta = s
+  QUALIFY row_number() OVER (PARTITION BY scene_id, s ORDER BY density DESC, o) = 1),
+ga AS (SELECT t.scene_id, t.o, t.s AS gamma FROM t LEFT JOIN be ON be.scene_id = t.scene_id AND be.o = t.o LEFT JOIN ab ON ab.scene_id = t.scene_id AND ab.s = t.s
+  WHERE t.s IS DISTINCT FROM beta AND density > coalesce(density_ab, 0) QUALIFY row_number() OVER (PARTITION BY t.scene_id, t.o ORDER BY density DESC, t.s) = 1),
+td AS (SELECT t.scene_id, t.s, t.o, t.n, t.density FROM t JOIN be USING (scene_id, o) JOIN al ON al.scene_id = t.scene_id AND al.s = be.beta
+  JOIN ga ON ga.scene_id = t.scene_id AND ga.o = t.o WHERE al.alpha <> t.o AND ga.gamma = t.s),
+bb AS (SELECT scene_id, o, s AS b FROM td QUALIFY row_number() OVER (PARTITION BY scene_id, o ORDER BY density DESC, s) = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY scene_id, s ORDER BY density DESC, o DESC) AS rank FROM td),
+de AS (SELECT rk.scene_id, rk.s, rk.o AS a, rk.density AS force3 FROM rk JOIN bb ON bb.scene_id = rk.scene_id AND bb.o = rk.o WHERE bb.b = rk.s
+  QUALIFY row_number() OVER (PARTITION BY rk.scene_id, rk.s ORDER BY rank) = 1),
+fo AS (SELECT u.scene_id, u.s, alpha_beta, a, coalesce(density_ab, 0) AS force2, coalesce(force3, 0) AS force3
+  FROM (SELECT DISTINCT scene_id, s FROM t) u LEFT JOIN ab ON ab.scene_id = u.scene_id AND ab.s = u.s LEFT JOIN de ON de.scene_id = u.scene_id AND de.s = u.s),
+cl AS (SELECT t.scene_id, t.s, t.o, t.n, CASE
+    WHEN t.s IS NOT DISTINCT FROM be.beta AND t.o = al.alpha THEN 3
+    WHEN t.s IS NOT DISTINCT FROM be.beta AND t.s IS DISTINCT FROM ao.beta AND t.o IS NOT DISTINCT FROM fo.alpha_beta AND fo.force3 <= fo.force2 THEN 2
+    WHEN fo.force3 > fo.force2 AND t.o IS NOT DISTINCT FROM fo.a AND NOT coalesce(fb.force3 <= fb.force2 AND t.o IS NOT DISTINCT FROM fb.alpha_beta, false) THEN 1
+    ELSE 0 END AS class
+  FROM t JOIN fo ON fo.scene_id = t.scene_id AND fo.s = t.s JOIN al ON al.scene_id = t.scene_id AND al.s = t.s
+  LEFT JOIN be ao ON ao.scene_id = t.scene_id AND ao.o = al.alpha LEFT JOIN be ON be.scene_id = t.scene_id AND be.o = t.o
+  LEFT JOIN fo fb ON fb.scene_id = t.scene_id AND fb.s = be.beta)"""
+
+
 def ooa_of_voxel_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of points in the best-matching object of each voxel column."""
-    points = table(spark, sf_dir, "embeddings").select(F.floor(F.col("embedding")[0].cast("double") / 0.05).alias("s"), F.col("label").alias("o"))
-    counts = points.groupBy("s", "o").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("s").agg(F.max("n").alias("m"), F.sum("n").alias("t"))
-    return best.agg(F.round(F.sum("m") / F.sum("t"), 9).alias("ooa"))
+    return scoring.object_accuracy(_table(spark, sf_dir)).select("scene_id", F.round("ooa", 9).alias("ooa"), "n_superpoints")
+
+
+def ooa_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the size of the line items: suppliers as superpoints, parts' last digits as objects."""
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("all").alias("scene_id"), F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 10).alias("o"))
+    return scoring.object_accuracy(rows.groupBy("scene_id", "s", "o").agg(F.count(F.lit(1)).alias("n"))).select("scene_id", F.round("ooa", 9).alias("ooa"), "n_superpoints")
+
+
+def _rounded(frame: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
+    return frame.select(*[(F.round(c, digits) + 0.0).alias(c) if c in names else F.col(c) for c in frame.columns])
+
+
+def _sql(select: str, ctes: str = POINTS) -> str:
+    return f"WITH {ctes}\n{select}"
+
+
+GRID = f"{POINTS},\nlo AS (SELECT scene_id, min(x) AS mx, min(y) AS my, min(z) AS mz FROM p GROUP BY scene_id),\nv AS (SELECT p.*, floor((x - mx) / {CELL})::bigint AS bx, floor((y - my) / {CELL})::bigint AS by, floor((z - mz) / {CELL})::bigint AS bz FROM p JOIN lo USING (scene_id))"
+REACH = 0.12
+PAIRS = f"{POINTS},\nd AS (SELECT a.scene_id, a.pid AS src, b.pid AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dist FROM p a JOIN p b ON a.scene_id = b.scene_id)"
+NEAR = 5
+KNN = f"{PAIRS},\nk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, src ORDER BY dist, dst) AS rank FROM d WHERE src <> dst) WHERE rank <= {NEAR})"
+GRAPH = f"{KNN},\ne AS (SELECT DISTINCT scene_id, src, dst, dist FROM (SELECT scene_id, src, dst, dist FROM k UNION ALL SELECT scene_id, dst, src, dist FROM k))"
+FACES = f"{POINTS},\nf AS (SELECT a.scene_id, a.pid AS a, b.pid AS b, c.pid AS c FROM p a JOIN p b ON b.pid = a.pid + {SCENES} JOIN p c ON c.pid = a.pid + {2 * SCENES})"
+
 
+def knn(spark: SparkSession, sf_dir: str, k: int = NEAR) -> DataFrame:
+    p = points(spark, sf_dir)
+    return neighbours.knn(p, p, k)
+
+
+def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest-neighbour graph in both directions."""
+    near = materialise(knn(spark, sf_dir).select("scene_id", "src", "dst", "dist"), "graph")
+    return near.union(near.select("scene_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).distinct()
+
+
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir).select("scene_id", "pid")
+    b = p.select((F.col("pid") - SCENES).alias("a"), F.col("pid").alias("b"))
+    c = p.select((F.col("pid") - 2 * SCENES).alias("a"), F.col("pid").alias("c"))
+    return p.withColumnRenamed("pid", "a").join(b, "a").join(c, "a").select("scene_id", "a", "b", "c")
+
+
+def _results(spark: SparkSession, sf_dir: str, flag: str, suffix: str = "") -> DataFrame:
+    """A result table: a row a supplier, with figures of its items of one kind."""
+    rows = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
+    return rows.groupBy(F.col("l_suppkey").alias("Name")).agg(F.round(F.avg(F.col("l_discount").cast("double")), 9).alias(f"OOA_cp{suffix}"), F.count(F.lit(1)).alias(f"Size_cp{suffix}"))
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.join_results(_results(spark, sf_dir, "A"), _results(spark, sf_dir, "R"))
+
+
+_RESULT = "SELECT l_suppkey AS Name, round(avg(l_discount::double), 9) AS ooa, count(*) AS size FROM lineitem WHERE l_returnflag = '{}' GROUP BY l_suppkey"
+BOTH = f"ra AS ({_RESULT.format('A')}), rr AS ({_RESULT.format('R')}),\nj AS (SELECT ra.Name, ra.ooa AS a, rr.ooa AS b, ra.size AS sa, rr.size AS sb FROM ra JOIN rr USING (Name))"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("price"))
+
+
+ORDERS = "o AS (SELECT o_orderkey, o_orderpriority, o_totalprice::double AS price FROM orders),\nq AS (SELECT o_orderpriority, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM o GROUP BY 1),\nl AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q)"
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("scene_id", "pid").filter("pid % 20 = 0")
+
+
+def _sparse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("scene_id", "pid", F.when(F.col("pid") % 7 == 0, F.col("label")).otherwise(F.lit(-1)).alias("label"))
+
+
+_E6 = ["sxx", "sxy", "sxz", "syy", "syz", "szz"]
+_COV = ", ".join(f"round(CASE WHEN count(*) >= {{least}} THEN covar_pop({a}, {b}){{times}} ELSE 0 END, 6) + 0.0 AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+def _weighted(s: SparkSession, d: str) -> DataFrame:
+    cells = voxels.binned(points(s, d), CELL).withColumn("w", F.col("r") + 1)
+    return _rounded(voxels.weighted_scatter(cells, ["scene_id", *voxels.BINS], "w"), _E6)
+
+
+QUERIES = {
+    # match orders and accuracy
+    "ooa_of_voxel_partition": ooa_of_voxel_partition,
+    "ooa_of_suppliers": ooa_of_suppliers,
+    "contingency": _table,
+    "object_share": lambda s, d: _rounded(scoring.object_share_density(_table(s, d)), ["density"]),
+    "best_objects": lambda s, d: scoring.alpha(_density(s, d)),
+    "best_superpoints": lambda s, d: scoring.beta(_density(s, d)),
+    "best_owned_objects": lambda s, d: scoring.alpha_beta(_density(s, d)),
+    "second_superpoints": lambda s, d: scoring.gamma(_density(s, d)),
+    "matched_objects": lambda s, d: scoring.matched_objects(_density(s, d)),
+    "third_order_pairs": lambda s, d: scoring.third_order_pairs(_density(s, d)),
+    "match_forces": lambda s, d: scoring.forces(_density(s, d)),
+    "match_classes": lambda s, d: scoring.classify(superpoints(s, d), objects(s, d)),
+    "relative_matches": lambda s, d: _rounded(scoring.relative_matches(scoring.classify(superpoints(s, d), objects(s, d)), 3), ["share"]),
+    "precision_feedback": lambda s, d: scoring.precision_feedback(_density(s, d), edges.between_components(superpoints(s, d), knn(s, d)).select("scene_id", F.col("ls").alias("s_i"), F.col("lt").alias("s_j")).distinct()),
+    "match_counts": lambda s, d: scoring.match_counts(_table(s, d)),
+    "label_runs": lambda s, d: scoring.runs(superpoints(s, d)),
+    "label_index": lambda s, d: scoring.label_index(superpoints(s, d)),
+    "clusters_to_labels": lambda s, d: scoring.partition_from_clusters(scoring.clusters_from_partition(superpoints(s, d)).withColumnRenamed("label", "cluster").filter("cluster % 3 <> 0"), points(s, d)),
+    "remaining_points": lambda s, d: scoring.remaining_points(points(s, d).select("scene_id", "pid"), scoring.segment_points(objects(s, d), 1)),
+    # voxels
+    "bounds": lambda s, d: _rounded(voxels.bounds(points(s, d)), [f"{n}_{c}" for n in ("min", "max") for c in "xyz"]),
+    "voxel_grid": lambda s, d: _rounded(voxels.voxel_grid(points(s, d), CELL), ["x", "y", "z"]),
+    "voxel_grid_of_items": lambda s, d: _rounded(
+        voxels.voxel_grid(table(s, d, "lineitem").select(F.lit("all").alias("scene_id"), *[F.col(f"l_{n}").cast("double").alias(c) for n, c in (("quantity", "x"), ("extendedprice", "y"), ("discount", "z"))]), 10.0, colours=False), ["x", "y", "z"], 4
+    ),
+    "voxel_histogram": lambda s, d: voxels.label_histogram(points(s, d), CELL),
+    "voxel_labels": lambda s, d: voxels.majority_label(voxels.label_histogram(points(s, d), CELL)),
+    "voxel_centres": lambda s, d: _rounded(voxels.voxel_centre(points(s, d), CELL), ["cx", "cy", "cz"]),
+    "voxel_scatter": lambda s, d: _rounded(voxels.scatter(voxels.binned(points(s, d), CELL), ["scene_id", *voxels.BINS]), _E6),
+    "voxel_weighted_scatter": _weighted,
+    "voxel_volumes": lambda s, d: _rounded(voxels.box_volume(voxels.binned(points(s, d), CELL), ["scene_id", *voxels.BINS]), ["volume"], 9),
+    "voxel_last_points": lambda s, d: voxels.last_point(points(s, d), CELL).select("scene_id", *voxels.BINS, "pid", "n"),
+    "voxel_normals": lambda s, d: _rounded(voxels.mean_normals(voxels.binned(points(s, d), CELL), ["scene_id", *voxels.BINS]), ["nx", "ny", "nz"]),
+    "voxel_neighbours": lambda s, d: voxels.neighbour_voxels(voxels.binned(points(s, d), CELL).select("scene_id", *voxels.BINS).distinct()),
+    "label_centroids": lambda s, d: _rounded(voxels.centroids(points(s, d), ["scene_id", "label"]), ["x", "y", "z", "r", "g", "b", "nx", "ny", "nz"]),
+    # neighbours and edges
+    "knn": lambda s, d: _rounded(knn(s, d), ["dist"]),
+    "radius_neighbours": lambda s, d: _rounded(neighbours.radius_join(points(s, d), points(s, d), REACH), ["dist"]),
+    "nearest_of_label": lambda s, d: _rounded(neighbours.nearest_point(points(s, d).filter("label = 0"), points(s, d).filter("label = 1")), ["dist"]),
+    "mesh_edges": lambda s, d: _rounded(edges.mesh_edges(points(s, d), faces(s, d)), ["dist"]),
+    "mesh_normals": lambda s, d: _rounded(edges.face_normals(points(s, d), faces(s, d)), ["nx", "ny", "nz"], 5),
+    "unidirectional": lambda s, d: _rounded(edges.without_reverse(knn(s, d)), ["dist"]),
+    "mutual_neighbours": lambda s, d: edges.mutual(knn(s, d)).select("scene_id", "src", "dst"),
+    "component_edges": lambda s, d: edges.between_components(superpoints(s, d), knn(s, d)),
+    "border_weights": lambda s, d: _rounded(edges.border_weights(superpoints(s, d), edges.edge_weights(graph(s, d))), ["border"]),
+    "edge_weights": lambda s, d: _rounded(edges.edge_weights(knn(s, d)).select("scene_id", "src", "dst", "weight"), ["weight"]),
+    "fewer_neighbours": lambda s, d: edges.nearest(knn(s, d).drop("rank"), 3).select("scene_id", "src", "dst", "rank"),
+    "adjacency_arrays": lambda s, d: edges.adjacency(knn(s, d)).select("scene_id", "src", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets")),
+    "complete_scenes": lambda s, d: edges.complete_sources(points(s, d), knn(s, d), NEAR),
+    # paths and components
+    "geodesic_hops": lambda s, d: _rounded(geodesic.geodesic_hops(graph(s, d), _seeds(s, d), 2), ["dist"]),
+    "geodesic_radius": lambda s, d: _rounded(geodesic.geodesic_radius(graph(s, d), _seeds(s, d), REACH), ["dist"]),
+    "geodesic_knn": lambda s, d: _rounded(geodesic.geodesic_knn(graph(s, d), _seeds(s, d), 4), ["dist"]),
+    "shortest_paths": lambda s, d: _rounded(geodesic.one_to_all(graph(s, d), _seeds(s, d)), ["d"]),
+    "least_distances": lambda s, d: geodesic.least_distances(graph(s, d), 3).select("scene_id", "src", F.transform("dists", lambda x: F.round(x, 6)).alias("dists")),
+    "path_lengths": lambda s, d: _rounded(geodesic.path_length(graph(s, d), _seeds(s, d).select("scene_id", F.col("pid").alias("src"), (F.col("pid") + SCENES).alias("dst"))), ["dist"]),
+    "components": lambda s, d: connected_components(edges.mutual(knn(s, d, 2)), "src", "dst"),
+    # features
+    "neighbour_scatter": lambda s, d: _rounded(features.neighbourhood_scatter(points(s, d), knn(s, d)), _E6),
+    "point_features": lambda s, d: _rounded(features.point_features(points(s, d), knn(s, d), features.GEOF), features.GEOF, 5),
+    "all_point_features": lambda s, d: features.point_features(points(s, d), knn(s, d), features.ALL_GEOF),
+    "curvature_normals": lambda s, d: features.point_features(points(s, d), knn(s, d), features.CURVATURE),
+    "pca_normals": lambda s, d: features.pca_normals(points(s, d), knn(s, d)),
+    "voxel_features": lambda s, d: features.voxel_features(voxels.scatter(voxels.binned(points(s, d), CELL), ["scene_id", *voxels.BINS]), ["scene_id", *voxels.BINS]),
+    # comparison of results
+    "joined_results": _both,
+    "renamed_results": lambda s, d: analysis.rename_columns(analysis.drop_columns(_results(s, d, "A"), ["cp"], ["Size"]), {"cp": "pursuit"}, ["OOA"]),
+    "common_scenes": lambda s, d: analysis.common_scenes(table(s, d, "orders").select(F.col("o_custkey").alias("Name"), F.col("o_orderkey").alias("ID")), table(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("Name"))),
+    "outlier_fences": lambda s, d: _rounded(analysis.fences(_orders(s, d), "price", ["o_orderpriority"]), ["q1", "q3", "low", "high"], 4),
+    "outliers": lambda s, d: analysis.outliers(_orders(s, d), "price", ["o_orderpriority"]).select("o_orderkey", "o_orderpriority"),
+    "without_outliers": lambda s, d: analysis.without_outliers(_both(s, d), ["OOA_cp_P", "OOA_cp_M"]).select("Name"),
+    "summary": lambda s, d: _rounded(analysis.describe(_orders(s, d), "price", ["o_orderpriority"]), ["mean", "std", "q25", "q50", "q75"], 3),
+    "box_statistics": lambda s, d: _rounded(analysis.box(_orders(s, d), "price", ["o_orderpriority"]), ["q1", "q3", "median", "whisker_low", "whisker_high"], 4),
+    "pooled_t": lambda s, d: _rounded(analysis.pooled_t(_both(s, d), "OOA_cp_P", "OOA_cp_M"), ["t"]),
+    "bartlett": lambda s, d: _rounded(analysis.bartlett(_both(s, d), "OOA_cp_P", "OOA_cp_M"), ["statistic"]),
+    "mann_whitney": lambda s, d: _rounded(analysis.mann_whitney(_both(s, d), "OOA_cp_P", "OOA_cp_M"), ["z"], 5),
+    # partitions
+    "refined_labels": lambda s, d: regions.refine(_sparse_labels(s, d), graph(s, d)),
+    "refined_labels_together": lambda s, d: regions.refine_together(_sparse_labels(s, d), graph(s, d)),
+    "grown_regions": lambda s, d: regions.grow_regions(_seeds(s, d), graph(s, d), points(s, d).select("scene_id", "pid", "nx", "ny", "nz"), 60.0),
+    "grown_scene": lambda s, d: regions.grow_scene(points(s, d).select("scene_id", "pid", "x", "y", "z").join(features.pca_normals(points(s, d), knn(s, d)), ["scene_id", "pid"]), graph(s, d), 15.0, percent=0.5),
+    "ransac_planes": lambda s, d: regions.ransac_planes(points(s, d), 0.05, 200),
+    "supervoxels": lambda s, d: supervoxels.supervoxels(points(s, d), 0.05, 0.2, 0.2, 0.2, 0.6, 1),
+    "voxel_graph": lambda s, d: voxel_graph.segment_voxels(points(s, d), CELL, 0.3, points_min=0, adjacency_min=0, voxels_min=0),
+    "supervoxel_graph": lambda s, d: voxel_graph.segment_supervoxels(points(s, d), supervoxels.supervoxels(points(s, d), 0.05, 0.2, 0.2, 0.2, 0.6, 0), 0.3),
+    "pairwise_linkage": lambda s, d: linkage.pairwise_linkage(points(s, d), 10, 90, 3, 30),
+    "cut_pursuit": lambda s, d: cut_pursuit.partition_points(points(s, d), 5, 10, 0.07),
+}
 
-QUERIES = {"ooa_of_voxel_partition": ooa_of_voxel_partition}
+_GROUP = "scene_id, bx, by, bz"
 
 SQL = {
-    "ooa_of_voxel_partition": """
-WITH c AS (SELECT floor(embedding[1]::double / 0.05) AS s, label AS o, count(*) AS n FROM embeddings GROUP BY ALL),
-b AS (SELECT s, max(n) AS m, sum(n) AS t FROM c GROUP BY s)
-SELECT round(sum(m) / sum(t), 9) AS ooa FROM b
-""",
+    "ooa_of_voxel_partition": _sql("SELECT scene_id, round(sum(m) / sum(a), 9) AS ooa, count(*) AS n_superpoints FROM (SELECT scene_id, s, max(n) AS m, sum(n) AS a FROM t GROUP BY ALL) GROUP BY scene_id", TABLE),
+    "ooa_of_suppliers": "WITH c AS (SELECT l_suppkey AS s, l_partkey % 10 AS o, count(*) AS n FROM lineitem GROUP BY ALL)\nSELECT 'all' AS scene_id, round(sum(m) / sum(a), 9) AS ooa, count(*) AS n_superpoints FROM (SELECT s, max(n) AS m, sum(n) AS a FROM c GROUP BY s)",
+    "contingency": _sql("SELECT scene_id, s, o, n FROM t", TABLE),
+    "object_share": _sql("SELECT scene_id, s, o, n, round(n / sum(n) OVER (PARTITION BY scene_id, o), 6) AS density FROM t", TABLE),
+    "best_objects": _sql("SELECT * FROM al", TABLE),
+    "best_superpoints": _sql("SELECT * FROM be", TABLE),
+    "best_owned_objects": _sql("SELECT * FROM ab", TABLE),
+    "second_superpoints": _sql("SELECT * FROM ga", TABLE),
+    "matched_objects": _sql("SELECT scene_id, beta AS s, count(*) AS m FROM be GROUP BY ALL", TABLE),
+    "third_order_pairs": _sql("SELECT * FROM td", TABLE),
+    "match_forces": _sql("SELECT * FROM fo", TABLE),
+    "match_classes": _sql("SELECT * FROM cl", TABLE),
+    "relative_matches": _sql("SELECT scene_id, round(count(*) FILTER (class = 3) / count(DISTINCT o), 6) AS share FROM cl GROUP BY scene_id", TABLE),
+    "match_counts": _sql("SELECT scene_id, s, o, n AS inliers, (sum(n) OVER (PARTITION BY scene_id, s) - n)::bigint AS outliers, (sum(n) OVER (PARTITION BY scene_id, o) - n)::bigint AS remaining FROM t QUALIFY row_number() OVER (PARTITION BY scene_id, s ORDER BY n DESC, o) = 1", TABLE),
+    "label_runs": _sql(f"SELECT scene_id, label, (stop - n)::bigint AS start, stop::bigint AS stop, n FROM (SELECT *, sum(n) OVER (PARTITION BY scene_id ORDER BY label) AS stop FROM (SELECT scene_id, {_CELL} AS label, count(*) AS n FROM p GROUP BY ALL))"),
+    "label_index": _sql(f"SELECT scene_id, label, dense_rank() OVER (PARTITION BY scene_id ORDER BY label) - 1 AS index FROM (SELECT DISTINCT scene_id, {_CELL} AS label FROM p)"),
+    "clusters_to_labels": _sql(f"SELECT scene_id, pid, CASE WHEN {_CELL} % 3 <> 0 THEN {_CELL} ELSE -1 END AS label FROM p"),
+    "remaining_points": _sql("SELECT scene_id, pid FROM p WHERE label <> 1"),
+    "bounds": _sql("SELECT scene_id, " + ", ".join(f"round({n}({c}), 6) + 0.0 AS {n}_{c}" for c in "xyz" for n in ("min", "max")) + " FROM p GROUP BY scene_id"),
+    "voxel_grid": _sql("SELECT scene_id, bx, by, bz, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z, floor(avg(r))::bigint AS r, floor(avg(g))::bigint AS g, floor(avg(b))::bigint AS b, count(*) AS n FROM v GROUP BY " + _GROUP, GRID),
+    "voxel_grid_of_items": "WITH p AS (SELECT l_quantity::double AS x, l_extendedprice::double AS y, l_discount::double AS z FROM lineitem), lo AS (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz FROM p)\nSELECT 'all' AS scene_id, floor((x - mx) / 10.0)::bigint AS bx, floor((y - my) / 10.0)::bigint AS by, floor((z - mz) / 10.0)::bigint AS bz, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, count(*) AS n FROM p, lo GROUP BY 2, 3, 4",
+    "voxel_histogram": _sql(f"SELECT {_GROUP}, label, count(*) AS n FROM v GROUP BY ALL", GRID),
+    "voxel_labels": _sql(f"SELECT {_GROUP}, label FROM (SELECT {_GROUP}, label, count(*) AS n FROM v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_GROUP} ORDER BY label = 0, n DESC, label) = 1", GRID),
+    "voxel_centres": _sql(f"SELECT DISTINCT {_GROUP}, round(mx + (bx + 0.5) * {CELL}, 6) + 0.0 AS cx, round(my + (by + 0.5) * {CELL}, 6) + 0.0 AS cy, round(mz + (bz + 0.5) * {CELL}, 6) + 0.0 AS cz FROM v JOIN lo USING (scene_id)", GRID),
+    "voxel_scatter": _sql(f"SELECT {_GROUP}, {_COV.format(least=4, times=' * count(*)')}, count(*) AS n FROM v GROUP BY {_GROUP}", GRID),
+    "voxel_weighted_scatter": _sql(
+        f"SELECT {_GROUP}, " + ", ".join(f"round(CASE WHEN count(*) >= 4 THEN sum((r + 1) * ({a} - m{a}{a}) * ({b} - m{b}{b})) / sum(r + 1) ELSE 0 END, 6) + 0.0 AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+        + f", count(*) AS n FROM (SELECT *, avg(x) OVER w AS mxx, avg(y) OVER w AS myy, avg(z) OVER w AS mzz FROM v WINDOW w AS (PARTITION BY {_GROUP})) GROUP BY {_GROUP}", GRID),
+    "voxel_volumes": _sql(f"SELECT {_GROUP}, round((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)), 9) + 0.0 AS volume FROM v GROUP BY {_GROUP}", GRID),
+    "voxel_last_points": _sql(f"SELECT {_GROUP}, max(pid) AS pid, count(*) AS n FROM v GROUP BY {_GROUP}", GRID),
+    "voxel_normals": _sql(f"SELECT {_GROUP}, " + ", ".join(f"round(n{c} / l, 6) + 0.0 AS n{c}" for c in "xyz") + f" FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM (SELECT {_GROUP}, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM v GROUP BY {_GROUP}))", GRID),
+    "voxel_neighbours": _sql("SELECT a.scene_id, a.bx, a.by, a.bz, b.bx AS ox, b.by AS oy, b.bz AS oz FROM c a JOIN c b ON a.scene_id = b.scene_id AND abs(a.bx - b.bx) <= 1 AND abs(a.by - b.by) <= 1 AND abs(a.bz - b.bz) <= 1 AND (a.bx, a.by, a.bz) <> (b.bx, b.by, b.bz)", f"{GRID},\nc AS (SELECT DISTINCT {_GROUP} FROM v)"),
+    "label_centroids": _sql("SELECT scene_id, label, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in "xyzrgb") + ", n, " + ", ".join(f"round(s{c} / sqrt(sx * sx + sy * sy + sz * sz), 6) + 0.0 AS n{c}" for c in "xyz") + " FROM (SELECT scene_id, label, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(r) AS r, avg(g) AS g, avg(b) AS b, count(*) AS n, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM p GROUP BY ALL)"),
+    "knn": _sql("SELECT scene_id, src, dst, round(dist, 6) + 0.0 AS dist, rank FROM k", KNN),
+    "radius_neighbours": _sql(f"SELECT scene_id, src, dst, round(dist, 6) + 0.0 AS dist FROM d WHERE dist <= {REACH}", PAIRS),
+    "nearest_of_label": _sql("SELECT scene_id, src, dst, round(dist, 6) + 0.0 AS dist FROM d JOIN p a ON a.pid = src JOIN p b ON b.pid = dst WHERE a.label = 0 AND b.label = 1 QUALIFY row_number() OVER (PARTITION BY src ORDER BY d.dist, dst) = 1".replace("SELECT scene_id", "SELECT d.scene_id"), PAIRS),
+    "mesh_edges": _sql("SELECT DISTINCT d.scene_id, src, dst, round(dist, 6) + 0.0 AS dist FROM (SELECT a AS u, b AS w FROM f UNION ALL SELECT b, a FROM f UNION ALL SELECT a, c FROM f UNION ALL SELECT c, a FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT c, b FROM f) JOIN d ON src = u AND dst = w", f"{FACES},{PAIRS[len(POINTS) + 1:]}"),
+    "mesh_normals": _sql(
+        "SELECT scene_id, pid, " + ", ".join(f"round(n{c} / sqrt(nx * nx + ny * ny + nz * nz), 5) + 0.0 AS n{c}" for c in "xyz")
+        + " FROM (SELECT scene_id, pid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT scene_id, unnest([a, b, c]) AS pid, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM w) GROUP BY ALL)",
+        f"{FACES},\nw AS (SELECT f.scene_id, f.a, f.b, f.c, q.x - o.x AS ux, q.y - o.y AS uy, q.z - o.z AS uz, r.x - o.x AS vx, r.y - o.y AS vy, r.z - o.z AS vz FROM f JOIN p o ON o.pid = a JOIN p q ON q.pid = f.b JOIN p r ON r.pid = f.c)"),
+    "unidirectional": _sql("SELECT scene_id, src, dst, round(dist, 6) + 0.0 AS dist, rank FROM k WHERE src < dst OR NOT EXISTS (SELECT 1 FROM k o WHERE o.scene_id = k.scene_id AND o.src = k.dst AND o.dst = k.src)", KNN),
+    "mutual_neighbours": _sql("SELECT scene_id, src, dst FROM k WHERE EXISTS (SELECT 1 FROM k o WHERE o.scene_id = k.scene_id AND o.src = k.dst AND o.dst = k.src)", KNN),
+    "component_edges": _sql("SELECT k.scene_id, a.label AS ls, b.label AS lt FROM k JOIN c a ON a.pid = src JOIN c b ON b.pid = dst WHERE a.label <> b.label", f"{KNN},\nc AS (SELECT scene_id, pid, {_CELL} AS label FROM p)"),
+    "precision_feedback": _sql("SELECT x.scene_id, s_i, s_j, CASE WHEN a.alpha = b.alpha THEN 1.0::double ELSE 0.0::double END AS feedback FROM x JOIN al a ON a.scene_id = x.scene_id AND a.s = s_i JOIN al b ON b.scene_id = x.scene_id AND b.s = s_j",
+        f"{TABLE},{KNN[len(POINTS) + 1:]},\nc AS (SELECT scene_id, pid, {_CELL} AS label FROM p),\nx AS (SELECT DISTINCT k.scene_id, a.label AS s_i, b.label AS s_j FROM k JOIN c a ON a.pid = src JOIN c b ON b.pid = dst WHERE a.label <> b.label)"),
+    "border_weights": _sql("SELECT e.scene_id, least(a.label, b.label) AS c1, greatest(a.label, b.label) AS c2, round(sum(0.5 / (1 + dist / m)), 6) + 0.0 AS border FROM e JOIN (SELECT scene_id, avg(dist) AS m FROM e GROUP BY 1) g ON g.scene_id = e.scene_id JOIN c a ON a.pid = src JOIN c b ON b.pid = dst WHERE a.label <> b.label GROUP BY 1, 2, 3", f"{GRAPH},\nc AS (SELECT scene_id, pid, {_CELL} AS label FROM p)"),
+    "edge_weights": _sql("SELECT scene_id, src, dst, round(1 / (1 + dist / avg(dist) OVER (PARTITION BY scene_id)), 6) + 0.0 AS weight FROM k", KNN),
+    "fewer_neighbours": _sql("SELECT scene_id, src, dst, rank FROM k WHERE rank <= 3", KNN),
+    "adjacency_arrays": _sql("SELECT scene_id, src, string_agg(dst::varchar, ',' ORDER BY dist, dst) AS targets FROM k GROUP BY scene_id, src", KNN),
+    "complete_scenes": _sql(f"SELECT scene_id FROM (SELECT p.scene_id, p.pid, count(k.dst) AS n FROM p LEFT JOIN k ON k.src = p.pid GROUP BY ALL) GROUP BY scene_id HAVING min(n) >= {NEAR}", KNN),
+    "geodesic_hops": _sql("SELECT scene_id, src, dst, round(min(dist), 6) + 0.0 AS dist FROM (SELECT scene_id, pid AS src, pid AS dst, 0.0::double AS dist FROM p WHERE pid % 20 = 0 UNION ALL SELECT scene_id, src, dst, dist FROM e WHERE src % 20 = 0 UNION ALL SELECT a.scene_id, a.src, b.dst, a.dist + b.dist FROM e a JOIN e b ON a.scene_id = b.scene_id AND a.dst = b.src WHERE a.src % 20 = 0) GROUP BY ALL", GRAPH),
+    "geodesic_radius": _sql(f"SELECT scene_id, src, dst, round(min(dist), 6) + 0.0 AS dist FROM w WHERE src <> dst GROUP BY scene_id, src, dst", f"RECURSIVE {GRAPH},\nw AS (SELECT scene_id, pid AS src, pid AS dst, 0.0::double AS dist FROM p WHERE pid % 20 = 0 UNION SELECT w.scene_id, w.src, e.dst, w.dist + e.dist FROM w JOIN e ON e.scene_id = w.scene_id AND e.src = w.dst WHERE w.dist + e.dist < {REACH} AND e.dist > 0)"),
+    "components": _sql("SELECT id, min(component) AS component FROM w GROUP BY id", f"RECURSIVE {KNN.replace(f'rank <= {NEAR}', 'rank <= 2')},\nm AS (SELECT src, dst FROM k WHERE EXISTS (SELECT 1 FROM k o WHERE o.src = k.dst AND o.dst = k.src)),\nw AS (SELECT src AS id, src AS component FROM m UNION SELECT m.dst, w.component FROM w JOIN m ON m.src = w.id)"),
+    "neighbour_scatter": _sql(f"SELECT scene_id, src AS pid, {_COV.format(least=1, times='')}, count(*) AS n FROM (SELECT k.scene_id, src, x, y, z FROM k JOIN p ON pid = dst UNION ALL SELECT scene_id, pid, x, y, z FROM p) GROUP BY scene_id, src", KNN),
+    "joined_results": f"WITH {BOTH}\nSELECT Name, a AS OOA_cp_P, sa AS Size_cp_P, b AS OOA_cp_M, sb AS Size_cp_M FROM j",
+    "renamed_results": f"WITH {BOTH}\nSELECT Name, ooa AS OOA_pursuit FROM ra",
+    "common_scenes": "WITH f AS (SELECT o_custkey AS Name, o_orderkey AS ID, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)\nSELECT Name, ID FROM f WHERE n <> 2 AND r = 1 AND Name IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+    "outlier_fences": f"WITH {ORDERS}\nSELECT o_orderpriority, round(q1, 4) AS q1, round(q3, 4) AS q3, round(low, 4) AS low, round(high, 4) AS high FROM l",
+    "outliers": f"WITH {ORDERS}\nSELECT o_orderkey, o.o_orderpriority FROM o JOIN l ON l.o_orderpriority = o.o_orderpriority WHERE price >= high OR price <= low",
+    "without_outliers": f"WITH {BOTH},\nx AS (SELECT quantile_cont(a, 0.25) AS a1, quantile_cont(a, 0.75) AS a3, quantile_cont(b, 0.25) AS b1, quantile_cont(b, 0.75) AS b3 FROM j)\nSELECT Name FROM j, x WHERE NOT (a >= a3 + 1.5 * (a3 - a1) OR a <= a1 - 1.5 * (a3 - a1) OR b >= b3 + 1.5 * (b3 - b1) OR b <= b1 - 1.5 * (b3 - b1))",
+    "summary": f"WITH {ORDERS}\nSELECT o_orderpriority, count(price) AS n, round(avg(price), 3) AS mean, round(stddev_samp(price), 3) AS std, round(quantile_cont(price, 0.25), 3) AS q25, round(quantile_cont(price, 0.5), 3) AS q50, round(quantile_cont(price, 0.75), 3) AS q75 FROM o GROUP BY 1",
+    "box_statistics": f"WITH {ORDERS}\nSELECT o.o_orderpriority, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, round(quantile_cont(price, 0.5), 4) AS median, round(min(price) FILTER (price BETWEEN low AND high), 4) AS whisker_low, round(max(price) FILTER (price BETWEEN low AND high), 4) AS whisker_high, count(*) FILTER (NOT (price BETWEEN low AND high)) AS n_outliers FROM o JOIN l ON l.o_orderpriority = o.o_orderpriority GROUP BY 1",
+    "pooled_t": f"WITH {BOTH}, s AS (SELECT count(a) AS na, count(b) AS nb, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb FROM j)\nSELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 6) + 0.0 AS t, na + nb - 2 AS degrees FROM s",
+    "bartlett": f"WITH {BOTH}, s AS (SELECT count(a) - 1 AS da, count(b) - 1 AS db, var_samp(a) AS va, var_samp(b) AS vb FROM j)\nSELECT round(((da + db) * ln((da * va + db * vb) / (da + db)) - da * ln(va) - db * ln(vb)) / (1 + (1 / da + 1 / db - 1 / (da + db)) / 3), 6) + 0.0 AS statistic FROM s",
+    "mann_whitney": f"WITH {BOTH}, m AS (SELECT a AS v, 1 AS is_a FROM j UNION ALL SELECT b, 0 FROM j), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS rk, count(*) OVER (PARTITION BY v) AS c FROM m),\ns AS (SELECT sum(rk) FILTER (is_a = 1) AS r, sum(is_a) AS na, sum(1 - is_a) AS nb, sum(c * c - 1) AS ties FROM r)\nSELECT (r - na * (na + 1) / 2)::double AS u, round(greatest(abs(r - na * (na + 1) / 2 - na * nb / 2) - 0.5, 0) / sqrt(na * nb / 12 * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1)))), 5) + 0.0 AS z FROM s",
 }

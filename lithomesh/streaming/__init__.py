@@ -1,0 +1 @@
+"""Streams: the engine's operators work on bounded scenes, so there are none here."""

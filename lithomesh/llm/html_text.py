@@ -72,6 +72,7 @@ class Flow:
         self.marker = ""
         self.gap = 0  # blank lines wanted before the next line
         self.spaced = True  # the line so far ends in a space or is empty
+        self.exactly = False  # the line holds preformatted text
 
     def text(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
@@ -85,14 +86,17 @@ class Flow:
         """Preformatted text: line breaks and spaces stay."""
         first, *more = text.split("\n")
         self.line.append(first)
+        self.exactly = True
         for part in more:
             self.end_line(keep=True)
             self.line.append(part)
+            self.exactly = True
         self.spaced = False
 
     def end_line(self, keep: bool = False) -> None:
         text = "".join(self.line)
-        text = text.rstrip() if keep else text.strip(" ")
+        text = text.rstrip() if self.exactly else text.strip(" ")
+        self.exactly = False
         self.line.clear()
         self.spaced = True
         if not text and not (keep and self.lines):

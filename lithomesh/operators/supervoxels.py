@@ -66,22 +66,22 @@ def _grow(voxels: DataFrame, touching: DataFrame, seeds: DataFrame, rounds: int,
     )
     for _ in range(rounds):
         centres = _centres(state)
-        owned = state.filter("label > 0").select(*_KEY, F.col("label").alias("by"))
-        reached = owned.join(touching, _KEY).select(SCENE, *[F.col(o).alias(b) for o, b in zip(("ox", "oy", "oz"), BINS)], "by")
-        reached = reached.union(owned.select(*_KEY, "by")).distinct()
-        offers = reached.join(voxels, _KEY).join(centres.withColumnRenamed("label", "by"), [SCENE, "by"])
+        owned = state.filter("label > 0").select(*_KEY, F.col("label").alias("owner"))
+        reached = owned.join(touching, _KEY).select(SCENE, *[F.col(o).alias(b) for o, b in zip(("ox", "oy", "oz"), BINS)], "owner")
+        reached = reached.union(owned.select(*_KEY, "owner")).distinct()
+        offers = reached.join(voxels, _KEY).join(centres.withColumnRenamed("label", "owner"), [SCENE, "owner"])
         length = None
         if lengths is not None:
             # the voxel of a supervoxel that is nearest to its centre stands for it
             at = state.filter("label > 0").join(centres, [SCENE, "label"])
-            home = at.groupBy(SCENE, F.col("label").alias("by")).agg(F.min_by("vid", F.struct(sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz").alias("q"), F.col("vid"))).alias("home"))
-            offers = offers.join(home, [SCENE, "by"]).join(lengths.select(SCENE, F.col("src").alias("home"), F.col("dst").alias("vid"), "dist"), [SCENE, "home", "vid"], "left")
+            home = at.groupBy(SCENE, F.col("label").alias("owner")).agg(F.min_by("vid", F.struct(sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz").alias("q"), F.col("vid"))).alias("home"))
+            offers = offers.join(home, [SCENE, "owner"]).join(lengths.select(SCENE, F.col("src").alias("home"), F.col("dst").alias("vid"), "dist"), [SCENE, "home", "vid"], "left")
             length = F.when(F.col("home") == F.col("vid"), 0.0).otherwise(F.coalesce("dist", F.lit(1e30)))
-        best = offers.withColumn("offer", voxel_distance(normal, colour, spatial, seed, length)).groupBy(*_KEY).agg(F.min(F.struct("offer", "by")).alias("best"))
-        own = offers.join(state.select(*_KEY, "label"), _KEY).filter("by = label").select(*_KEY, voxel_distance(normal, colour, spatial, seed, length).alias("own"))
+        best = offers.withColumn("offer", voxel_distance(normal, colour, spatial, seed, length)).groupBy(*_KEY).agg(F.min(F.struct("offer", "owner")).alias("best"))
+        own = offers.join(state.select(*_KEY, "label"), _KEY).filter("owner = label").select(*_KEY, voxel_distance(normal, colour, spatial, seed, length).alias("own"))
         nearer = F.col("best.offer") < F.coalesce("own", F.lit(float("inf")))
         after = state.join(best, _KEY, "left").join(own, _KEY, "left").select(
-            *voxels.columns, F.when(nearer, F.col("best.by")).otherwise(F.col("label")).alias("label"), F.when(nearer, F.col("best.offer")).otherwise(F.coalesce("own", "d")).alias("d")
+            *voxels.columns, F.when(nearer, F.col("best.owner")).otherwise(F.col("label")).alias("label"), F.when(nearer, F.col("best.offer")).otherwise(F.coalesce("own", "d")).alias("d")
         )
         after = materialise(after, "supervoxels")
         discard(state)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCENE = "scene_id"
-BINS = ["bx", "by", "bz"]
+BINS = ["ix", "iy", "iz"]
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def bounds(points: DataFrame) -> DataFrame:
 
 
 def binned(points: DataFrame, size: float, origin: DataFrame | None = None) -> DataFrame:
-    """Points with their voxel (bx, by, bz), counted from the scene's smallest coordinates.
+    """Points with their voxel (ix, iy, iz), counted from the scene's smallest coordinates.
 
     The minima are one row a scene; where a scene's rows are many the join is on the
     scene alone, so minima are gathered with a combinable aggregate first.
@@ -91,10 +91,10 @@ def mean_normals(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def neighbour_voxels(cells: DataFrame) -> DataFrame:
-    """Pairs of occupied voxels that touch (26 neighbours): (scene_id, bx, by, bz, ox, oy, oz)."""
+    """Pairs of occupied voxels that touch (26 neighbours): (scene_id, ix, iy, iz, ox, oy, oz)."""
     steps = F.sequence(F.lit(-1), F.lit(1))
     moved = cells.select(SCENE, *BINS).withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumn("dz", F.explode(steps)).filter("not (dx = 0 and dy = 0 and dz = 0)")
-    moved = moved.select(SCENE, *BINS, (F.col("bx") + F.col("dx")).alias("ox"), (F.col("by") + F.col("dy")).alias("oy"), (F.col("bz") + F.col("dz")).alias("oz"))
+    moved = moved.select(SCENE, *BINS, (F.col("ix") + F.col("dx")).alias("ox"), (F.col("iy") + F.col("dy")).alias("oy"), (F.col("iz") + F.col("dz")).alias("oz"))
     there = cells.select(SCENE, *[F.col(b).alias(o) for b, o in zip(BINS, ("ox", "oy", "oz"))])
     return moved.join(there, [SCENE, "ox", "oy", "oz"])
 

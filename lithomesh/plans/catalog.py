@@ -108,7 +108,7 @@ def _sql(select: str, ctes: str = POINTS) -> str:
     return f"WITH {ctes}\n{select}"
 
 
-GRID = f"{POINTS},\nlo AS (SELECT scene_id, min(x) AS mx, min(y) AS my, min(z) AS mz FROM p GROUP BY scene_id),\nv AS (SELECT p.*, floor((x - mx) / {CELL})::bigint AS bx, floor((y - my) / {CELL})::bigint AS by, floor((z - mz) / {CELL})::bigint AS bz FROM p JOIN lo USING (scene_id))"
+GRID = f"{POINTS},\nlo AS (SELECT scene_id, min(x) AS mx, min(y) AS my, min(z) AS mz FROM p GROUP BY scene_id),\nv AS (SELECT p.*, floor((x - mx) / {CELL})::bigint AS ix, floor((y - my) / {CELL})::bigint AS iy, floor((z - mz) / {CELL})::bigint AS iz FROM p JOIN lo USING (scene_id))"
 REACH = 0.12
 PAIRS = f"{POINTS},\nd AS (SELECT a.scene_id, a.pid AS src, b.pid AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dist FROM p a JOIN p b ON a.scene_id = b.scene_id)"
 NEAR = 5
@@ -264,7 +264,7 @@ QUERIES = {
     "cut_pursuit": lambda s, d: cut_pursuit.partition_points(points(s, d), 5, 10, 0.07),
 }
 
-_GROUP = "scene_id, bx, by, bz"
+_GROUP = "scene_id, ix, iy, iz"
 
 SQL = {
     "ooa_of_voxel_partition": _sql("SELECT scene_id, round(sum(m) / sum(a), 9) AS ooa, count(*) AS n_superpoints FROM (SELECT scene_id, s, max(n) AS m, sum(n) AS a FROM t GROUP BY ALL) GROUP BY scene_id", TABLE),
@@ -286,11 +286,11 @@ SQL = {
     "clusters_to_labels": _sql(f"SELECT scene_id, pid, CASE WHEN {_CELL} % 3 <> 0 THEN {_CELL} ELSE -1 END AS label FROM p"),
     "remaining_points": _sql("SELECT scene_id, pid FROM p WHERE label <> 1"),
     "bounds": _sql("SELECT scene_id, " + ", ".join(f"round({n}({c}), 6) + 0.0 AS {n}_{c}" for c in "xyz" for n in ("min", "max")) + " FROM p GROUP BY scene_id"),
-    "voxel_grid": _sql("SELECT scene_id, bx, by, bz, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z, floor(avg(r))::bigint AS r, floor(avg(g))::bigint AS g, floor(avg(b))::bigint AS b, count(*) AS n FROM v GROUP BY " + _GROUP, GRID),
-    "voxel_grid_of_items": "WITH p AS (SELECT l_quantity::double AS x, l_extendedprice::double AS y, l_discount::double AS z FROM lineitem), lo AS (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz FROM p)\nSELECT 'all' AS scene_id, floor((x - mx) / 10.0)::bigint AS bx, floor((y - my) / 10.0)::bigint AS by, floor((z - mz) / 10.0)::bigint AS bz, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, count(*) AS n FROM p, lo GROUP BY 2, 3, 4",
+    "voxel_grid": _sql("SELECT scene_id, ix, iy, iz, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z, floor(avg(r))::bigint AS r, floor(avg(g))::bigint AS g, floor(avg(b))::bigint AS b, count(*) AS n FROM v GROUP BY " + _GROUP, GRID),
+    "voxel_grid_of_items": "WITH p AS (SELECT l_quantity::double AS x, l_extendedprice::double AS y, l_discount::double AS z FROM lineitem), lo AS (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz FROM p)\nSELECT 'all' AS scene_id, floor((x - mx) / 10.0)::bigint AS ix, floor((y - my) / 10.0)::bigint AS iy, floor((z - mz) / 10.0)::bigint AS iz, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, count(*) AS n FROM p, lo GROUP BY 2, 3, 4",
     "voxel_histogram": _sql(f"SELECT {_GROUP}, label, count(*) AS n FROM v GROUP BY ALL", GRID),
     "voxel_labels": _sql(f"SELECT {_GROUP}, label FROM (SELECT {_GROUP}, label, count(*) AS n FROM v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_GROUP} ORDER BY label = 0, n DESC, label) = 1", GRID),
-    "voxel_centres": _sql(f"SELECT DISTINCT {_GROUP}, round(mx + (bx + 0.5) * {CELL}, 6) + 0.0 AS cx, round(my + (by + 0.5) * {CELL}, 6) + 0.0 AS cy, round(mz + (bz + 0.5) * {CELL}, 6) + 0.0 AS cz FROM v JOIN lo USING (scene_id)", GRID),
+    "voxel_centres": _sql(f"SELECT DISTINCT {_GROUP}, round(mx + (ix + 0.5) * {CELL}, 6) + 0.0 AS cx, round(my + (iy + 0.5) * {CELL}, 6) + 0.0 AS cy, round(mz + (iz + 0.5) * {CELL}, 6) + 0.0 AS cz FROM v JOIN lo USING (scene_id)", GRID),
     "voxel_scatter": _sql(f"SELECT {_GROUP}, {_COV.format(least=4, times=' * count(*)')}, count(*) AS n FROM v GROUP BY {_GROUP}", GRID),
     "voxel_weighted_scatter": _sql(
         f"SELECT {_GROUP}, " + ", ".join(f"round(CASE WHEN count(*) >= 4 THEN sum((r + 1) * ({a} - m{a}{a}) * ({b} - m{b}{b})) / sum(r + 1) ELSE 0 END, 6) + 0.0 AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
@@ -298,7 +298,7 @@ SQL = {
     "voxel_volumes": _sql(f"SELECT {_GROUP}, round((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)), 9) + 0.0 AS volume FROM v GROUP BY {_GROUP}", GRID),
     "voxel_last_points": _sql(f"SELECT {_GROUP}, max(pid) AS pid, count(*) AS n FROM v GROUP BY {_GROUP}", GRID),
     "voxel_normals": _sql(f"SELECT {_GROUP}, " + ", ".join(f"round(n{c} / l, 6) + 0.0 AS n{c}" for c in "xyz") + f" FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM (SELECT {_GROUP}, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM v GROUP BY {_GROUP}))", GRID),
-    "voxel_neighbours": _sql("SELECT a.scene_id, a.bx, a.by, a.bz, b.bx AS ox, b.by AS oy, b.bz AS oz FROM c a JOIN c b ON a.scene_id = b.scene_id AND abs(a.bx - b.bx) <= 1 AND abs(a.by - b.by) <= 1 AND abs(a.bz - b.bz) <= 1 AND (a.bx, a.by, a.bz) <> (b.bx, b.by, b.bz)", f"{GRID},\nc AS (SELECT DISTINCT {_GROUP} FROM v)"),
+    "voxel_neighbours": _sql("SELECT a.scene_id, a.ix, a.iy, a.iz, b.ix AS ox, b.iy AS oy, b.iz AS oz FROM c a JOIN c b ON a.scene_id = b.scene_id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 AND (a.ix, a.iy, a.iz) <> (b.ix, b.iy, b.iz)", f"{GRID},\nc AS (SELECT DISTINCT {_GROUP} FROM v)"),
     "label_centroids": _sql("SELECT scene_id, label, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in "xyzrgb") + ", n, " + ", ".join(f"round(s{c} / sqrt(sx * sx + sy * sy + sz * sz), 6) + 0.0 AS n{c}" for c in "xyz") + " FROM (SELECT scene_id, label, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(r) AS r, avg(g) AS g, avg(b) AS b, count(*) AS n, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM p GROUP BY ALL)"),
     "knn": _sql("SELECT scene_id, src, dst, round(dist, 6) + 0.0 AS dist, rank FROM k", KNN),
     "radius_neighbours": _sql(f"SELECT scene_id, src, dst, round(dist, 6) + 0.0 AS dist FROM d WHERE dist <= {REACH}", PAIRS),

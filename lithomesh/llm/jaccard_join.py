@@ -2,13 +2,15 @@
 
 A set's elements are put in one global order, rare ones first, and only those at
 the first positions, of which two similar sets must share one, are indexed. Index
-lists are skipped by position: the first round reads the lists of the very first
-positions only and compares each set with one pivot of its block of sizes. Sets
+lists are skipped by position: the first round reads the lists of the few elements
+of a set with the smallest hashes only, at which similar sets mostly agree, and
+compares each set with one pivot of its block of sizes. Sets
 found highly similar to a pivot then share its answers: in the second round a
 list is skipped where one component holds all its sets, pairs inside a component
 are skipped, and so are pairs whose overlap, bounded by the shared elements of
 the indexed positions or by what both share with a pivot, cannot reach the
-threshold. What is left is compared in full.
+threshold. What is left is compared in full: sets that resemble one pivot in
+blocks, where each set is sent once a block and not once a pair, others in pairs.
 
 Elements are 64-bit hashes of shingles and sets are 64-bit hashes of their
 sorted elements. Two different shingles of one pair of documents, or two
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithomesh.operators.components import connected_components
@@ -30,11 +32,15 @@ from lithomesh.plans.session import prepare_workers
 from lithomesh.plans.storage import materialise
 
 WORDS = 5
-#: Positions whose lists the first round reads.
+#: Elements by smallest hash whose lists the first round reads.
 FIRST = 4
 #: Slots of the count sketch that orders elements are 2 ** SKETCH_BITS; the order only steers the work, any order is exact.
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 PART_BITS = 14
+#: Sets that resemble one pivot (a third of the smaller union) are compared in blocks where they are at least this many.
+BIG_CELL = 32
+#: Sets of a block.
+BLOCK = 256
 #: Lists up to this length are paired many at a time.
 SHORT = 32
 #: Postings that a task gathers before it sends them on.
@@ -107,7 +113,8 @@ def _sets(batches):
     def count():
         nonlocal held
         if slots:
-            counts[:] += np.bincount(np.concatenate(slots), minlength=len(counts)).astype(np.uint32)
+            at, n = np.unique(np.concatenate(slots), return_counts=True)
+            counts[at] += n.astype(np.uint32)
         slots.clear()
         held = 0
 
@@ -152,7 +159,7 @@ def rarity_classes(sketch: DataFrame, partitions: int) -> np.ndarray:
     """For each slot 0 where its count is usual, else the power of two by which it is more.
 
     The sketch covers all documents and has a fixed size, which bounds what comes to
-    the driver and what is broadcast (4 MB).
+    the driver and what is broadcast (16 MB).
     """
     rows = sketch.select("part", "blob").repartition(partitions, "part").mapInArrow(_add_parts, "part int, total long, levels binary").collect()
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -182,9 +189,9 @@ def _postings(classes, buckets: int):
             e = np.concatenate([x[0] for x in held])
             lengths = [len(x[0]) for x in held]
             row = np.repeat(np.arange(len(held)), lengths)
-            early = np.concatenate([np.arange(n) < FIRST for n in lengths])
+            kind = np.concatenate([x[4] for x in held])
             order = np.argsort(e, kind="stable")
-            e, row, early = e[order], row[order], early[order]
+            e, row, kind = e[order], row[order], kind[order]
             keys = np.array([x[1] for x in held], np.int64)
             sizes = np.array([x[2] for x in held], np.uint32)
             ends = np.array([x[3] for x in held], np.uint32)
@@ -196,7 +203,7 @@ def _postings(classes, buckets: int):
                     continue
                 used, at = np.unique(row[lo:hi], return_inverse=True)
                 delta = np.diff(e[lo:hi], prepend=np.uint64(0))
-                flagged = (at.astype(np.uint32) << np.uint32(1)) | early[lo:hi].astype(np.uint32)
+                flagged = (at.astype(np.uint32) << np.uint32(2)) | kind[lo:hi]
                 out.append((b, int(hi - lo), len(used), _pack([delta, flagged]), _pack([keys[used], sizes[used], ends[used]])))
             held.clear()
             size = 0
@@ -215,9 +222,13 @@ def _postings(classes, buckets: int):
                 rank = (table[(e >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (e >> np.uint64(8))
                 p = indexed(len(e))
                 head = np.argpartition(rank, p - 1)[:p] if p < len(e) else np.arange(len(e))
-                head = head[np.argsort(rank[head], kind="stable")]
-                held.append((e[head], key, len(e), int(rank[head[-1]] >> np.uint64(32))))
-                size += p
+                until = int(rank[head].max() >> np.uint64(32))
+                kind = np.zeros(len(e), np.uint32)
+                kind[head] = INDEXED
+                kind[:FIRST] |= EARLY  # elements are sorted
+                some = np.flatnonzero(kind)
+                held.append((e[some], key, len(e), until, kind[some]))
+                size += len(some)
                 if size >= FLUSH:
                     yield flush()
         if held:
@@ -227,6 +238,17 @@ def _postings(classes, buckets: int):
 
 
 LISTS = "element long, key long, n int, until long, other long"
+#: What a posting is for.
+EARLY, INDEXED = np.uint32(1), np.uint32(2)
+
+
+def _shared(e: np.ndarray) -> np.ndarray:
+    """Which of sorted elements occur more than once."""
+    out = np.zeros(len(e), bool)
+    same = e[1:] == e[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
 
 
 def _lists(batches):
@@ -240,39 +262,33 @@ def _lists(batches):
         for n, m, postings, nodes in zip(*(batch.column(x).to_pylist() for x in ("n", "sets", "postings", "nodes"))):
             delta, flagged = _unpack(postings, n, [np.uint64, np.uint32])
             keys, sizes, ends = _unpack(nodes, m, [np.int64, np.uint32, np.uint32])
-            at = flagged >> np.uint32(1)
-            parts.append((np.cumsum(delta, dtype=np.uint64), keys[at], sizes[at], ends[at], (flagged & np.uint32(1)).astype(bool)))
+            at = flagged >> np.uint32(2)
+            parts.append((np.cumsum(delta, dtype=np.uint64), keys[at], sizes[at], ends[at], flagged & np.uint32(3)))
     if not parts:
         return
-    e, key, n, until, early = (np.concatenate(x) for x in zip(*parts))
+    e, key, n, until, kind = (np.concatenate(x) for x in zip(*parts))
     parts.clear()
     # most elements occur once
     order = np.argsort(e, kind="stable")
-    e = e[order]
-    shared = np.zeros(len(e), bool)
-    same = e[1:] == e[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    order, e = order[shared], e[shared]
-    key, n, until, early = key[order], n[order], until[order], early[order]
+    some = _shared(e[order])
+    order = order[some]
+    e, key, n, until, kind = e[order], key[order], n[order], until[order], kind[order]
     # a set that several tasks sent counts once
     order = np.lexsort((key, e))
-    e, key, n, until, early = e[order], key[order], n[order], until[order], early[order]
+    e, key, n, until, kind = e[order], key[order], n[order], until[order], kind[order]
     fresh = np.ones(len(e), bool)
     fresh[1:] = (e[1:] != e[:-1]) | (key[1:] != key[:-1])
-    e, key, n, until, early = e[fresh], key[fresh], n[fresh], until[fresh], early[fresh]
-    shared = np.zeros(len(e), bool)
-    same = e[1:] == e[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    e, key, n, until, early = e[shared], key[shared], n[shared], until[shared], early[shared]
-    if not len(e):
-        return
+    everything = [x[fresh] for x in (e, key, n, until, kind)]
     names = ["element", "key", "n", "until", "other"]
+    chosen = (everything[4] & INDEXED) > 0
+    e, key, n, until = (x[chosen] for x in everything[:4])
+    some = _shared(e)
+    e, key, n, until = e[some], key[some], n[some], until[some]
     for i in range(0, len(e), 100_000):
         s = slice(i, i + 100_000)
         yield pa.RecordBatch.from_arrays([pa.array(e[s].view(np.int64)), pa.array(key[s]), pa.array(n[s].astype(np.int32)), pa.array(until[s].astype(np.int64)), pa.nulls(len(e[s]), pa.int64())], names=names)
-    e, key, n = e[early], key[early], n[early]
+    chosen = (everything[4] & EARLY) > 0
+    e, key, n = (x[chosen] for x in everything[:3])
     order = np.lexsort((n, e))
     e, key, n = e[order], key[order], n[order]
     starts = np.flatnonzero(np.append(True, e[1:] != e[:-1])) if len(e) else []
@@ -322,9 +338,15 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 LINKED = "100 * overlap >= 75 * (n_a + n_b - overlap)"
 
 
+CROSS = "a long, b long, rest long, shared long, cell_a long, cell_b long"
+
+
 def _cross_pairs(batches):
-    """Of each list the pairs of sets in different components that sizes and common pivots allow, with the number of lists that a pair shares here."""
-    held = [[np.asarray(batch.column(x)) for x in ("element", "node", "comp", "n", "until", "pivot", "common")] for batch in batches if batch.num_rows]
+    """Of each list the pairs of sets in different components that sizes and common pivots allow, with the number of lists that a pair shares here.
+
+    Of sets in big cells only the pair of cells is told, once.
+    """
+    held = [[np.asarray(batch.column(x)) for x in ("element", "node", "comp", "n", "until", "pivot", "common", "cell")] for batch in batches if batch.num_rows]
     if not held:
         return
     columns = [np.concatenate(x) for x in zip(*held)]
@@ -336,15 +358,34 @@ def _cross_pairs(batches):
     # a list of one component has nothing to tell
     mixed = np.repeat(np.minimum.reduceat(columns[2], starts) != np.maximum.reduceat(columns[2], starts), sizes)
     sizes = np.repeat(sizes, sizes)[mixed]
-    e, node, comp, n, until, pivot, common = (x[mixed] for x in columns)
+    e, node, comp, n, until, pivot, common, cell = (x[mixed] for x in columns)
     if not len(e):
         return
+    # cells that meet in a list, of sets of different components
+    big = np.flatnonzero(cell >= 0)
+    met = np.unique(np.column_stack([e[big], cell[big], comp[big]]), axis=0)
+    cells = set()
+    for own in np.split(met, np.flatnonzero(np.diff(met[:, 0])) + 1) if len(met) else []:
+        per: dict[int, list[int]] = {}
+        for c, k in own[:, 1:].tolist():
+            per.setdefault(c, []).append(k)
+        names = sorted(per)
+        for i, c in enumerate(names):
+            if len(per[c]) > 1:
+                cells.add((c, c))
+            for d in names[i + 1 :]:
+                if (c, d) not in cells and (len(per[c]) > 1 or len(per[d]) > 1 or per[c] != per[d]):
+                    cells.add((c, d))
+    if cells:
+        pairs = np.array(sorted(cells), np.int64)
+        none = pa.nulls(len(pairs), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=NAMES)
 
     def allowed(i, j):
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         # what both share with one pivot bounds what they share with each other
         bound = np.minimum(common[i], common[j]) + np.minimum(n[i] - common[i], n[j] - common[j])
-        ok = (comp[j] != comp[i]) & (100 * small >= 75 * large) & ((pivot[j] != pivot[i]) | (pivot[i] < 0) | (7 * bound >= 3 * (n[i] + n[j])))
+        ok = (comp[j] != comp[i]) & (100 * small >= 75 * large) & ((cell[i] < 0) | (cell[j] < 0)) & ((pivot[j] != pivot[i]) | (pivot[i] < 0) | (7 * bound >= 3 * (n[i] + n[j])))
         i, j = np.broadcast_to(i, ok.shape)[ok], j[ok]
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         # the side whose indexed positions end first has all the rest beyond them
@@ -356,15 +397,22 @@ def _cross_pairs(batches):
     short = np.flatnonzero(sizes <= SHORT)
     steps = []
     for d in range(1, SHORT):
-        i = short[:-d] if len(short) > d else short[:0]
-        i = i[e[i] == e[np.minimum(i + d, len(e) - 1)]]
-        i = i[i + d < len(e)]
+        i = short[short + d < len(e)]
+        i = i[e[i] == e[i + d]]
         if not len(i):
             break
         steps += [(i[k : k + FLUSH], i[k : k + FLUSH] + d) for k in range(0, len(i), FLUSH)]
-    ends = np.searchsorted(e, e, side="right")
-    long = ((np.int64(i), np.arange(i + 1, ends[i])) for i in np.flatnonzero(sizes > SHORT) if ends[i] > i + 1)
-    for group in (steps, long):
+    # in a long list the sets in no big cell meet all others
+    ends, begins = np.searchsorted(e, e, side="right"), np.searchsorted(e, e, side="left")
+
+    def long_lists():
+        for i in np.flatnonzero((sizes > SHORT) & (cell < 0)):
+            j = np.arange(begins[i], ends[i])
+            j = j[(j > i) | (cell[j] >= 0)]
+            if len(j):
+                yield np.int64(i), j
+
+    for group in (steps, long_lists()):
         for i, j in group:
             rows = allowed(i, j)
             found.append(rows)
@@ -382,7 +430,56 @@ def _indexed(n):
 
 def _counted(found: list[np.ndarray]):
     rows, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(counts.astype(np.int64))], names=["a", "b", "rest", "shared"])
+    none = pa.nulls(len(rows), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(counts.astype(np.int64)), none, none], names=NAMES)
+
+
+NAMES = ["a", "b", "rest", "shared", "cell_a", "cell_b"]
+
+
+def _compare_block(key, table):
+    """A forest of the links between two blocks of sets of different components, from their texts."""
+    hashes = WordHashes()
+    table = table.combine_chunks()
+    node, comp, side = (np.asarray(table.column(x).combine_chunks()) for x in ("node", "comp", "side"))
+    sets = [shingles(t, hashes) for t in table.column("text").cast(pa.binary()).to_pylist()]
+    n = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    element, dense = np.unique(np.concatenate(sets), return_inverse=True) if len(sets) else (np.zeros(0), np.zeros(0, int))
+    shared = np.bincount(dense, minlength=len(element)) > 1
+    number = np.cumsum(shared) - 1
+    kept = shared[dense]
+    row, column = row[kept], number[dense[kept]]
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    place = np.full(len(sets), -1)
+    place[left] = np.arange(len(left))
+    other = np.full(len(sets), -1)
+    other[right] = np.arange(len(right))
+    width = int(shared.sum())
+    for at in range(0, width, 4096):
+        here = (column >= at) & (column < at + 4096)
+        r, c = row[here], column[here] - at
+        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        x[place[r[place[r] >= 0]], c[place[r] >= 0]] = 1
+        y[other[r[other[r] >= 0]], c[other[r] >= 0]] = 1
+        overlap += x @ y.T
+    linked = (100 * overlap >= 75 * (n[left][:, None] + n[right][None] - overlap)) & (comp[left][:, None] != comp[right][None])
+    joined: dict[int, int] = {}
+
+    def find(x):
+        while joined.get(x, x) != x:
+            joined[x] = joined.get(joined[x], joined[x])
+            x = joined[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = find(int(comp[left[i]])), find(int(comp[right[j]]))
+        if a != b:
+            joined[max(a, b)] = min(a, b)
+            out.append((int(node[left[i]]), int(node[right[j]])))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,34 +517,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = starred.filter(LINKED)
     comps = materialise(connected_components(found, "a", "b"), "jaccard-components")
 
-    # What each set shares with one pivot: the side of its comparisons with the largest overlap for the pair.
-    sides = starred.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "overlap").union(starred.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "overlap"))
+    # What each set shares with one pivot, of those it was compared with the one compared most.
+    sides = starred.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "overlap", "n_a", "n_b").union(starred.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "overlap", "n_a", "n_b"))
     many = reps.groupBy("node").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("node")
-    sides = sides.join(many, "node", "left_anti").join(many.select(F.col("node").alias("pivot")), "pivot", "left_anti").select("node", "pivot", "overlap")
-    degrees = sides.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    near = sides.join(degrees.select(F.col("node").alias("pivot"), "d"), "pivot").groupBy("node").agg(F.max_by(F.struct("pivot", "overlap"), F.struct("d", "pivot")).alias("p")).select("node", "p.pivot", "p.overlap")
-
-    members = lists.filter("element is not null").join(reps, "key")
-    labelled = (
-        members.join(comps.select(F.col("id").alias("node"), "component"), "node", "left")
-        .join(near, "node", "left")
-        .select(
-            "element",
-            "node",
-            F.coalesce("component", "node").alias("comp"),
-            F.col("n").cast("long").alias("n"),
-            "until",
-            F.coalesce("pivot", F.lit(-1).cast("long")).alias("pivot"),
-            F.coalesce("overlap", F.lit(0).cast("long")).alias("common"),
-        )
-    )
-    crossing = labelled.repartition(buckets, "element").mapInArrow(_cross_pairs, "a long, b long, rest long, shared long")
-    left = crossing.groupBy("a", "b").agg(F.min("rest").alias("least"), F.max("rest").alias("rest"), F.sum("shared").alias("shared")).filter("7 * shared + rest >= 0").select("a", "b")
+    sides = sides.join(many, "node", "left_anti").join(many.select(F.col("node").alias("pivot")), "pivot", "left_anti")
+    sides = sides.filter("4 * overlap >= n_a + n_b - overlap").select("node", "pivot", "overlap")
+    degrees = sides.groupBy(F.col("node").alias("pivot")).agg(F.count(F.lit(1)).alias("d"))
+    ranked = sides.join(degrees, "pivot").select("node", "pivot", "overlap", "d")
+    own = degrees.select(F.col("pivot").alias("node"), "pivot", F.lit(None).cast("long").alias("overlap"), "d")
+    near = ranked.union(own).groupBy("node").agg(F.max_by(F.struct("pivot", "overlap"), F.struct("d", "pivot")).alias("p")).select("node", "p.pivot", "p.overlap")
+    near = materialise(near, "jaccard-near")
+    cells = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= BIG_CELL)
+    labels = comps.select(F.col("id").alias("node"), "component")
+    placed = reps.groupBy("node").agg(F.count(F.lit(1)).alias("k")).select("node").join(labels, "node", "left").join(near.join(cells.select("pivot", "size"), "pivot", "left"), "node", "left")
+    placed = materialise(placed.select("node", F.coalesce("component", "node").alias("comp"), F.coalesce("pivot", F.lit(-1).cast("long")).alias("pivot"), "overlap", F.when(F.col("size").isNotNull(), F.col("pivot")).otherwise(F.lit(-1).cast("long")).alias("cell")), "jaccard-placed")
+
+    members = lists.filter("element is not null").join(reps, "key").drop("key").join(placed, "node")
+    labelled = members.select("element", "node", "comp", F.col("n").cast("long").alias("n"), "until", "pivot", F.coalesce("overlap", F.when(F.col("pivot") == F.col("node"), F.col("n")), F.lit(0)).cast("long").alias("common"), "cell")
+    crossing = materialise(labelled.repartition(buckets, "element").mapInArrow(_cross_pairs, CROSS), "jaccard-crossing")
+    left = crossing.filter("a is not null").groupBy("a", "b").agg(F.max("rest").alias("rest"), F.sum("shared").alias("shared")).filter("7 * shared + rest >= 0").select("a", "b")
     left = left.join(starred.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialise(compare(left, texts), "jaccard-compared")
-    more = rest.filter(LINKED)
-    if more.limit(1).count():
-        comps = materialise(connected_components(found.union(more), "a", "b"), "jaccard-components")
+    rest = materialise(compare(left, texts).filter(LINKED).select("a", "b"), "jaccard-linked")
+
+    meetings = materialise(crossing.filter("cell_a is not null").select("cell_a", "cell_b").distinct(), "jaccard-cells")
+    if meetings.limit(1).count():
+        # blocks of a cell's sets, those of one component side by side
+        order = Window.partitionBy("cell").orderBy("comp", "node")
+        blocked = materialise(placed.filter("cell >= 0").select("node", "comp", "cell", F.floor((F.row_number().over(order) - 1) / BLOCK).alias("block")), "jaccard-blocks")
+        ranges = blocked.groupBy("cell", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        one, two = (ranges.select(*[F.col(c).alias(f"{c}_{k}") for c in ("cell", "block", "low", "high")]) for k in "ab")
+        met = meetings.join(one, "cell_a").join(two, "cell_b").filter("(cell_a <> cell_b or block_a <= block_b) and not (low_a = high_a and low_b = high_b and low_a = low_b)")
+        met = met.select("cell_a", "block_a", "cell_b", "block_b")
+        same = F.col("cell_a").eqNullSafe(F.col("cell_b")) & F.col("block_a").eqNullSafe(F.col("block_b"))
+        sent = met.select("*", F.col("cell_a").alias("cell"), F.col("block_a").alias("block"), F.when(same, 1).otherwise(0).alias("side")).union(met.filter(~same).select("*", F.col("cell_b"), F.col("block_b"), F.lit(2)))
+        sent = sent.join(blocked, ["cell", "block"]).join(texts.select(F.col("id").alias("node"), "text"), "node")
+        blocks = sent.select("cell_a", "block_a", "cell_b", "block_b", "side", "node", "comp", "text").groupBy("cell_a", "block_a", "cell_b", "block_b").applyInArrow(_compare_block, "a long, b long")
+        rest = rest.union(materialise(blocks, "jaccard-linked"))
+    if rest.limit(1).count():
+        comps = materialise(connected_components(found.select("a", "b").union(rest), "a", "b"), "jaccard-components")
 
     return (
         sets.join(reps, "key", "left")

@@ -113,7 +113,7 @@ def supervoxel_centres(points: DataFrame, partition: DataFrame) -> DataFrame:
     """Mean position, colour and normal of each supervoxel."""
     from lithomesh.operators.voxels import centroids
 
-    return centroids(points.join(partition.filter("label > 0"), [SCENE, "pid"]), [SCENE, "label"])
+    return centroids(points.drop("label").join(partition.filter("label > 0"), [SCENE, "pid"]), [SCENE, "label"])
 
 
 def supervoxel_adjacency(points: DataFrame, partition: DataFrame, resolution: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithomesh.plans.storage import discard, materialise
@@ -50,3 +50,57 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     found = members.union(roots)
     alone = looped.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
     return found.union(alone)
+
+
+def fuse_small(partition: DataFrame, edges: DataFrame, cutoff: int) -> DataFrame:
+    """(scene_id, pid, label): components of fewer than ``cutoff`` points join the largest component that an edge leads to.
+
+    Sizes are those before fusing and ties go to the smallest label; a chain of small
+    components ends where its last one leads, and small components that lead only to
+    each other become the one with the smallest label.
+    """
+    scene = "scene_id"
+    sizes = partition.groupBy(scene, "label").agg(F.count(F.lit(1)).alias("n"))
+    own = partition.select(scene, "pid", "label")
+    ends = edges.join(own.select(scene, F.col("pid").alias("src"), F.col("label").alias("a")), [scene, "src"]).join(own.select(scene, F.col("pid").alias("dst"), F.col("label").alias("b")), [scene, "dst"]).filter("a <> b")
+    pairs = ends.select(scene, "a", "b").union(ends.select(scene, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    small = sizes.filter(F.col("n") < cutoff).select(scene, F.col("label").alias("a"))
+    larger = pairs.join(small, [scene, "a"], "left_semi").join(sizes.select(scene, F.col("label").alias("b"), "n"), [scene, "b"])
+    to = larger.groupBy(scene, "a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    # labels of one scene only meet those of the same scene
+    named = own.select(scene, "label").distinct().withColumn("node", F.xxhash64(scene, "label"))
+    links = to.join(named.select(scene, F.col("label").alias("a"), F.col("node").alias("u")), [scene, "a"]).join(named.select(scene, F.col("label").alias("b"), F.col("node").alias("v")), [scene, "b"])
+    groups = connected_components(links, "u", "v")
+    fused = named.join(groups.withColumnRenamed("id", "node"), "node", "left").join(sizes, [scene, "label"])
+    group = F.coalesce("component", "node")
+    best = fused.groupBy(scene, group.alias("g")).agg(F.max_by("label", F.struct((F.col("n") >= cutoff).alias("large"), F.when(F.col("n") >= cutoff, F.col("n")).otherwise(0).alias("size"), -F.col("label"))).alias("new"))
+    target = fused.withColumn("g", group).join(best, [scene, "g"]).select(scene, "label", F.col("new"))
+    return own.join(target, [scene, "label"]).select(scene, "pid", F.col("new").alias("label"))
+
+
+def random_subgraph(edges: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """Edges among the ``size`` vertices that a breadth-first search from a seeded random vertex reaches first, for each scene.
+
+    Vertices of one distance from the start are taken in the order of their hashes.
+    A scene with fewer vertices keeps all of its edges.
+    """
+    scene = "scene_id"
+    vertices = edges.select(scene, F.col("src").alias("pid")).union(edges.select(scene, F.col("dst").alias("pid"))).distinct()
+    mix = F.xxhash64(F.lit(seed), scene, "pid")
+    start = vertices.groupBy(scene).agg(F.min_by("pid", F.struct(mix, F.col("pid"))).alias("pid"))
+    reached = materialise(start.select(scene, "pid", F.lit(0).alias("depth")), "subgraph")
+    step = edges.select(scene, F.col("src").alias("pid"), F.col("dst").alias("next"))
+    depth = 0
+    while True:
+        wanting = reached.groupBy(scene).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < size)
+        border = reached.filter(F.col("depth") == depth).join(wanting.select(scene), scene, "left_semi")
+        fresh = border.join(step, [scene, "pid"]).select(scene, F.col("next").alias("pid")).distinct().join(reached.select(scene, "pid"), [scene, "pid"], "left_anti")
+        new = materialise(fresh.withColumn("depth", F.lit(depth + 1)), "subgraph")
+        if not new.limit(1).count():
+            break
+        reached = materialise(reached.unionByName(new), "subgraph")
+        depth += 1
+    kept = reached.withColumn("_r", F.row_number().over(Window.partitionBy(scene).orderBy("depth", mix, "pid"))).filter(F.col("_r") <= size).select(scene, "pid")
+    whole = vertices.groupBy(scene).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < size).select(scene)
+    part = edges.join(whole, scene, "left_anti").join(kept.withColumnRenamed("pid", "src"), [scene, "src"], "left_semi").join(kept.withColumnRenamed("pid", "dst"), [scene, "dst"], "left_semi")
+    return part.unionByName(edges.join(whole, scene, "left_semi"))

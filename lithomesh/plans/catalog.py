@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithomesh.operators import analysis, cut_pursuit, edges, features, geodesic, linkage, neighbours, regions, scoring, supervoxels, voxel_graph, voxels
+from lithomesh.operators import analysis, components, cut_pursuit, edges, features, geodesic, linkage, neighbours, regions, scoring, supervoxels, voxel_graph, voxels
 from lithomesh.operators.components import connected_components
 from lithomesh.plans.storage import materialise
 
@@ -173,6 +173,18 @@ def _weighted(s: SparkSession, d: str) -> DataFrame:
     return _rounded(voxels.weighted_scatter(cells, ["scene_id", *voxels.BINS], "w"), _E6)
 
 
+def _eigen_features(s: SparkSession, d: str) -> DataFrame:
+    names = ["linearity", "planarity", "scattering", "omnivariance", "eigensum", "anisotropy", "eigenentropy"]
+    return _rounded(features.point_features(points(s, d), knn(s, d), names), names, 5)
+
+
+def _fused(s: SparkSession, d: str) -> DataFrame:
+    graph_ = knn(s, d, 2)
+    found = connected_components(edges.mutual(graph_), "src", "dst")
+    labels = points(s, d).select("scene_id", "pid").join(found.withColumnRenamed("id", "pid"), "pid", "left").select("scene_id", "pid", F.coalesce("component", "pid").alias("label"))
+    return components.fuse_small(labels, knn(s, d).select("scene_id", "src", "dst"), 5)
+
+
 QUERIES = {
     # match orders and accuracy
     "ooa_of_voxel_partition": ooa_of_voxel_partition,
@@ -232,9 +244,12 @@ QUERIES = {
     "least_distances": lambda s, d: geodesic.least_distances(graph(s, d), 3).select("scene_id", "src", F.transform("dists", lambda x: F.round(x, 6)).alias("dists")),
     "path_lengths": lambda s, d: _rounded(geodesic.path_length(graph(s, d), _seeds(s, d).select("scene_id", F.col("pid").alias("src"), (F.col("pid") + SCENES).alias("dst"))), ["dist"]),
     "components": lambda s, d: connected_components(edges.mutual(knn(s, d, 2)), "src", "dst"),
+    "fused_components": _fused,
+    "random_subgraph": lambda s, d: components.random_subgraph(graph(s, d).select("scene_id", "src", "dst"), 40),
     # features
     "neighbour_scatter": lambda s, d: _rounded(features.neighbourhood_scatter(points(s, d), knn(s, d)), _E6),
     "point_features": lambda s, d: _rounded(features.point_features(points(s, d), knn(s, d), features.GEOF), features.GEOF, 5),
+    "eigen_features": _eigen_features,
     "all_point_features": lambda s, d: features.point_features(points(s, d), knn(s, d), features.ALL_GEOF),
     "curvature_normals": lambda s, d: features.point_features(points(s, d), knn(s, d), features.CURVATURE),
     "pca_normals": lambda s, d: features.pca_normals(points(s, d), knn(s, d)),
@@ -265,6 +280,19 @@ QUERIES = {
 }
 
 _GROUP = "scene_id, ix, iy, iz"
+#: Least path lengths from every twentieth point, by a keyed recursion.
+PATHS = f"""RECURSIVE {GRAPH},
+w(scene_id, root, v, d) USING KEY (root, v) AS (SELECT scene_id, pid, pid, 0.0::double FROM p WHERE pid % 20 = 0
+  UNION SELECT w.scene_id, w.root, e.dst, min(w.d + e.dist) FROM w JOIN e ON e.src = w.v LEFT JOIN recurring.w o ON o.root = w.root AND o.v = e.dst
+  WHERE w.d + e.dist < coalesce(o.d, 1e300) GROUP BY 1, 2, 3)"""
+#: Eigenvalues of symmetric matrices by the trigonometric formula.
+EIGEN = f"""{KNN},
+c AS (SELECT scene_id, src AS pid, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz
+  FROM (SELECT k.scene_id, src, x, y, z FROM k JOIN p ON pid = dst UNION ALL SELECT scene_id, pid, x, y, z FROM p) GROUP BY ALL),
+c2 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c),
+c3 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS t FROM c2),
+c4 AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * t * t * t)))) / 3 AS phi FROM c3),
+ev AS (SELECT scene_id, pid, q + 2 * t * cos(phi) AS l1, greatest(0, 3 * q - (q + 2 * t * cos(phi)) - (q + 2 * t * cos(phi + 2 * pi() / 3))) AS l2, greatest(0, q + 2 * t * cos(phi + 2 * pi() / 3)) AS l3 FROM c4)"""
 
 SQL = {
     "ooa_of_voxel_partition": _sql("SELECT scene_id, round(sum(m) / sum(a), 9) AS ooa, count(*) AS n_superpoints FROM (SELECT scene_id, s, max(n) AS m, sum(n) AS a FROM t GROUP BY ALL) GROUP BY scene_id", TABLE),
@@ -320,6 +348,11 @@ SQL = {
     "complete_scenes": _sql(f"SELECT scene_id FROM (SELECT p.scene_id, p.pid, count(k.dst) AS n FROM p LEFT JOIN k ON k.src = p.pid GROUP BY ALL) GROUP BY scene_id HAVING min(n) >= {NEAR}", KNN),
     "geodesic_hops": _sql("SELECT scene_id, src, dst, round(min(dist), 6) + 0.0 AS dist FROM (SELECT scene_id, pid AS src, pid AS dst, 0.0::double AS dist FROM p WHERE pid % 20 = 0 UNION ALL SELECT scene_id, src, dst, dist FROM e WHERE src % 20 = 0 UNION ALL SELECT a.scene_id, a.src, b.dst, a.dist + b.dist FROM e a JOIN e b ON a.scene_id = b.scene_id AND a.dst = b.src WHERE a.src % 20 = 0) GROUP BY ALL", GRAPH),
     "geodesic_radius": _sql(f"SELECT scene_id, src, dst, round(min(dist), 6) + 0.0 AS dist FROM w WHERE src <> dst GROUP BY scene_id, src, dst", f"RECURSIVE {GRAPH},\nw AS (SELECT scene_id, pid AS src, pid AS dst, 0.0::double AS dist FROM p WHERE pid % 20 = 0 UNION SELECT w.scene_id, w.src, e.dst, w.dist + e.dist FROM w JOIN e ON e.scene_id = w.scene_id AND e.src = w.dst WHERE w.dist + e.dist < {REACH} AND e.dist > 0)"),
+    "shortest_paths": _sql("SELECT scene_id, root, v, round(d, 6) + 0.0 AS d FROM w", PATHS),
+    "geodesic_knn": _sql("SELECT * FROM (SELECT scene_id, root AS src, v AS dst, round(d, 6) + 0.0 AS dist, row_number() OVER (PARTITION BY root ORDER BY d, v) AS rank FROM w WHERE root <> v) WHERE rank <= 4", PATHS),
+    "path_lengths": _sql(f"SELECT p.scene_id, p.pid AS src, p.pid + {SCENES} AS dst, round(d, 6) + 0.0 AS dist FROM p LEFT JOIN w ON w.root = p.pid AND w.v = p.pid + {SCENES} WHERE p.pid % 20 = 0", PATHS),
+    "grown_regions": _sql("SELECT scene_id, root, v AS pid FROM w", f"RECURSIVE {GRAPH},\nw AS (SELECT scene_id, pid AS root, pid AS v FROM p WHERE pid % 20 = 0 UNION SELECT w.scene_id, w.root, e.dst FROM w JOIN e ON e.scene_id = w.scene_id AND e.src = w.v JOIN p a ON a.pid = w.root JOIN p b ON b.pid = e.dst WHERE acos(least(greatest(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz, -1), 1)) < radians(60))"),
+    "eigen_features": _sql("SELECT scene_id, pid, round((sqrt(l1) - sqrt(l2)) / sqrt(l1), 5) + 0.0 AS linearity, round((sqrt(l2) - sqrt(l3)) / sqrt(l1), 5) + 0.0 AS planarity, round(sqrt(l3) / sqrt(l1), 5) + 0.0 AS scattering, round(l3 / (l1 + l2 + l3), 5) + 0.0 AS omnivariance, round(l1 + l2 + l3, 5) + 0.0 AS eigensum, round((l1 - l3) / l1, 5) + 0.0 AS anisotropy, round(-(l1 * ln(l1) + l2 * ln(l2) + l3 * ln(l3)), 5) + 0.0 AS eigenentropy FROM ev", EIGEN),
     "components": _sql("SELECT id, min(component) AS component FROM w GROUP BY id", f"RECURSIVE {KNN.replace(f'rank <= {NEAR}', 'rank <= 2')},\nm AS (SELECT src, dst FROM k WHERE EXISTS (SELECT 1 FROM k o WHERE o.src = k.dst AND o.dst = k.src)),\nw AS (SELECT src AS id, src AS component FROM m UNION SELECT m.dst, w.component FROM w JOIN m ON m.src = w.id)"),
     "neighbour_scatter": _sql(f"SELECT scene_id, src AS pid, {_COV.format(least=1, times='')}, count(*) AS n FROM (SELECT k.scene_id, src, x, y, z FROM k JOIN p ON pid = dst UNION ALL SELECT scene_id, pid, x, y, z FROM p) GROUP BY scene_id, src", KNN),
     "joined_results": f"WITH {BOTH}\nSELECT Name, a AS OOA_cp_P, sa AS Size_cp_P, b AS OOA_cp_M, sb AS Size_cp_M FROM j",

@@ -8,7 +8,7 @@ correlation test. Tokens that fail are ordinary text. Which p-values count as
 failures is decided for each encoding and band of lengths by the
 Benjamini-Hochberg procedure over the tokens of the whole corpus, so that short
 tokens, on which the tests say little, are not judged by the crowd of long ones;
-what passes is reported as kind ``random``.
+what passes is reported as kind ``random``, also inside base spans.
 """
 
 from __future__ import annotations
@@ -88,8 +88,7 @@ def _spans(docs: DataFrame, text: Column) -> DataFrame:
     alphabets = _case("c.kind", {name: f"'{a}'" for name, _, a in ENCODINGS})
     shares = {name: "array(" + ", ".join(f"{sum(v * CELLS // len(a) == j for v in range(len(a))) / len(a)!r}D" for j in range(CELLS)) + ")" for name, _, a in ENCODINGS}
     steps = [
-        # letters and digits, outside the base spans
-        "filter(tokens, c -> c.match RLIKE '[A-Za-z]' AND c.match RLIKE '[0-9]' AND NOT exists(concat(assign, access, hex), b -> b.start < c.end AND b.end > c.start))",
+        "filter(tokens, c -> c.match RLIKE '[A-Za-z]' AND c.match RLIKE '[0-9]')",
         f"filter(transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'match', c.match, 'n', length(c.match), 'kind', {patterns})), c -> c.kind IS NOT NULL)",
         f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'size', length({alphabets}), 'v', transform(sequence(1, c.n), i -> instr({alphabets}, substring(c.match, i, 1)) - 1)))",
         "transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'size', c.size, 'v', c.v,"

@@ -32,32 +32,34 @@ def object_share_density(table: DataFrame) -> DataFrame:
     return table.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy(SCENE, "o")))
 
 
-def _best(table: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group in an order, by a combinable aggregate instead of a sort."""
-    return table.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_rank = 1").drop("_rank")
+def _best(table: DataFrame, by: list[str], least: list[Column]) -> DataFrame:
+    """The row of each group with the least values of some columns in order, by an aggregate that combines before the shuffle."""
+    rest = [c for c in table.columns if c not in by]
+    best = table.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(least)])).alias("_row"))
+    return best.select(*by, "_row.*")
 
 
 def alpha(table: DataFrame) -> DataFrame:
     """Best object of each superpoint."""
-    return _best(table, [SCENE, "s"], [F.desc("density"), F.asc("o")]).select(SCENE, "s", F.col("o").alias("alpha"))
+    return _best(table, [SCENE, "s"], [-F.col("density"), F.col("o")]).select(SCENE, "s", F.col("o").alias("alpha"))
 
 
 def beta(table: DataFrame) -> DataFrame:
     """Best superpoint of each object."""
-    return _best(table.filter("density > 0"), [SCENE, "o"], [F.desc("density"), F.asc("s")]).select(SCENE, "o", F.col("s").alias("beta"))
+    return _best(table.filter("density > 0"), [SCENE, "o"], [-F.col("density"), F.col("s")]).select(SCENE, "o", F.col("s").alias("beta"))
 
 
 def alpha_beta(table: DataFrame) -> DataFrame:
     """Of the objects whose best superpoint is s the one with the largest density, with that density; a superpoint without one has no row."""
     own = table.join(beta(table), [SCENE, "o"]).filter("beta = s")
-    return _best(own, [SCENE, "s"], [F.desc("density"), F.asc("o")]).select(SCENE, "s", F.col("o").alias("alpha_beta"), F.col("density").alias("density_ab"))
+    return _best(own, [SCENE, "s"], [-F.col("density"), F.col("o")]).select(SCENE, "s", F.col("o").alias("alpha_beta"), F.col("density").alias("density_ab"))
 
 
 def gamma(table: DataFrame) -> DataFrame:
     """Of each object the best superpoint other than beta whose density exceeds that of its own alpha_beta."""
     other = table.join(beta(table), [SCENE, "o"], "left").join(alpha_beta(table), [SCENE, "s"], "left")
     other = other.filter("density > 0 and not (s <=> beta) and density > coalesce(density_ab, 0)")
-    return _best(other, [SCENE, "o"], [F.desc("density"), F.asc("s")]).select(SCENE, "o", F.col("s").alias("gamma"))
+    return _best(other, [SCENE, "o"], [-F.col("density"), F.col("s")]).select(SCENE, "o", F.col("s").alias("gamma"))
 
 
 def matched_objects(table: DataFrame) -> DataFrame:
@@ -75,10 +77,10 @@ def third_order_pairs(table: DataFrame) -> DataFrame:
 def _delta(table: DataFrame) -> DataFrame:
     """The first object, by falling density, that both is a third-order pair of s and has s as its best third-order superpoint."""
     pairs = third_order_pairs(table)
-    best = _best(pairs, [SCENE, "o"], [F.desc("density"), F.asc("s")]).select(SCENE, "o", F.col("s").alias("b"))
+    best = _best(pairs, [SCENE, "o"], [-F.col("density"), F.col("s")]).select(SCENE, "o", F.col("s").alias("b"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(SCENE, "s").orderBy(F.desc("density"), F.desc("o"))))
     own = ranked.join(best, [SCENE, "o"]).filter("b = s")
-    return _best(own, [SCENE, "s"], [F.asc("rank")]).select(SCENE, "s", F.col("o").alias("a"), F.col("density").alias("force3"))
+    return _best(own, [SCENE, "s"], [F.col("rank")]).select(SCENE, "s", F.col("o").alias("a"), F.col("density").alias("force3"))
 
 
 def forces(table: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def label_index(partition: DataFrame) -> DataFrame:
 def match_counts(table: DataFrame) -> DataFrame:
     """For each superpoint and its best object: points inside, points of the superpoint outside, points of the object left."""
     sized = table.withColumn("n_s", F.sum("n").over(Window.partitionBy(SCENE, "s"))).withColumn("n_o", F.sum("n").over(Window.partitionBy(SCENE, "o")))
-    best = _best(sized, [SCENE, "s"], [F.desc("n"), F.asc("o")])
+    best = _best(sized, [SCENE, "s"], [-F.col("n"), F.col("o")])
     return best.select(SCENE, "s", "o", F.col("n").alias("inliers"), (F.col("n_s") - F.col("n")).alias("outliers"), (F.col("n_o") - F.col("n")).alias("remaining"))
 
 

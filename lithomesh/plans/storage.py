@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,16 +44,26 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lithomesh_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this process has written, when no result that is still to be read needs them."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialise`` wrote, once no plan needs them."""
     path = getattr(df, "_lithomesh_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+        _delete(df.sparkSession, path)
+        _written.remove(path)

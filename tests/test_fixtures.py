@@ -278,3 +278,28 @@ def test_tables(spark, tmp_path):
 
 def test_latex_rows():
     assert analysis.latex_table([{"a": 1.234, "b": "x"}], ["b", "a"]) == r"x & 1.23 \\"
+
+
+def test_shared_tables(spark):
+    from lithomesh.plans.storage import discard, materialise, sweep
+
+    one, two = materialise(spark.range(5), "t"), materialise(spark.range(7), "t")
+    assert (one.count(), two.count()) == (5, 7)
+    discard(one)
+    with pytest.raises(Exception, match="FAILED_READ_FILE|PATH_NOT_FOUND|does not exist"):
+        one.count()
+    assert two.count() == 7
+    sweep(spark)
+
+
+def test_fused_components(spark):
+    from lithomesh.operators.components import fuse_small, random_subgraph
+
+    e = spark.createDataFrame([("s", 2, 3), ("s", 4, 5), ("s", 7, 8)], "scene_id string, src long, dst long")
+    # sizes 3, 1, 1, 2, 1: component 3 leads to 0, 4 to 5, 7 and 8 only to each other
+    p = partition(spark, [0, 0, 0, 3, 4, 5, 5, 7, 8])
+    assert [r.label for r in fuse_small(p, e, 2).orderBy("pid").collect()] == [0, 0, 0, 0, 5, 5, 5, 7, 7]
+    sub = random_subgraph(chain(spark, 20).select("scene_id", "src", "dst"), 6)
+    ends = {x for r in sub.collect() for x in (r.src, r.dst)}
+    assert len(ends) == 6 and max(ends) - min(ends) == 5
+    assert random_subgraph(chain(spark, 4).select("scene_id", "src", "dst"), 9).count() == 6

@@ -102,9 +102,9 @@ def _runs(carried: list[str], schema: pa.Schema):
                     "head": mask,
                     "edge": pa.array(edge),
                 }
+                first = pa.array(np.arange(len(heads)), mask=~heads)
                 for name in carried:
-                    kind = schema.field(name).type
-                    columns[name] = pc.if_else(mask, part.column(name).cast(kind), pa.scalar(None, kind)) if not pa.types.is_nested(kind) else part.column(name).take(pa.array(np.where(heads, np.arange(len(heads)), -1), mask=~heads))
+                    columns[name] = part.column(name).take(first)
                 yield pa.RecordBatch.from_arrays([columns[x].cast(schema.field(x).type) for x in names], schema=schema)
             head = {name: pa.concat_arrays([batch.column(name).slice(last, 1)]) for name in carried}
             open_run = (text[last].as_py(), [pa.concat_arrays([ids.slice(last)])], head, batch.column("pid")[last].as_py(), batch.column("sha")[last].as_py())

@@ -60,7 +60,7 @@ class WordHashes(dict):
     """Hashes of words seen; starts anew when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out

@@ -83,6 +83,24 @@ def latex_table(summary: list[dict], columns: list[str]) -> str:
     return "\n".join(" & ".join(f"{r[c]:.2f}" if isinstance(r[c], float) else str(r[c]) for c in columns) + r" \\" for r in summary)
 
 
+def upper_median(column: str):
+    """The middle value, the upper one of two."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
+
+
+def robust_scale(values: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """Upper median of each group, and 1.4826 times the upper median of the distances from it."""
+    middle = values.groupBy(*by).agg(upper_median(column).alias("median"))
+    away = values.join(middle, by).withColumn("_away", F.abs(F.col(column) - F.col("median")))
+    return away.groupBy(*by, "median").agg((upper_median("_away") * 1.4826).alias("scale"))
+
+
+def robust_inliers(values: DataFrame, column: str, by: list[str], limit: float = 2.5) -> DataFrame:
+    """Rows less than ``limit`` robust deviations from their group's median."""
+    scales = robust_scale(values, column, by)
+    return values.join(scales, by).filter(F.abs(F.col(column) - F.col("median")) / (F.col("scale") + 1e-6) < limit).drop("median", "scale")
+
+
 def pooled_t(values: DataFrame, a: str, b: str) -> DataFrame:
     """Two-sample t statistic with pooled variance, and its degrees of freedom, in one row."""
     stats = values.agg(*[f(c).alias(f"{n}_{k}") for k, c in (("a", a), ("b", b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])

@@ -103,3 +103,8 @@ def centroids(points: DataFrame, by: list[str]) -> DataFrame:
     """Mean position, colour and unit normal of each group."""
     means = points.groupBy(*by).agg(*[F.avg(c).alias(c) for c in (*"xyz", *"rgb")], F.count(F.lit(1)).alias("n"))
     return means.join(mean_normals(points, by), by)
+
+
+def perspective(points: DataFrame) -> DataFrame:
+    """Points with x / z, y / z and ln z as coordinates, for clouds seen from their origin; points not before it are left out."""
+    return points.filter("z > 0").withColumns({"x": F.col("x") / F.col("z"), "y": F.col("y") / F.col("z"), "z": F.ln("z")})

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lithomesh.operators import analysis, components, cut_pursuit, edges, features, geodesic, linkage, neighbours, regions, scoring, supervoxels, voxel_graph, voxels
 from lithomesh.operators.components import connected_components
 from lithomesh.plans.storage import materialise
+from lithomesh.sources import scans, tables
 
 SCENES = 5
 CELL = 0.15
@@ -185,6 +186,22 @@ def _fused(s: SparkSession, d: str) -> DataFrame:
     return components.fuse_small(labels, knn(s, d).select("scene_id", "src", "dst"), 5)
 
 
+def _indices(s: SparkSession, d: str) -> DataFrame:
+    """Line items as vertices, the last digits of their parts as over-segments."""
+    return table(s, d, "lineitem").select(F.lit("all").alias("scene_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), (F.col("l_partkey") % 97).alias("segment"))
+
+
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers' nations as groups of over-segments."""
+    return table(s, d, "supplier").select(F.lit("all").alias("scene_id"), (F.col("s_nationkey") + 1).cast("int").alias("ordinal"), (F.col("s_suppkey") % 97).alias("segment"))
+
+
+def _wide(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("ID"), F.col("l_returnflag").alias("algorithm")).agg(F.round(F.avg(F.col("l_discount").cast("double")), 9).alias("ooa"), F.count(F.lit(1)).alias("n_superpoints"), F.max("l_linenumber").cast("double").alias("duration"))
+    names = rows.withColumn("Name", F.concat(F.lit("s"), F.col("ID").cast("string"))).withColumn("n_points", F.lit(1))
+    return tables.wide_results(names, ["A", "N", "R"])
+
+
 QUERIES = {
     # match orders and accuracy
     "ooa_of_voxel_partition": ooa_of_voxel_partition,
@@ -254,7 +271,16 @@ QUERIES = {
     "curvature_normals": lambda s, d: features.point_features(points(s, d), knn(s, d), features.CURVATURE),
     "pca_normals": lambda s, d: features.pca_normals(points(s, d), knn(s, d)),
     "voxel_features": lambda s, d: features.voxel_features(voxels.scatter(voxels.binned(points(s, d), CELL), ["scene_id", *voxels.BINS]), ["scene_id", *voxels.BINS]),
+    "perspective": lambda s, d: _rounded(voxels.perspective(points(s, d)).select("scene_id", "pid", "x", "y", "z"), ["x", "y", "z"]),
+    # scans and results
+    "ground_truth": lambda s, d: scans.ground_truth(_groups(s, d), _indices(s, d)),
+    "object_points": lambda s, d: scans.object_points(_groups(s, d), _indices(s, d)),
+    "scenes": lambda s, d: scans.scenes(table(s, d, "customer").select(F.col("c_name").alias("name")), ["Customer#000000001"], prefix=16),
+    "small_scenes": lambda s, d: scans.small_scenes(table(s, d, "lineitem").select(F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").alias("pid")), 3),
+    "wide_results": _wide,
     # comparison of results
+    "robust_scale": lambda s, d: _rounded(analysis.robust_scale(_orders(s, d), "price", ["o_orderpriority"]), ["median", "scale"], 4),
+    "robust_inliers": lambda s, d: analysis.robust_inliers(_orders(s, d), "price", ["o_orderpriority"], 1.0).select("o_orderkey", "o_orderpriority"),
     "joined_results": _both,
     "renamed_results": lambda s, d: analysis.rename_columns(analysis.drop_columns(_results(s, d, "A"), ["cp"], ["Size"]), {"cp": "pursuit"}, ["OOA"]),
     "common_scenes": lambda s, d: analysis.common_scenes(table(s, d, "orders").select(F.col("o_custkey").alias("Name"), F.col("o_orderkey").alias("ID")), table(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("Name"))),
@@ -355,6 +381,14 @@ SQL = {
     "eigen_features": _sql("SELECT scene_id, pid, round((sqrt(l1) - sqrt(l2)) / sqrt(l1), 5) + 0.0 AS linearity, round((sqrt(l2) - sqrt(l3)) / sqrt(l1), 5) + 0.0 AS planarity, round(sqrt(l3) / sqrt(l1), 5) + 0.0 AS scattering, round(l3 / (l1 + l2 + l3), 5) + 0.0 AS omnivariance, round(l1 + l2 + l3, 5) + 0.0 AS eigensum, round((l1 - l3) / l1, 5) + 0.0 AS anisotropy, round(-(l1 * ln(l1) + l2 * ln(l2) + l3 * ln(l3)), 5) + 0.0 AS eigenentropy FROM ev", EIGEN),
     "components": _sql("SELECT id, min(component) AS component FROM w GROUP BY id", f"RECURSIVE {KNN.replace(f'rank <= {NEAR}', 'rank <= 2')},\nm AS (SELECT src, dst FROM k WHERE EXISTS (SELECT 1 FROM k o WHERE o.src = k.dst AND o.dst = k.src)),\nw AS (SELECT src AS id, src AS component FROM m UNION SELECT m.dst, w.component FROM w JOIN m ON m.src = w.id)"),
     "neighbour_scatter": _sql(f"SELECT scene_id, src AS pid, {_COV.format(least=1, times='')}, count(*) AS n FROM (SELECT k.scene_id, src, x, y, z FROM k JOIN p ON pid = dst UNION ALL SELECT scene_id, pid, x, y, z FROM p) GROUP BY scene_id, src", KNN),
+    "perspective": _sql("SELECT scene_id, pid, round(x / z, 6) + 0.0 AS x, round(y / z, 6) + 0.0 AS y, round(ln(z), 6) + 0.0 AS z FROM p WHERE z > 0"),
+    "ground_truth": "SELECT 'all' AS scene_id, l_orderkey * 10 + l_linenumber AS pid, coalesce(o, 0) AS label FROM lineitem LEFT JOIN (SELECT s_suppkey % 97 AS g, max(s_nationkey + 1) AS o FROM supplier GROUP BY 1) ON g = l_partkey % 97",
+    "object_points": "SELECT 'all' AS scene_id, o AS ordinal, l_orderkey * 10 + l_linenumber AS pid FROM lineitem JOIN (SELECT DISTINCT s_suppkey % 97 AS g, s_nationkey + 1 AS o FROM supplier) ON g = l_partkey % 97",
+    "scenes": "SELECT name FROM (SELECT c_name AS name, row_number() OVER (PARTITION BY substr(c_name, 1, 16) ORDER BY c_name) AS r FROM customer) WHERE r = 1 AND name <> 'Customer#000000001'",
+    "small_scenes": "SELECT l_orderkey AS scene_id, l_linenumber AS pid FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 3)",
+    "wide_results": "SELECT l_suppkey AS ID, 's' || l_suppkey AS Name, 1 AS \"|V|\", " + ", ".join(f"round(avg(l_discount::double) FILTER (l_returnflag = '{a}'), 9) AS OOA_{a}, nullif(count(*) FILTER (l_returnflag = '{a}'), 0) AS \"|S|_{a}\", max(l_linenumber::double) FILTER (l_returnflag = '{a}') AS Duration_{a}" for a in "ANR") + " FROM lineitem GROUP BY l_suppkey",
+    "robust_scale": f"WITH {ORDERS},\nm AS (SELECT o_orderpriority, list(price ORDER BY price)[count(*) // 2 + 1] AS median FROM o GROUP BY 1)\nSELECT o.o_orderpriority, round(any_value(median), 4) AS median, round(1.4826 * list(abs(price - median) ORDER BY abs(price - median))[count(*) // 2 + 1], 4) AS scale FROM o JOIN m ON m.o_orderpriority = o.o_orderpriority GROUP BY 1",
+    "robust_inliers": f"WITH {ORDERS},\nm AS (SELECT o_orderpriority, list(price ORDER BY price)[count(*) // 2 + 1] AS median FROM o GROUP BY 1),\nt AS (SELECT o.o_orderpriority, any_value(median) AS median, 1.4826 * list(abs(price - median) ORDER BY abs(price - median))[count(*) // 2 + 1] AS scale FROM o JOIN m ON m.o_orderpriority = o.o_orderpriority GROUP BY 1)\nSELECT o_orderkey, o.o_orderpriority FROM o JOIN t ON t.o_orderpriority = o.o_orderpriority WHERE abs(price - median) / (scale + 1e-6) < 1.0",
     "joined_results": f"WITH {BOTH}\nSELECT Name, a AS OOA_cp_P, sa AS Size_cp_P, b AS OOA_cp_M, sb AS Size_cp_M FROM j",
     "renamed_results": f"WITH {BOTH}\nSELECT Name, ooa AS OOA_pursuit FROM ra",
     "common_scenes": "WITH f AS (SELECT o_custkey AS Name, o_orderkey AS ID, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)\nSELECT Name, ID FROM f WHERE n <> 2 AND r = 1 AND Name IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",

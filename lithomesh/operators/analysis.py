@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithomesh.functions.distributions import chi2_tail, normal_quantile, normal_tail, t_two_sided
+from lithomesh.plans.storage import materialise
 
 
 def drop_columns(results: DataFrame, algorithms: list[str], features: list[str]) -> DataFrame:
@@ -119,15 +120,26 @@ def bartlett(values: DataFrame, a: str, b: str) -> DataFrame:
     return s.select((top / (1 + (1 / da + 1 / db - 1 / total) / 3)).alias("statistic"))
 
 
+def running_total(values: DataFrame, order: str, amount: str, name: str) -> DataFrame:
+    """The sum of ``amount`` over all rows up to each one by ``order``, whose values are all different.
+
+    Rows are dealt out by ranges; only one total a range meets in one task.
+    """
+    ranged = materialise(values.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("_total"))
+    before = totals.select("_range", (F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")).alias("_before"))
+    inside = F.sum(amount).over(Window.partitionBy("_range").orderBy(order))
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + inside).drop("_range", "_before")
+
+
 def mann_whitney(values: DataFrame, a: str, b: str) -> DataFrame:
     """U of the first column, and the z value with tie and continuity corrections, in one row.
 
-    Ranks come from counts of equal values by a running sum over the distinct
-    values, so only distinct values meet in one task.
+    Ranks come from a running sum over the counts of distinct values.
     """
     both = values.select(F.col(a).alias("v"), F.lit(1).alias("is_a")).union(values.select(F.col(b), F.lit(0))).filter("v is not null")
     per = both.groupBy("v").agg(F.sum("is_a").alias("in_a"), F.count(F.lit(1)).alias("n"))
-    ranked = per.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
+    ranked = running_total(per, "v", "n", "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("in_a")).alias("r"), F.sum("in_a").alias("na"), F.sum(F.col("n") - F.col("in_a")).alias("nb"), F.sum(F.col("n") ** 3 - F.col("n")).alias("ties"))
     n = F.col("na") + F.col("nb")
     u = F.col("r") - F.col("na") * (F.col("na") + 1) / 2

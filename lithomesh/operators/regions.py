@@ -135,13 +135,16 @@ def grow_scene(points: DataFrame, edges: DataFrame, angle: float, distance: floa
 def ransac_planes(points: DataFrame, threshold: float = 0.1, iterations: int = 1000, seed: int = 42) -> DataFrame:
     """The plane with the most points within ``threshold`` of it, of seeded three-point hypotheses: (scene_id, a, b, c, d, inliers).
 
-    A scene's hypotheses, ``iterations`` at most, are one row that is joined to its
-    points; tasks return a count a hypothesis.
+    Three-point draws are from a sample of at most four points an iteration, one of
+    each bucket of ids. A scene's hypotheses are one row that is joined to its points;
+    tasks return a count a hypothesis.
     """
     spark = points.sparkSession
     prepare_workers(spark, 10_000)
     placed = points.select(SCENE, "pid", F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("p"))
-    numbered = placed.withColumn("i", F.row_number().over(Window.partitionBy(SCENE).orderBy("pid")) - 1)
+    mixed = F.xxhash64(F.lit(seed), "pid")
+    drawn = placed.groupBy(SCENE, F.pmod(mixed, F.lit(4 * iterations)).alias("bucket")).agg(F.min_by("p", F.struct(mixed, F.col("pid"))).alias("p"))
+    numbered = drawn.withColumn("i", F.row_number().over(Window.partitionBy(SCENE).orderBy("bucket")) - 1)
     sizes = numbered.groupBy(SCENE).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
     draws = sizes.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), SCENE, "h", "j"), F.col("n")).cast("int"))

@@ -118,7 +118,7 @@ def supervoxel_centres(points: DataFrame, partition: DataFrame) -> DataFrame:
 
 def supervoxel_adjacency(points: DataFrame, partition: DataFrame, resolution: float) -> DataFrame:
     """Pairs of supervoxels with touching voxels and the number of touching pairs: (scene_id, a, b, n)."""
-    owned = binned(points, resolution).join(partition.filter("label > 0"), [SCENE, "pid"]).select(*_KEY, "label").distinct()
+    owned = binned(points.drop("label"), resolution).join(partition.filter("label > 0"), [SCENE, "pid"]).select(*_KEY, "label").distinct()
     there = owned.select(SCENE, *[F.col(b).alias(o) for b, o in zip(BINS, ("ox", "oy", "oz"))], F.col("label").alias("b"))
     pairs = neighbour_voxels(owned.select(*_KEY).distinct()).join(owned.withColumnRenamed("label", "a"), _KEY).join(there, [SCENE, "ox", "oy", "oz"])
     return pairs.filter("a <> b").groupBy(SCENE, "a", "b").agg(F.count(F.lit(1)).alias("n"))

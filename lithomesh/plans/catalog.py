@@ -113,7 +113,7 @@ GRID = f"{POINTS},\nlo AS (SELECT scene_id, min(x) AS mx, min(y) AS my, min(z) A
 REACH = 0.12
 PAIRS = f"{POINTS},\nd AS (SELECT a.scene_id, a.pid AS src, b.pid AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dist FROM p a JOIN p b ON a.scene_id = b.scene_id)"
 NEAR = 5
-KNN = f"{PAIRS},\nk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, src ORDER BY dist, dst) AS rank FROM d WHERE src <> dst) WHERE rank <= {NEAR})"
+KNN = f"{PAIRS},\nk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, src ORDER BY dist, dst)::int AS rank FROM d WHERE src <> dst) WHERE rank <= {NEAR})"
 GRAPH = f"{KNN},\ne AS (SELECT DISTINCT scene_id, src, dst, dist FROM (SELECT scene_id, src, dst, dist FROM k UNION ALL SELECT scene_id, dst, src, dist FROM k))"
 FACES = f"{POINTS},\nf AS (SELECT a.scene_id, a.pid AS a, b.pid AS b, c.pid AS c FROM p a JOIN p b ON b.pid = a.pid + {SCENES} JOIN p c ON c.pid = a.pid + {2 * SCENES})"
 
@@ -336,7 +336,7 @@ SQL = {
     "relative_matches": _sql("SELECT scene_id, round(count(*) FILTER (class = 3) / count(DISTINCT o), 6) AS share FROM cl GROUP BY scene_id", TABLE),
     "match_counts": _sql("SELECT scene_id, s, o, n AS inliers, (sum(n) OVER (PARTITION BY scene_id, s) - n)::bigint AS outliers, (sum(n) OVER (PARTITION BY scene_id, o) - n)::bigint AS remaining FROM t QUALIFY row_number() OVER (PARTITION BY scene_id, s ORDER BY n DESC, o) = 1", TABLE),
     "label_runs": _sql(f"SELECT scene_id, label, (stop - n)::bigint AS start, stop::bigint AS stop, n FROM (SELECT *, sum(n) OVER (PARTITION BY scene_id ORDER BY label) AS stop FROM (SELECT scene_id, {_CELL} AS label, count(*) AS n FROM p GROUP BY ALL))"),
-    "label_index": _sql(f"SELECT scene_id, label, dense_rank() OVER (PARTITION BY scene_id ORDER BY label) - 1 AS index FROM (SELECT DISTINCT scene_id, {_CELL} AS label FROM p)"),
+    "label_index": _sql(f"SELECT scene_id, label, (dense_rank() OVER (PARTITION BY scene_id ORDER BY label) - 1)::int AS index FROM (SELECT DISTINCT scene_id, {_CELL} AS label FROM p)"),
     "clusters_to_labels": _sql(f"SELECT scene_id, pid, CASE WHEN {_CELL} % 3 <> 0 THEN {_CELL} ELSE -1 END AS label FROM p"),
     "remaining_points": _sql("SELECT scene_id, pid FROM p WHERE label <> 1"),
     "bounds": _sql("SELECT scene_id, " + ", ".join(f"round({n}({c}), 6) + 0.0 AS {n}_{c}" for c in "xyz" for n in ("min", "max")) + " FROM p GROUP BY scene_id"),
@@ -375,7 +375,7 @@ SQL = {
     "geodesic_hops": _sql("SELECT scene_id, src, dst, round(min(dist), 6) + 0.0 AS dist FROM (SELECT scene_id, pid AS src, pid AS dst, 0.0::double AS dist FROM p WHERE pid % 20 = 0 UNION ALL SELECT scene_id, src, dst, dist FROM e WHERE src % 20 = 0 UNION ALL SELECT a.scene_id, a.src, b.dst, a.dist + b.dist FROM e a JOIN e b ON a.scene_id = b.scene_id AND a.dst = b.src WHERE a.src % 20 = 0) GROUP BY ALL", GRAPH),
     "geodesic_radius": _sql(f"SELECT scene_id, src, dst, round(min(dist), 6) + 0.0 AS dist FROM w WHERE src <> dst GROUP BY scene_id, src, dst", f"RECURSIVE {GRAPH},\nw AS (SELECT scene_id, pid AS src, pid AS dst, 0.0::double AS dist FROM p WHERE pid % 20 = 0 UNION SELECT w.scene_id, w.src, e.dst, w.dist + e.dist FROM w JOIN e ON e.scene_id = w.scene_id AND e.src = w.dst WHERE w.dist + e.dist < {REACH} AND e.dist > 0)"),
     "shortest_paths": _sql("SELECT scene_id, root, v, round(d, 6) + 0.0 AS d FROM w", PATHS),
-    "geodesic_knn": _sql("SELECT * FROM (SELECT scene_id, root AS src, v AS dst, round(d, 6) + 0.0 AS dist, row_number() OVER (PARTITION BY root ORDER BY d, v) AS rank FROM w WHERE root <> v) WHERE rank <= 4", PATHS),
+    "geodesic_knn": _sql("SELECT * FROM (SELECT scene_id, root AS src, v AS dst, round(d, 6) + 0.0 AS dist, row_number() OVER (PARTITION BY root ORDER BY d, v)::int AS rank FROM w WHERE root <> v) WHERE rank <= 4", PATHS),
     "path_lengths": _sql(f"SELECT p.scene_id, p.pid AS src, p.pid + {SCENES} AS dst, round(d, 6) + 0.0 AS dist FROM p LEFT JOIN w ON w.root = p.pid AND w.v = p.pid + {SCENES} WHERE p.pid % 20 = 0", PATHS),
     "grown_regions": _sql("SELECT scene_id, root, v AS pid FROM w", f"RECURSIVE {GRAPH},\nw AS (SELECT scene_id, pid AS root, pid AS v FROM p WHERE pid % 20 = 0 UNION SELECT w.scene_id, w.root, e.dst FROM w JOIN e ON e.scene_id = w.scene_id AND e.src = w.v JOIN p a ON a.pid = w.root JOIN p b ON b.pid = e.dst WHERE acos(least(greatest(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz, -1), 1)) < radians(60))"),
     "eigen_features": _sql("SELECT scene_id, pid, round((sqrt(l1) - sqrt(l2)) / sqrt(l1), 5) + 0.0 AS linearity, round((sqrt(l2) - sqrt(l3)) / sqrt(l1), 5) + 0.0 AS planarity, round(sqrt(l3) / sqrt(l1), 5) + 0.0 AS scattering, round(l3 / (l1 + l2 + l3), 5) + 0.0 AS omnivariance, round(l1 + l2 + l3, 5) + 0.0 AS eigensum, round((l1 - l3) / l1, 5) + 0.0 AS anisotropy, round(-(l1 * ln(l1) + l2 * ln(l2) + l3 * ln(l3)), 5) + 0.0 AS eigenentropy FROM ev", EIGEN),

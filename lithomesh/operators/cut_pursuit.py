@@ -317,6 +317,8 @@ class Pursuit:
 
 def _scene(strength: float, speed: Speed, kind: float, cutoff: int, decay: float):
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if not len(nodes):  # edges of a scene without nodes
+            return pd.DataFrame({"scene_id": pd.Series(dtype=str), "pid": pd.Series(dtype="int64"), "label": pd.Series(dtype="int64")})
         nodes = nodes.sort_values("pid")
         pid = nodes["pid"].to_numpy()
         x = np.vstack(nodes["features"].to_numpy())
@@ -335,9 +337,7 @@ def cut_pursuit(nodes: DataFrame, edges: DataFrame, strength: float = 0.07, cuto
     weight = F.col("weight").cast("double") if "weight" in nodes.columns else F.lit(1.0)
     own = nodes.select(SCENE, F.col("pid").cast("long").alias("pid"), F.col("features").cast("array<double>").alias("features"), weight.alias("weight"))
     graph = edges.select(SCENE, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight"))
-    # a scene without edges still has its nodes; one without nodes has nothing
-    solved = own.groupBy(SCENE).cogroup(graph.groupBy(SCENE)).applyInPandas(lambda a, b: _scene(strength, SPEEDS[speed], fidelity_kind, cutoff, weight_decay)(a, b) if len(a) else pd.DataFrame({"scene_id": pd.Series(dtype=str), "pid": pd.Series(dtype="int64"), "label": pd.Series(dtype="int64")}), "scene_id string, pid long, label long")
-    return solved
+    return own.groupBy(SCENE).cogroup(graph.groupBy(SCENE)).applyInPandas(_scene(strength, SPEEDS[speed], fidelity_kind, cutoff, weight_decay), "scene_id string, pid long, label long")
 
 
 def partition_points(points: DataFrame, k_adjacency: int = 15, k_shape: int = 45, strength: float = 0.07, weight_strength: float = 1.0, cutoff: int = 0, speed: int = 2, neighbours: DataFrame | None = None) -> DataFrame:

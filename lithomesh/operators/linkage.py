@@ -122,7 +122,7 @@ def robust_plane(points: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray,
     return mean, normal, flat, inside
 
 
-def _patch(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _patch(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("pid")
     mean, normal, flat, inside = robust_plane(frame[["x", "y", "z"]].to_numpy(float), int(key[1]))
     return pd.DataFrame({"scene_id": [key[0]], "cluster": [key[1]], "nx": [normal[0]], "ny": [normal[1]], "nz": [normal[2]], "lambda0": [flat], "n": [int(inside.sum())], "inside": [frame["pid"].to_numpy()[inside]]})

@@ -39,15 +39,24 @@ def voxel_distance(normal: float, colour: float, spatial: float, seed: float, ge
     return (1 - F.abs(dot)) * normal + shade / 255 * colour + space * spatial
 
 
-def seed_voxels(voxels: DataFrame, resolution: float, seed: float) -> DataFrame:
-    """(scene_id, vid, label): the voxel nearest to each occupied seed cell's centre, if enough voxels lie around it."""
+def seed_voxels(voxels: DataFrame, resolution: float, seed: float, lengths: DataFrame | None = None, owner: DataFrame | None = None) -> DataFrame:
+    """(scene_id, vid, label): the voxel nearest to each occupied seed cell's centre, if enough voxels lie around it.
+
+    With path lengths those count that hold a point within half a seed cell along
+    them; ``owner`` is the voxel (scene_id, pid, vid) of each point.
+    """
     as_points = voxels.select(SCENE, F.col("vid").alias("pid"), "x", "y", "z")
     low = bounds(as_points)
     cells = binned(as_points, seed, low).select(*_KEY).distinct().join(low, SCENE)
     number = F.row_number().over(Window.partitionBy(SCENE).orderBy(*BINS))
     centres = cells.select(SCENE, number.cast("long").alias("pid"), *[(F.col(f"min_{c}") + (F.col(b) + 0.5) * seed).alias(c) for b, c in zip(BINS, "xyz")])
     near = nearest_point(centres, as_points, radius=seed).select(SCENE, F.col("dst").alias("pid")).distinct()
-    around = radius_join(near.join(as_points, [SCENE, "pid"]), as_points, seed / 2).groupBy(SCENE, F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("around"))
+    if lengths is not None:
+        reached = near.withColumnRenamed("pid", "src").join(lengths.filter(F.col("dist") <= seed / 2), [SCENE, "src"]).join(owner.select(SCENE, F.col("pid").alias("dst"), "vid"), [SCENE, "dst"])
+        counted = reached.select(SCENE, F.col("src"), "vid").union(near.select(SCENE, F.col("pid").alias("src"), F.col("pid").alias("vid"))).distinct()
+        around = counted.groupBy(SCENE, F.col("src")).agg(F.count(F.lit(1)).alias("around")).withColumnRenamed("src", "vid")
+    else:
+        around = radius_join(near.join(as_points, [SCENE, "pid"]), as_points, seed / 2).groupBy(SCENE, F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("around"))
     least = 0.05 * math.pi * (seed / 2) ** 2 / resolution**2
     return around.filter(F.col("around") > least).select(SCENE, "vid", F.row_number().over(Window.partitionBy(SCENE).orderBy("vid")).cast("long").alias("label"))
 
@@ -100,13 +109,15 @@ def supervoxels(points: DataFrame, resolution: float = 0.008, seed: float = 0.1,
     touching = materialise(neighbour_voxels(voxels), "voxel-neighbours")
     weights = (normal, colour, spatial, seed)
     rounds = max(1, int(1.8 * seed / resolution) - 1)
-    state = _grow(voxels, touching, seed_voxels(voxels, resolution, seed), rounds, weights, lengths)
+    placed = binned(points, resolution).select(SCENE, "pid", *BINS)
+    owner = placed.join(voxels.select(*_KEY, "vid"), _KEY).select(SCENE, "pid", "vid")
+    state = _grow(voxels, touching, seed_voxels(voxels, resolution, seed, lengths, owner), rounds, weights, lengths)
     for _ in range(refinements):
         centres = _centres(state)
         at = state.filter("label > 0").join(centres, [SCENE, "label"])
         again = at.groupBy(SCENE, "label").agg(F.min_by("vid", F.struct(sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz").alias("q"), F.col("vid"))).alias("vid"))
         state = _grow(voxels, touching, again, rounds, weights, lengths)
-    return binned(points, resolution).select(SCENE, "pid", *BINS).join(state.select(*_KEY, "label"), _KEY).select(SCENE, "pid", "label")
+    return placed.join(state.select(*_KEY, "label"), _KEY).select(SCENE, "pid", "label")
 
 
 def supervoxel_centres(points: DataFrame, partition: DataFrame) -> DataFrame:

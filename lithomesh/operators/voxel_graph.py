@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lithomesh.operators.components import connected_components
 from lithomesh.operators.features import SUPERVOXEL_FEATURES, VOXEL_FEATURES, voxel_features
-from lithomesh.operators.neighbours import radius_join
+from lithomesh.operators.neighbours import nearest_point, radius_join
 from lithomesh.operators.voxels import BINS, SCENE, binned, scatter, voxel_centre
 from lithomesh.plans.session import prepare_workers
 from lithomesh.plans.storage import materialise
@@ -92,13 +92,22 @@ def _arrays(frame: pd.DataFrame, suffix: str = ""):
 
 
 def _cut_node(sigmas: tuple, weight: float, threshold: float, eigen_from: int, convexity: bool):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame, lengths: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({"scene_id": pd.Series(dtype=str), "u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
         scene, centre = key
         frame = frame.assign(_own=frame["node"] != centre).sort_values(["_own", "node"])
         c, n, e = _arrays(frame)
         m = len(frame)
         i, j = np.divmod(np.arange(m * m), m)
-        weights = similarity(pair_distances(c[i], c[j], n[i], n[j], e[i], e[j], eigen_from), sigmas, weight, convexity)
+        space = None
+        if len(lengths):
+            at = {x: k for k, x in enumerate(frame["node"].tolist())}
+            space = np.linalg.norm(c[i] - c[j], axis=1)
+            a, b = (lengths[x].map(at).to_numpy() for x in ("u", "v"))
+            space[a * m + b] = lengths["dist"].to_numpy()
+            space[b * m + a] = lengths["dist"].to_numpy()
+        weights = similarity(pair_distances(c[i], c[j], n[i], n[j], e[i], e[j], eigen_from, space), sigmas, weight, convexity)
         weights[i == j] = 0.0
         members = frame["node"].to_numpy()[cut(weights.reshape(m, m), threshold)]
         return pd.DataFrame({"scene_id": scene, "u": centre, "v": members[members != centre]})
@@ -107,14 +116,22 @@ def _cut_node(sigmas: tuple, weight: float, threshold: float, eigen_from: int, c
 
 
 def segment_nodes(nodes: DataFrame, adjacency: DataFrame, sigmas: tuple, weight: float, threshold: float, adjacency_min: int, eigen_from: int, convexity: bool) -> DataFrame:
-    """(scene_id, node, cluster) from nodes (scene_id, node, cx, cy, cz, nx, ny, nz, eigen) and pairs (scene_id, u, v) with u <> v.
+    """(scene_id, node, cluster) from nodes (scene_id, node, cx, cy, cz, nx, ny, nz, eigen) and pairs (scene_id, u, v, and perhaps dist) with u <> v.
 
     A cluster is named by its smallest node; node ids must be unique over all scenes.
+    Where pairs have a ``dist``, it replaces the distance of the centroids in the cuts.
     """
     prepare_workers(nodes.sparkSession, 10_000)
     around = adjacency.select(SCENE, F.col("u").alias("centre"), F.col("v").alias("node")).union(nodes.select(SCENE, F.col("node").alias("centre"), "node")).distinct()
     hoods = around.join(nodes, [SCENE, "node"])
-    linked = materialise(hoods.groupBy(SCENE, "centre").applyInPandas(_cut_node(sigmas, weight, threshold, eigen_from, convexity), "scene_id string, u long, v long"), "voxel-cuts")
+    if "dist" in adjacency.columns:
+        there = around.select(SCENE, "centre", F.col("node").alias("v"))
+        lengths = around.withColumnRenamed("node", "u").join(adjacency.select(SCENE, "u", "v", "dist"), [SCENE, "u"]).join(there, [SCENE, "centre", "v"])
+    else:
+        lengths = around.limit(0).select(SCENE, "centre", F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("dist"))
+    lengths = lengths.select(F.col(SCENE).alias("at_scene"), F.col("centre").alias("at_centre"), "u", "v", "dist")
+    cut_hoods = hoods.groupBy(SCENE, "centre").cogroup(lengths.groupBy("at_scene", "at_centre"))
+    linked = materialise(cut_hoods.applyInPandas(_cut_node(sigmas, weight, threshold, eigen_from, convexity), "scene_id string, u long, v long"), "voxel-cuts")
     both = linked.join(linked.select(SCENE, F.col("v").alias("u"), F.col("u").alias("v")), [SCENE, "u", "v"], "left_semi")
     # nodes left alone go to the most similar neighbour that is not
     joined = both.select(SCENE, F.col("u").alias("node")).distinct()
@@ -138,6 +155,19 @@ def segment_nodes(nodes: DataFrame, adjacency: DataFrame, sigmas: tuple, weight:
     return nodes.select(SCENE, "node").join(clusters.withColumnRenamed("id", "node"), "node", "left").select(SCENE, "node", F.coalesce("component", "node").alias("cluster"))
 
 
+def mesh_adjacency(centres: DataFrame, points: DataFrame, owner: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scene_id, u, v, dist): nodes joined by an edge (scene_id, src, dst, dist) of the point nearest to a node's centre, both ways, at the least length.
+
+    Centres are (scene_id, pid, x, y, z) with the node as ``pid``; ``owner`` is the node of each point.
+    """
+    known = owner.join(centres.select(SCENE, F.col("pid").alias("node")), [SCENE, "node"], "left_semi")
+    near = nearest_point(centres, points.join(known.select(SCENE, "pid"), [SCENE, "pid"], "left_semi"))
+    out = near.select(SCENE, F.col("src").alias("u"), F.col("dst").alias("src")).join(edges.select(SCENE, "src", "dst", "dist"), [SCENE, "src"])
+    pairs = out.join(known.select(SCENE, F.col("pid").alias("dst"), F.col("node").alias("v")), [SCENE, "dst"]).filter("u <> v").select(SCENE, "u", "v", "dist")
+    both = pairs.union(pairs.select(SCENE, F.col("v").alias("u"), F.col("u").alias("v"), "dist"))
+    return both.groupBy(SCENE, "u", "v").agg(F.min("dist").alias("dist"))
+
+
 def voxel_nodes(points: DataFrame, size: float, points_min: int = 10) -> tuple[DataFrame, DataFrame]:
     """Nodes of a voxel grid with more than ``points_min`` points each, and the node of each point.
 
@@ -163,20 +193,17 @@ def labelled(points_to_nodes: DataFrame, clusters: DataFrame, nodes_min: int = 0
 def segment_voxels(points: DataFrame, size: float = 0.15, reach: float = 0.5, sigmas: tuple = (0.2,) * 5, weight: float = 2.0, threshold: float = 0.3, points_min: int = 10, adjacency_min: int = 3, voxels_min: int = 3, edges: DataFrame | None = None) -> DataFrame:
     """(scene_id, pid, label) by cuts of the graph of voxels whose centres are within ``reach``.
 
-    With mesh edges (scene_id, src, dst, dist) voxels are adjacent where an edge of
-    theirs joins them. Sigmas are those of space, normals, stairs, eigen features and
+    With mesh edges (scene_id, src, dst, dist) voxels are adjacent where an edge of the
+    point nearest to a voxel's centre joins them, and its length is their distance. Sigmas are those of space, normals, stairs, eigen features and
     convexity.
     """
     nodes, owner = voxel_nodes(points, size, points_min)
     nodes, owner = materialise(nodes, "voxel-nodes"), materialise(owner, "voxel-owners")
+    at = nodes.select(SCENE, F.col("node").alias("pid"), "x", "y", "z")
     if edges is None:
-        at = nodes.select(SCENE, F.col("node").alias("pid"), "x", "y", "z")
         adjacency = radius_join(at, at, reach, include_self=False).select(SCENE, F.col("src").alias("u"), F.col("dst").alias("v"))
     else:
-        ends = edges.join(owner.select(SCENE, F.col("pid").alias("src"), F.col("node").alias("u")), [SCENE, "src"]).join(owner.select(SCENE, F.col("pid").alias("dst"), F.col("node").alias("v")), [SCENE, "dst"]).filter("u <> v")
-        adjacency = ends.select(SCENE, "u", "v").union(ends.select(SCENE, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-        used = nodes.select(SCENE, "node")
-        adjacency = adjacency.join(used.withColumnRenamed("node", "u"), [SCENE, "u"], "left_semi").join(used.withColumnRenamed("node", "v"), [SCENE, "v"], "left_semi")
+        adjacency = materialise(mesh_adjacency(at, points, owner, edges), "voxel-adjacency")
     clusters = segment_nodes(nodes.drop("x", "y", "z"), adjacency, sigmas, weight, threshold, adjacency_min, 4, True)
     return labelled(owner, clusters, voxels_min)
 
@@ -187,12 +214,11 @@ def segment_supervoxels(points: DataFrame, partition: DataFrame, reach: float =
     placed = points.join(owner, [SCENE, "pid"])
     base = placed.groupBy(SCENE, "node").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
     nodes = materialise(base.join(voxel_features(scatter(placed, [SCENE, "node"], normalised=True), [SCENE, "node"], SUPERVOXEL_FEATURES), [SCENE, "node"]), "supervoxel-nodes")
+    at = nodes.select(SCENE, F.col("node").alias("pid"), *[F.col(f"c{c}").alias(c) for c in "xyz"])
     if edges is None:
-        at = nodes.select(SCENE, F.col("node").alias("pid"), *[F.col(f"c{c}").alias(c) for c in "xyz"])
         adjacency = radius_join(at, at, reach, include_self=False).select(SCENE, F.col("src").alias("u"), F.col("dst").alias("v"))
     else:
-        ends = edges.filter(F.col("dist") <= reach).join(owner.select(SCENE, F.col("pid").alias("src"), F.col("node").alias("u")), [SCENE, "src"]).join(owner.select(SCENE, F.col("pid").alias("dst"), F.col("node").alias("v")), [SCENE, "dst"]).filter("u <> v")
-        adjacency = ends.select(SCENE, "u", "v").union(ends.select(SCENE, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+        adjacency = materialise(mesh_adjacency(at, points, owner, edges.filter(F.col("dist") <= reach)), "supervoxel-adjacency")
     clusters = segment_nodes(nodes, adjacency, sigmas, weight, threshold, adjacency_min, 0, False)
     every = partition.select(SCENE, "pid").join(owner, [SCENE, "pid"], "left")
     return labelled(every, clusters)

@@ -29,3 +29,15 @@ def test_supervoxels_along_a_mesh(spark):
     assert pairs.exceptAll(pairs.selectExpr("scene_id", "b AS a", "a AS b", "n")).count() == 0
     assert edges.complete_sources(points, graph, 5).count() == catalog.SCENES
     assert voxels.voxel_centre(points, 0.1).count() > 0
+
+
+def test_graphs_along_a_mesh(spark):
+    from lithomesh.operators.voxel_graph import segment_supervoxels, segment_voxels
+
+    points = catalog.points(spark, SF).drop("label")
+    graph = catalog.graph(spark, SF)
+    voxel = segment_voxels(points, 0.15, points_min=0, adjacency_min=0, voxels_min=0, edges=graph)
+    assert voxel.count() == points.count() and voxel.filter("label < 0").count() == 0
+    own = supervoxels(points, 0.1, 0.4, refinements=0, lengths=graph)
+    found = segment_supervoxels(points, own, 0.5, edges=graph)
+    assert found.join(own, ["scene_id", "pid"]).count() == points.count()

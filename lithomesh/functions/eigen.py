@@ -29,7 +29,7 @@ def decompose(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_eigen(frame: DataFrame) -> DataFrame:
     """The frame with l1 >= l2 >= l3 and the vectors v1x ... v3z of its scatter entries; null entries give nulls."""
-    prepare_workers(frame.sparkSession, 10_000)
+    prepare_workers(frame.sparkSession)
     new = [T.StructField(n, T.DoubleType()) for n in VALUES + VECTORS]
 
     def run(batches):

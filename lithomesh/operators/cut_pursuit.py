@@ -333,7 +333,7 @@ def _scene(strength: float, speed: Speed, kind: float, cutoff: int, decay: float
 
 def cut_pursuit(nodes: DataFrame, edges: DataFrame, strength: float = 0.07, cutoff: int = 0, fidelity_kind: float = 1, weight_decay: float = 1.0, speed: int = 4) -> DataFrame:
     """(scene_id, pid, label) from nodes (scene_id, pid, features, and perhaps weight) and edges (scene_id, src, dst, weight), each edge once."""
-    prepare_workers(nodes.sparkSession, 10_000)
+    prepare_workers(nodes.sparkSession)
     weight = F.col("weight").cast("double") if "weight" in nodes.columns else F.lit(1.0)
     own = nodes.select(SCENE, F.col("pid").cast("long").alias("pid"), F.col("features").cast("array<double>").alias("features"), weight.alias("weight"))
     graph = edges.select(SCENE, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight"))

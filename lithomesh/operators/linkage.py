@@ -187,7 +187,7 @@ def pairwise_linkage(points: DataFrame, k: int = 100, angle: float = 90.0, least
     ``neighbours`` (scene_id, src, dst) replace the k nearest points, as for a mesh;
     ``normals`` replace those of the neighbourhoods.
     """
-    prepare_workers(points.sparkSession, 10_000)
+    prepare_workers(points.sparkSession)
     near = neighbours if neighbours is not None else knn(points, points, k)
     near = materialise(near.select(SCENE, "src", "dst"), "linkage-neighbours")
     shape = materialise(pca_normals(points, near, normals), "linkage-shape")

@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from lithomesh.plans.session import prepare_workers
 from lithomesh.plans.storage import discard, materialise
 
 SCENE = "scene_id"
+#: Points of a block that meets all plane hypotheses at once.
+BLOCK = 20_000
 
 
 def _refine_scene(labels: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -47,7 +48,7 @@ def refine(partition: DataFrame, edges: DataFrame) -> DataFrame:
     Ties go to the smallest label; points that no label reaches get one new label.
     The rule is sequential, so a scene is one task; ``refine_together`` has no such bound.
     """
-    prepare_workers(partition.sparkSession, 10_000)
+    prepare_workers(partition.sparkSession)
     own = partition.select(SCENE, F.col("pid").cast("long").alias("pid"), F.col("label").cast("long").alias("label"))
     return own.groupBy(SCENE).cogroup(edges.select(SCENE, "src", "dst").groupBy(SCENE)).applyInPandas(_refine_scene, "scene_id string, pid long, label long")
 
@@ -127,7 +128,7 @@ def grow_scene(points: DataFrame, edges: DataFrame, angle: float, distance: floa
     Points are (scene_id, pid, x, y, z, nx, ny, nz, lambda0); the order decides, so a
     scene is one task; ties go to the smaller id.
     """
-    prepare_workers(points.sparkSession, 10_000)
+    prepare_workers(points.sparkSession)
     own = points.select(SCENE, F.col("pid").cast("long").alias("pid"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "nx", "ny", "nz", "lambda0")])
     return own.groupBy(SCENE).cogroup(edges.select(SCENE, "src", "dst").groupBy(SCENE)).applyInPandas(_grow_scene(math.radians(angle), distance, percent), "scene_id string, pid long, label long")
 
@@ -136,11 +137,11 @@ def ransac_planes(points: DataFrame, threshold: float = 0.1, iterations: int = 1
     """The plane with the most points within ``threshold`` of it, of seeded three-point hypotheses: (scene_id, a, b, c, d, inliers).
 
     Three-point draws are from a sample of at most four points an iteration, one of
-    each bucket of ids. A scene's hypotheses are one row that is joined to its points;
-    tasks return a count a hypothesis.
+    each bucket of ids. A scene's points are dealt out in blocks, each of which meets
+    the hypotheses once and returns their counts.
     """
     spark = points.sparkSession
-    prepare_workers(spark, 10_000)
+    prepare_workers(spark)
     placed = points.select(SCENE, "pid", F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("p"))
     mixed = F.xxhash64(F.lit(seed), "pid")
     drawn = placed.groupBy(SCENE, F.pmod(mixed, F.lit(4 * iterations)).alias("bucket")).agg(F.min_by("p", F.struct(mixed, F.col("pid"))).alias("p"))
@@ -156,24 +157,15 @@ def ransac_planes(points: DataFrame, threshold: float = 0.1, iterations: int = 1
     planes = triples.select(SCENE, "h", F.array(*cross).alias("n"), size.alias("l"), F.array(*p[0]).alias("p0")).filter("l > 0")
     planes = planes.select(SCENE, "h", F.transform("n", lambda x: x / F.col("l")).alias("n"), "p0")
     planes = materialise(planes.select(SCENE, "h", F.array(*[F.col("n")[c] for c in range(3)], -sum(F.col("n")[c] * F.col("p0")[c] for c in range(3))).alias("plane")), "ransac")
-    packed = planes.groupBy(SCENE).agg(F.sort_array(F.collect_list(F.struct("h", "plane"))).alias("planes"))
-
-    def count(batches):
-        held: dict[str, np.ndarray] = {}
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            scenes = np.asarray(batch.column("scene_id").to_pylist(), object)
-            xyz = np.asarray(batch.column("p").flatten()).reshape(-1, 3)
-            for scene in dict.fromkeys(scenes):
-                rows = np.flatnonzero(scenes == scene)
-                if scene not in held:
-                    held[scene] = np.array([h["plane"] for h in batch.column("planes")[int(rows[0])].as_py()])
-                    sums[scene] = np.zeros(len(held[scene]), np.int64)
-                sums[scene] += (np.abs(xyz[rows] @ held[scene][:, :3].T + held[scene][:, 3]) <= threshold).sum(0)
-        for scene, n in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([scene] * len(n)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["scene_id", "k", "n"])
-
-    prepare_workers(spark, 256)
-    counts = placed.join(packed, SCENE).select(SCENE, "p", "planes").mapInArrow(count, "scene_id string, k int, n long").groupBy(SCENE, "k").agg(F.sum("n").alias("n"))
-    best = counts.groupBy(SCENE).agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("k"), F.max("n").alias("inliers"))
-    return best.join(packed, SCENE).select(SCENE, *[F.col("planes")[F.col("k")]["plane"][i].alias(c) for i, c in enumerate("abcd")], "inliers")
+    blocks = materialise(points.groupBy(SCENE).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "ransac")
+    dealt = placed.join(blocks, SCENE).select(SCENE, F.pmod(F.xxhash64("pid"), F.col("blocks")).alias("block"), "p")
+    sent = planes.join(blocks, SCENE).select(F.col(SCENE).alias("at_scene"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at_block"), "h", "plane")
+
+    def count(key: tuple, block: pd.DataFrame, hypotheses: pd.DataFrame) -> pd.DataFrame:
+        xyz, plane = (np.vstack(f[c].to_numpy()) if len(f) else np.zeros((0, n)) for f, c, n in ((block, "p", 3), (hypotheses, "plane", 4)))
+        near = np.abs(xyz @ plane[:, :3].T + plane[:, 3]) <= threshold
+        return pd.DataFrame({"scene_id": key[0], "h": hypotheses["h"].to_numpy(), "n": near.sum(0)})
+
+    counted = dealt.groupBy(SCENE, "block").cogroup(sent.groupBy("at_scene", "at_block")).applyInPandas(count, "scene_id string, h int, n long")
+    best = counted.groupBy(SCENE, "h").agg(F.sum("n").alias("n")).groupBy(SCENE).agg(F.max_by("h", F.struct("n", -F.col("h"))).alias("h"), F.max("n").alias("inliers"))
+    return best.join(planes, [SCENE, "h"]).select(SCENE, *[F.col("plane")[i].alias(c) for i, c in enumerate("abcd")], "inliers")

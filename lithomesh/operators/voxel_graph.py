@@ -121,7 +121,7 @@ def segment_nodes(nodes: DataFrame, adjacency: DataFrame, sigmas: tuple, weight:
     A cluster is named by its smallest node; node ids must be unique over all scenes.
     Where pairs have a ``dist``, it replaces the distance of the centroids in the cuts.
     """
-    prepare_workers(nodes.sparkSession, 10_000)
+    prepare_workers(nodes.sparkSession)
     around = adjacency.select(SCENE, F.col("u").alias("centre"), F.col("v").alias("node")).union(nodes.select(SCENE, F.col("node").alias("centre"), "node")).distinct()
     hoods = around.join(nodes, [SCENE, "node"])
     if "dist" in adjacency.columns:

@@ -13,13 +13,19 @@ from pyspark.sql import SparkSession
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
-def prepare_workers(spark: SparkSession, batch_rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, and send this package to the executors once a session.
+#: Bytes of an Arrow batch, whatever its rows.
+BATCH_BYTES = 16 << 20
 
-    The bound on rows is a setting of the session; with rows of whole documents
-    it bounds the memory of a worker.
+
+def prepare_workers(spark: SparkSession, batch_rows: int | None = None) -> None:
+    """Bound the bytes, and perhaps the rows, of Arrow batches, and send this package to the executors once a session.
+
+    The bounds are settings of the session; with rows of whole documents or files
+    they bound the memory of a worker.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if batch_rows is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     context = spark.sparkContext
     if context not in _shipped:
         folder = tempfile.mkdtemp(prefix="lithomesh-code-")

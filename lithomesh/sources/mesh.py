@@ -70,7 +70,7 @@ _FACES = "scene_id string, a long, b long, c long"
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    prepare_workers(spark, 1)
+    prepare_workers(spark)
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(path).select(name.alias("scene_id"), "content")
 

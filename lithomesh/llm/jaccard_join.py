@@ -166,7 +166,7 @@ def rarity_classes(sketch: DataFrame, partitions: int) -> np.ndarray:
     for r in rows:
         levels[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["levels"], np.uint8)
     usual = 4 * np.log2(2 * sum(r["total"] for r in rows) / len(levels) + 5)
-    return np.ceil(np.maximum(0, levels - usual) / 4).astype(np.uint8)
+    return np.ceil(np.maximum(0, np.arange(256) - usual) / 4).astype(np.uint8)[levels]
 
 
 def indexed(n: int) -> int:

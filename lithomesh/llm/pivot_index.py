@@ -1,13 +1,16 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-A vector is described by the order of its nearest pivots, a bounded sample of
-the vectors themselves. Inverted lists hold, for each pivot, the vectors that
-have it among their first ``PREFIX``; pairs that share ``SHARED`` of those are
-retrieved by counting, and verified by their cosine in double precision. A pair
-is handled in the list of its smallest shared pivot only, so no vector needs the
-list of its largest. Equal vectors are one entry. A long list is dealt out in
-pairs of blocks, so a pivot near a third of all vectors makes many small tasks,
-and tasks return counts and spanning forests, never all pairs.
+A vector is described by its ``PREFIX`` nearest pivots in the order of their
+nearness. Pivots are vectors of a bounded sample that are far from each other, so
+a dense group has few of them however many vectors it has, and its members agree
+on them. The inverted list of a pivot holds the vectors it comes first for, which
+are at home there, and those it comes later for, which visit. Pairs of two at
+home and of one at home and a visitor are verified by their cosine in double
+precision, so a pair is found if the first pivot of one is among the pivots of
+the other; where that holds both ways, the list of the smaller pivot has it.
+Equal vectors are one entry. A long list is dealt out in pairs of blocks, so a
+pivot near a third of all vectors makes many small tasks, and tasks return counts
+and spanning forests, never all pairs.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from lithomesh.operators.components import connected_components
 from lithomesh.plans.session import prepare_workers
 from lithomesh.plans.storage import materialise
 
-PREFIX = 8
-SHARED = 2
+PREFIX = 20
 #: Entries of a block of a list.
 BLOCK = 2048
 #: Pivots: the power of two next to the square root of the number of vectors, in these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+#: Vectors of the sample for each pivot, and the angle between pivots as a multiple of the threshold's.
+SAMPLE, APART = 2, 1.5
 #: Rows of a block that are compared at once.
 ROWS = 256
 
@@ -45,15 +49,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _far_apart(sample: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """The first k rows, of unit length, that are ``APART`` times the threshold's angle from those taken before."""
+    limit = math.cos(min(math.pi, APART * math.acos(max(-1.0, min(1.0, threshold)))))
+    taken, free = [], np.ones(len(sample), bool)
+    while free.any() and len(taken) < k:
+        i = int(free.argmax())
+        taken.append(i)
+        free &= sample @ sample[i] < limit
+        free[i] = False
+    return sample[taken]
+
+
 def _describe(pivots: np.ndarray):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = _unit(_vectors(batch.column("vec"))) @ pivots.T
+            far = -(_unit(_vectors(batch.column("vec"))) @ pivots.T)
             prefix = min(PREFIX, len(pivots))
-            first = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < len(pivots) else np.tile(np.arange(len(pivots)), (len(near), 1))
-            first = np.sort(first, axis=1).astype(np.int32)
+            first = np.argpartition(far, prefix - 1, axis=1)[:, :prefix]
+            first = np.take_along_axis(first, np.argsort(np.take_along_axis(far, first, 1), axis=1, kind="stable"), 1).astype(np.int32)
             ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * prefix)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(first.ravel()))], names=[*batch.schema.names, "pivots"])
 
@@ -101,32 +117,27 @@ def _cell(threshold: float):
     def run(key, table):
         pivot, low, high = (int(x.as_py()) for x in key)
         table = table.combine_chunks()
-        gid, node, copies = (np.asarray(table.column(x).combine_chunks()) for x in ("gid", "node", "copies"))
-        block = np.asarray(table.column("block").combine_chunks())
+        gid, node, copies, block, home = (np.asarray(table.column(x).combine_chunks()) for x in ("gid", "node", "copies", "block", "home"))
         unit = _unit(_vectors(table.column("vec").combine_chunks()))
-        first = np.asarray(table.column("pivots").combine_chunks().flatten()).reshape(len(gid), -1)
-        names, dense = np.unique(first, return_inverse=True)
-        member = np.zeros((len(gid), len(names)), np.float32)
-        np.put_along_axis(member, dense.reshape(first.shape), 1, 1)
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        lists = table.column("pivots").combine_chunks().take(pa.array(left))
+        first = np.asarray(lists.flatten()).reshape(len(left), -1)
         links = np.zeros(len(gid), np.int64)
         forest = Forest(len(gid))
-        need = min(SHARED, first.shape[1])
         for at in range(0, len(left), ROWS):
-            rows = left[at : at + ROWS]
-            i, j = np.nonzero(member[rows] @ member[right].T >= need - 0.5)
-            i, j = rows[i], right[j]
+            # Products of matrices differ in the last digits by their shapes; the sums below decide.
+            i, j = np.nonzero(unit[left[at : at + ROWS]] @ unit[right].T >= threshold - 1e-9)
+            i += at
             if low == high:
                 i, j = i[j > i], j[j > i]
             for k in range(0, len(i), 1 << 17):
-                a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-                near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-                a, b = a[near], b[near]
+                row, a, b = i[k : k + (1 << 17)], left[i[k : k + (1 << 17)]], right[j[k : k + (1 << 17)]]
+                other = home[b]
+                own = (other >= pivot) | (first[row] != other[:, None]).all(1)
+                own &= np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+                a, b = a[own], b[own]
                 if not len(a):
                     continue
-                same = (first[a][:, :, None] == first[b][:, None, :]).any(2)
-                own = first[a, same.argmax(1)] == pivot
-                a, b = a[own], b[own]
                 links += np.bincount(a, weights=copies[b], minlength=len(gid)).astype(np.int64)
                 links += np.bincount(b, weights=copies[a], minlength=len(gid)).astype(np.int64)
                 forest.add(a, b)
@@ -152,7 +163,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     nothing: no links, their own id as component, kept. Equal vectors link with
     each other, and rows that repeat an id are kept alike. An empty table gives an
     empty result; other columns are ignored. The result is approximate: links are
-    never wrong, and of pairs at the threshold itself over 0.99 are found.
+    never wrong; the README has the share of pairs that is found.
     """
     spark = vectors.sparkSession
     prepare_workers(spark, 4096)
@@ -167,18 +178,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     )
     n = entries.count()
     k = max(LEAST_PIVOTS, min(MOST_PIVOTS, 1 << round(math.log2(max(1, n)) / 2)))
-    sample = entries.orderBy(F.xxhash64("node"), "gid").limit(k).select("vec").collect()
-    pivots = _unit(np.array([r["vec"] for r in sample], np.float64)) if sample else np.zeros((1, 1))
+    sample = _vectors(entries.orderBy(F.xxhash64("node"), "gid").limit(SAMPLE * k).select("vec").toArrow().column("vec").combine_chunks()) if n else np.ones((1, 1))
+    pivots = _far_apart(_unit(sample), k, threshold)
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in entries.schema.fields)}, pivots array<int>"
     described = materialise(entries.mapInArrow(_describe(pivots), schema), "pivot-index")
-    # The largest pivot of a vector cannot be the smallest that a pair shares.
-    listed = described.withColumn("pivot", F.explode(F.slice("pivots", 1, max(1, min(PREFIX, len(pivots)) - SHARED + 1))))
-    lengths = listed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    listed = described.select("*", F.posexplode("pivots").alias("rank", "pivot"), F.col("pivots")[0].alias("home"))
+    blocks = lambda kind: F.ceil(F.count(F.when(kind, 1)) / BLOCK).cast("int")
+    lengths = listed.groupBy("pivot").agg(blocks(F.col("rank") == 0).alias("homes"), blocks(F.col("rank") > 0).alias("visits")).filter("homes > 0")
+    at_home = F.col("rank") == 0
+    # Blocks of a list: those at home, then the visitors, who meet those at home only.
     cells = (
         listed.join(F.broadcast(lengths), "pivot")  # one row a pivot, MOST_PIVOTS at most
-        .withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "gid", "node", "copies", "block", "vec", "pivots")
+        .withColumn("block", F.when(at_home, F.pmod(F.xxhash64("gid"), F.col("homes"))).otherwise(F.col("homes") + F.pmod(F.xxhash64("gid"), F.col("visits"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") + F.when(at_home, F.col("visits")).otherwise(0) - 1)))
+        .select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "gid", "node", "copies", "block", "vec", "home", F.when(at_home, F.col("pivots")).alias("pivots"))
     )
     found = materialise(cells.groupBy("pivot", "low", "high").applyInArrow(_cell(threshold), "gid long, links long, a long, b long"), "pivot-links")
     links = found.filter("gid is not null").groupBy("gid").agg(F.sum("links").alias("links"))

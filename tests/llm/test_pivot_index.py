@@ -31,6 +31,26 @@ def test_recall_and_precision(spark, monkeypatch, block):
     assert ((found["component_id"] == found["vec_id"]) == found["kept"]).all()
 
 
+@pytest.mark.parametrize("noise", [0.05, 0.18, 0.33])
+def test_recall_in_a_hot_group_with_many_pivots(spark, monkeypatch, noise):
+    monkeypatch.setattr(pivot_index, "LEAST_PIVOTS", 512)
+    rng = np.random.default_rng(5)
+    n = 6000
+    x = np.concatenate([clustered(rng, 1, n // 3, noise), rng.normal(size=(n - n // 3, 32)).astype(np.float32)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = pivot_index.near_vectors(rows).toPandas().sort_values("vec_id")
+    near = brute(x.astype(float)).sum(1)
+    assert (found["n_links"].to_numpy() <= near).all()
+    assert found["n_links"].sum() >= 0.99 * near.sum()
+
+
+def test_pivots_are_far_apart():
+    rng = np.random.default_rng(6)
+    x = pivot_index._unit(np.concatenate([clustered(rng, 1, 500, 0.18), rng.normal(size=(500, 32))]).astype(float))
+    pivots = pivot_index._far_apart(x[rng.permutation(1000)], 256, 0.9)
+    assert len(pivots) == 256 and (pivots @ pivots.T - np.eye(256)).max() < 0.8
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, []), (None, [1.0, 0.0]), (11, [1e-30, 1e-31]), (12, [1.0])]

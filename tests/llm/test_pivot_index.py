@@ -1,6 +1,7 @@
 """The index of embeddings against brute force, and odd vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lithomesh.llm import pivot_index
@@ -44,11 +45,15 @@ def test_recall_in_a_hot_group_with_many_pivots(spark, monkeypatch, noise):
     assert found["n_links"].sum() >= 0.99 * near.sum()
 
 
-def test_pivots_are_far_apart():
+def test_pivots_are_ordered_and_far_apart():
     rng = np.random.default_rng(6)
     x = pivot_index._unit(np.concatenate([clustered(rng, 1, 500, 0.18), rng.normal(size=(500, 32))]).astype(float))
     pivots = pivot_index._far_apart(x[rng.permutation(1000)], 256, 0.9)
     assert len(pivots) == 256 and (pivots @ pivots.T - np.eye(256)).max() < 0.8
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist())], names=["vec"])
+    (out,) = pivot_index._describe(pivots)([batch])
+    first = np.array(out.column("pivots").to_pylist())
+    assert (first == np.argsort(-(x @ pivots.T), axis=1)[:, : pivot_index.PREFIX]).all()
 
 
 def test_odd_vectors(spark):

@@ -4,7 +4,10 @@ Three base patterns find labelled secrets, access keys and long hexadecimal
 runs. Beside them every long token that mixes letters and digits goes through a
 battery of randomness tests for the encoding that its alphabet suggests: a
 chi-squared test of uniform use of the alphabet, a runs test and a serial
-correlation test. Tokens that fail are ordinary text. Which p-values count as
+correlation test. No encoding has both one of ``+/`` and one of ``_-``: a token
+with both, as a key behind a path, is tested whole over all these characters, and
+cut at the former and at the latter, in parts of 20 characters or more that mix
+letters and digits; so spans may overlap. Tokens that fail are ordinary text. Which p-values count as
 failures is decided for each encoding and band of lengths by the
 Benjamini-Hochberg procedure over the tokens of the whole corpus, so that short
 tokens, on which the tests say little, are not judged by the crowd of long ones;
@@ -29,6 +32,8 @@ ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 
 #: Tokens that are tested: 20 characters or more, 80 bits or more if they were random.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Parts of tokens that no encoding fits: between +/, and between _-.
+PARTS = (r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9+/]{20,}")
 #: Share of random tokens that may be taken for text.
 FDR = 0.05
 #: Cells of the chi-squared test; with 9 its survival function has a closed form.
@@ -44,6 +49,7 @@ ENCODINGS = (
     ("base62", "^[A-Za-z0-9]+$", string.digits + string.ascii_uppercase + string.ascii_lowercase),
     ("base64", "^[A-Za-z0-9+/]+$", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_"),
+    ("mixed", "^[A-Za-z0-9+/_-]+$", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/-_"),
 )
 
 
@@ -63,6 +69,20 @@ def _located(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
 
 
+def _mixes(c: Column) -> Column:
+    return c["match"].rlike("[A-Za-z]") & c["match"].rlike("[0-9]")
+
+
+def _parts(c: Column) -> Column:
+    """What is tested of a token: itself, and its parts where no encoding fits."""
+
+    def between(pattern):
+        return F.transform(_located(c["match"], pattern), lambda m: F.struct((c["start"] + m["start"]).alias("start"), (c["start"] + m["end"]).alias("end"), m["match"].alias("match")))
+
+    parts = F.array_distinct(F.filter(F.concat(*[between(p) for p in PARTS]), _mixes))
+    return F.when(c["match"].rlike("[+/]") & c["match"].rlike("[_-]"), F.concat(F.array(c), parts)).otherwise(F.array(c))
+
+
 def _case(of: str, values: dict[str, str]) -> str:
     return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
@@ -82,14 +102,13 @@ def _spans(docs: DataFrame, text: Column) -> DataFrame:
         .withColumn("assign", F.filter(_located(F.col("_t"), ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= ASSIGN_VALUE))
         .withColumn("access", F.filter(_located(F.col("_t"), ACCESS), lambda m: F.length(m["match"]) >= ACCESS_LENGTH))
         .withColumn("hex", _located(F.col("_t"), HEX))
-        .withColumn("tokens", _located(F.col("_t"), TOKEN))
+        .withColumn("tokens", F.flatten(F.transform(F.filter(_located(F.col("_t"), TOKEN), _mixes), _parts)))
     )
     patterns = "CASE " + " ".join(f"WHEN c.match RLIKE '{p}' THEN '{name}'" for name, p, _ in ENCODINGS) + " END"
     alphabets = _case("c.kind", {name: f"'{a}'" for name, _, a in ENCODINGS})
     shares = {name: "array(" + ", ".join(f"{sum(v * CELLS // len(a) == j for v in range(len(a))) / len(a)!r}D" for j in range(CELLS)) + ")" for name, _, a in ENCODINGS}
     steps = [
-        "filter(tokens, c -> c.match RLIKE '[A-Za-z]' AND c.match RLIKE '[0-9]')",
-        f"filter(transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'match', c.match, 'n', length(c.match), 'kind', {patterns})), c -> c.kind IS NOT NULL)",
+        f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'match', c.match, 'n', length(c.match), 'kind', {patterns}))",
         f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'size', length({alphabets}), 'v', transform(sequence(1, c.n), i -> instr({alphabets}, substring(c.match, i, 1)) - 1)))",
         "transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'size', c.size, 'v', c.v,"
         " 'mean', aggregate(c.v, 0D, (s, x) -> s + x) / c.n,"

@@ -281,6 +281,27 @@ def test_secrets(spark):
     assert secrets.scan(frame.limit(0)).collect() == []
 
 
+def test_secrets_in_tokens_that_no_encoding_fits(spark):
+    rng = np.random.default_rng(13)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["".join(rng.choice(letters, 40)) for _ in range(40)]
+    wide = [k[:9] + "/" + k[10:25] + "+" + k[26:] for k in keys]
+    short = ["-".join([k[:12] + "/" + k[13:18], k[18:36]]) for k in keys]
+    texts = [f"at /srv/my_app/{k} end" for k in keys] + [f"repo-x/ghp_{k}" for k in keys] + [f"é prod-{k}" for k in wide] + short
+    texts += [f"see /usr/local/lib_{i}/the-configuration/of_the/server-{i}/and_client" for i in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.random for r in secrets.scan(frame).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    for i, key in enumerate([*keys, *keys, *wide, *short]):
+        at = texts[i].index(key)
+        hit = any(s.start <= at and s.end >= at + len(key) for s in found[i])
+        assert not hit or key not in masked[i]
+        found[i] = hit
+    for k in range(4):
+        assert sum(found[i] for i in range(40 * k, 40 * k + 40)) >= 34
+    assert not any(found[i] for i in range(160, 200))
+
+
 def test_random_tokens_pass_and_words_fail(spark):
     rng = np.random.default_rng(2)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))

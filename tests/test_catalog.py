@@ -14,7 +14,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"supervoxel_graph"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_runs(spark, name):
     frame = catalog.QUERIES[name](spark, f"{DATA}/sf0.001")
     assert frame.count() > 0

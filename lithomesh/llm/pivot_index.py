@@ -4,13 +4,15 @@ A vector is described by its ``PREFIX`` nearest pivots in the order of their
 nearness. Pivots are vectors of a bounded sample that are far from each other, so
 a dense group has few of them however many vectors it has, and its members agree
 on them. The inverted list of a pivot holds the vectors it comes first for, which
-are at home there, and those it comes later for, which visit. Pairs of two at
-home and of one at home and a visitor are verified by their cosine in double
-precision, so a pair is found if the first pivot of one is among the pivots of
-the other; where that holds both ways, the list of the smaller pivot has it.
-Equal vectors are one entry. A long list is dealt out in pairs of blocks, so a
-pivot near a third of all vectors makes many small tasks, and tasks return counts
-and spanning forests, never all pairs.
+are at home there, and those it comes later for, which visit. Two at home, or one
+at home and a visitor, are candidates if they share at least ``SHARED`` pivots;
+candidates are verified by their cosine in double precision. So a pair is found if
+the first pivot of one is among the pivots of the other and enough others are; where
+the former holds both ways, the list of the smaller pivot has the pair. Vectors of
+each length have pivots of their own; lengths with few vectors have one, whose list
+compares all. Equal vectors are one entry. A long list is dealt out in pairs of
+blocks, so a pivot near a third of all vectors makes many small tasks, and tasks
+return counts and spanning forests, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithomesh.operators.components import connected_components
@@ -29,8 +31,12 @@ from lithomesh.plans.storage import materialise
 PREFIX = 20
 #: Entries of a block of a list.
 BLOCK = 2048
-#: Pivots: the power of two next to the square root of the number of vectors, in these bounds.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+#: Pivots that a pair has to share to be verified.
+SHARED = 3
+#: Pivots of a length: the power of two next to the square root of the number of its vectors, and not fewer than this.
+LEAST_PIVOTS = 64
+#: Lengths of fewer vectors than this have one pivot.
+FEW = 512
 #: Vectors of the sample for each pivot, and the angle between pivots as a multiple of the threshold's.
 SAMPLE, APART = 2, 1.5
 #: Rows of a block that are compared at once.
@@ -43,6 +49,11 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def pivots_of(count: int) -> int:
+    """How many pivots the vectors of one length have."""
+    return 1 if count < FEW else max(LEAST_PIVOTS, 1 << round(math.log2(count) / 2))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled first, so that tiny and huge components do not under- or overflow."""
     x = x / np.abs(x).max(1, keepdims=True)
@@ -61,17 +72,23 @@ def _far_apart(sample: np.ndarray, k: int, threshold: float) -> np.ndarray:
     return sample[taken]
 
 
-def _describe(pivots: np.ndarray):
+def _describe(pivots: dict[int, tuple[int, np.ndarray]]):
+    """Adds the numbers of each vector's nearest pivots, nearest first; ``pivots`` has the first number and the pivots of each length."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            far = -(_unit(_vectors(batch.column("vec"))) @ pivots.T)
-            prefix = min(PREFIX, len(pivots))
-            first = np.argpartition(far, prefix - 1, axis=1)[:, :prefix]
-            first = np.take_along_axis(first, np.argsort(np.take_along_axis(far, first, 1), axis=1, kind="stable"), 1).astype(np.int32)
-            ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * prefix)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(first.ravel()))], names=[*batch.schema.names, "pivots"])
+            lengths = np.asarray(batch.column("vec").value_lengths())
+            for d in np.unique(lengths).tolist():
+                rows = batch if lengths.min() == lengths.max() else batch.take(pa.array(np.flatnonzero(lengths == d)))
+                base, own = pivots[d]
+                far = -(_unit(_vectors(rows.column("vec"))) @ own.T)
+                prefix = min(PREFIX, len(own))
+                first = np.argpartition(far, prefix - 1, axis=1)[:, :prefix]
+                first = base + np.take_along_axis(first, np.argsort(np.take_along_axis(far, first, 1), axis=1, kind="stable"), 1)
+                ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * prefix)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(ends, pa.array(first.ravel().astype(np.int32)))], names=[*rows.schema.names, "pivots"])
 
     return run
 
@@ -120,13 +137,19 @@ def _cell(threshold: float):
         gid, node, copies, block, home = (np.asarray(table.column(x).combine_chunks()) for x in ("gid", "node", "copies", "block", "home"))
         unit = _unit(_vectors(table.column("vec").combine_chunks()))
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        lists = table.column("pivots").combine_chunks().take(pa.array(left))
-        first = np.asarray(lists.flatten()).reshape(len(left), -1)
+        described = np.asarray(table.column("pivots").combine_chunks().flatten()).reshape(len(gid), -1)
+        first = described[left]
+        # the inverted lists' counts: how many pivots two descriptions share
+        number, place = np.unique(described, return_inverse=True)
+        mark = np.zeros((len(gid), len(number)), np.float32)
+        np.put_along_axis(mark, place.reshape(described.shape), 1, axis=1)
+        least = min(SHARED, described.shape[1])
         links = np.zeros(len(gid), np.int64)
         forest = Forest(len(gid))
         for at in range(0, len(left), ROWS):
+            candidates = mark[left[at : at + ROWS]] @ mark[right].T >= least
             # Products of matrices differ in the last digits by their shapes; the sums below decide.
-            i, j = np.nonzero(unit[left[at : at + ROWS]] @ unit[right].T >= threshold - 1e-9)
+            i, j = np.nonzero(candidates & (unit[left[at : at + ROWS]] @ unit[right].T >= threshold - 1e-9))
             i += at
             if low == high:
                 i, j = i[j > i], j[j > i]
@@ -155,13 +178,30 @@ def _cell(threshold: float):
     return run
 
 
+def _samples(entries: DataFrame, sizes: dict[int, int], wanted: dict[int, int]):
+    """Pairs of a length and the vectors of that length with the smallest hashes, as many as wanted."""
+    if not wanted:
+        return
+    # the hash that about twice as many vectors have is a filter; the exact choice is made on what passes it
+    limits = entries.sparkSession.createDataFrame([(d, k, (2.0 * k + 64) / sizes[d]) for d, k in wanted.items()], "d int, most int, share double")
+    ranked = entries.select("vec", F.size("vec").alias("d"), F.xxhash64("node").alias("h"), "gid")
+    few = ranked.join(F.broadcast(limits), "d").filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    best = few.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy("h", "gid"))).filter("k <= most")
+    rows = best.orderBy("d", "k").select("d", "vec").toArrow()
+    lengths = np.asarray(rows.column("d"))
+    vectors = rows.column("vec").combine_chunks()
+    for d in np.unique(lengths).tolist():
+        own = vectors.take(pa.array(np.flatnonzero(lengths == d)))
+        yield d, _vectors(own)
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """id, ``n_links``, ``component_id`` and ``kept`` of each row.
 
     Vectors that are null, empty or zero, that hold null or non-finite components,
-    whose length is not the most frequent one, or whose id is null link with
-    nothing: no links, their own id as component, kept. Equal vectors link with
-    each other, and rows that repeat an id are kept alike. An empty table gives an
+    or whose id is null link with nothing: no links, their own id as component, kept.
+    Vectors of different lengths do not link. Equal vectors link with each other, and
+    rows that repeat an id are kept alike. Vectors may be as long as a value can be. An empty table gives an
     empty result; other columns are ignored. The result is approximate: links are
     never wrong; the README has the share of pairs that is found.
     """
@@ -170,16 +210,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     named = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("vec"))
     usable = F.expr("id is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
     flagged = named.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    sizes = flagged.filter("ok").groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 0
-    flagged = flagged.withColumn("ok", F.col("ok") & (F.size("vec") == dim))
     entries = materialise(
         flagged.filter("ok").groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("gid", F.monotonically_increasing_id()), "pivot-entries"
     )
-    n = entries.count()
-    k = max(LEAST_PIVOTS, min(MOST_PIVOTS, 1 << round(math.log2(max(1, n)) / 2)))
-    sample = _vectors(entries.orderBy(F.xxhash64("node"), "gid").limit(SAMPLE * k).select("vec").toArrow().column("vec").combine_chunks()) if n else np.ones((1, 1))
-    pivots = _far_apart(_unit(sample), k, threshold)
+    # A length of d has vectors of d components, so n components in all have at most sqrt(2 n) lengths.
+    sizes = {r["d"]: r["n"] for r in entries.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    pivots: dict[int, tuple[int, np.ndarray]] = {}
+    base = 0
+    for d, own in _samples(entries, sizes, {d: SAMPLE * pivots_of(n) if n >= FEW else 1 for d, n in sizes.items()}):
+        pivots[d] = base, _far_apart(_unit(own), pivots_of(sizes[d]), threshold)
+        base += len(pivots[d][1])
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in entries.schema.fields)}, pivots array<int>"
     described = materialise(entries.mapInArrow(_describe(pivots), schema), "pivot-index")
     listed = described.select("*", F.posexplode("pivots").alias("rank", "pivot"), F.col("pivots")[0].alias("home"))
@@ -188,10 +228,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     at_home = F.col("rank") == 0
     # Blocks of a list: those at home, then the visitors, who meet those at home only.
     cells = (
-        listed.join(F.broadcast(lengths), "pivot")  # one row a pivot, MOST_PIVOTS at most
+        listed.join(F.broadcast(lengths), "pivot")  # one row a pivot: about the square root of the vectors
         .withColumn("block", F.when(at_home, F.pmod(F.xxhash64("gid"), F.col("homes"))).otherwise(F.col("homes") + F.pmod(F.xxhash64("gid"), F.col("visits"))).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") + F.when(at_home, F.col("visits")).otherwise(0) - 1)))
-        .select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "gid", "node", "copies", "block", "vec", "home", F.when(at_home, F.col("pivots")).alias("pivots"))
+        .select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "gid", "node", "copies", "block", "vec", "home", "pivots")
     )
     found = materialise(cells.groupBy("pivot", "low", "high").applyInArrow(_cell(threshold), "gid long, links long, a long, b long"), "pivot-links")
     links = found.filter("gid is not null").groupBy("gid").agg(F.sum("links").alias("links"))

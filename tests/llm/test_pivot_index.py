@@ -51,9 +51,9 @@ def test_pivots_are_ordered_and_far_apart():
     pivots = pivot_index._far_apart(x[rng.permutation(1000)], 256, 0.9)
     assert len(pivots) == 256 and (pivots @ pivots.T - np.eye(256)).max() < 0.8
     batch = pa.RecordBatch.from_arrays([pa.array(x.tolist())], names=["vec"])
-    (out,) = pivot_index._describe(pivots)([batch])
+    (out,) = pivot_index._describe({32: (7, pivots)})([batch])
     first = np.array(out.column("pivots").to_pylist())
-    assert (first == np.argsort(-(x @ pivots.T), axis=1)[:, : pivot_index.PREFIX]).all()
+    assert (first - 7 == np.argsort(-(x @ pivots.T), axis=1)[:, : pivot_index.PREFIX]).all()
 
 
 def test_odd_vectors(spark):
@@ -64,6 +64,32 @@ def test_odd_vectors(spark):
     for r in found:
         got.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
     assert got[1] == [(4, 1, True)] and got[2] == [(4, 1, False)] * 2 and got[3] == [(4, 1, False)] and got[11] == [(4, 1, False)]
-    for i in (4, 5, 6, 7, 8, 9, 10, 12, None):
+    for i in (4, 5, 6, 7, 8, 9, 10, 12, None):  # 12 is of another length
         assert got[i] == [(0, i, True)]
     assert pivot_index.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+@pytest.mark.parametrize("few", [8, 512])
+def test_lengths_are_indexed_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(pivot_index, "FEW", few)
+    rng = np.random.default_rng(8)
+    groups = [clustered(rng, 6, 15, 0.15, dim) for dim in (2, 3, 16, 17)] + [rng.normal(size=(n, 40 + n)).astype(np.float32) for n in (1, 1, 2)]
+    rows = [(i, v.tolist()) for i, v in enumerate(v for g in groups for v in g)]
+    found = pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas().sort_values("vec_id")
+    near = np.concatenate([brute(g.astype(float)).sum(1) for g in groups])
+    assert (found["n_links"].to_numpy() <= near).all()
+    assert found["n_links"].sum() >= (0.95 if few == 8 else 1) * near.sum()
+
+
+def test_registered_query(spark, tmp_path):
+    """Few enough vectors that the index compares all: the query equals brute force."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([clustered(rng, 20, 10, 0.2, 64), rng.normal(size=(100, 64)).astype(np.float32)])
+    near = brute(x.astype(float))
+    label = np.arange(len(x))
+    while (low := np.where(near, label[None], len(x)).min(1).clip(max=label)).tolist() != label.tolist():
+        label = low
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = pivot_index.op9_pivot_index(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, int(near[i].sum()), int(label[i]), label[i] == i) for i in range(len(x))]

@@ -4,9 +4,11 @@ Each task tokenises its own documents and packs them batch by batch, so no ids
 are shuffled. In a batch every item (a document, or what is left of one after
 whole windows were cut off it) starts as a partial partition of m windows; the
 two partial partitions with the largest imbalance are merged, fullest windows
-against emptiest, until one is left. That leaves near-equal windows; what some
-hold over the capacity is cut off and fills the room of others, and the window
-count rises whenever the ids exceed the capacity of all windows together.
+against emptiest, until one is left. That leaves near-equal windows. m begins with
+the fewest windows that could hold the ids and rises whenever one of them exceeds
+the capacity. Only where that would pad more than ``PADDING`` of a batch are
+documents cut: each window that holds more than the mean gives the excess off as an
+item of its own, and differencing begins anew.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from lithomesh.plans.session import prepare_workers
 
 #: Windows that a batch fills.
 BATCH_WINDOWS = 256
-#: Documents are joined to items of at least this many ids before differencing, so a batch has a bounded number of items.
-LEAST_ITEM = 64
+#: Ids short of full windows that a batch is taken with, for each window: differencing rarely leaves exactly equal sums.
+SLACK = 6
+#: Share of a batch that windows beyond the fewest may add as padding.
+PADDING = 0.005
+#: Documents are joined to items of at least this many ids, so a batch has a bounded number of items.
+LEAST_ITEM = 32
 #: Power-of-two sequences that the last ids of a task may form; these are not padded.
 TAIL_PARTS = 3
 
@@ -42,18 +48,20 @@ def differencing(sizes: list[int], m: int) -> np.ndarray:
     heapq.heapify(heap)
     sums: dict[int, np.ndarray] = {}
 
-    def fills(node: int, size) -> np.ndarray:
-        if node < n:
-            out = np.zeros(m, np.int64)
-            out[0] = size
-            return out
-        return sums.pop(node)
-
     while len(heap) > 1:
         _, a, size_a = heapq.heappop(heap)
         _, b, size_b = heapq.heappop(heap)
-        merged = fills(a, size_a) + fills(b, size_b)[::-1]
-        order = np.argsort(-merged, kind="stable")
+        if a < n and b < n:
+            merged = np.zeros(m, np.int64)
+            merged[0], merged[-1] = size_a, size_b
+        elif b < n or a < n:
+            merged = sums.pop(max(a, b))  # items have the smaller numbers
+            merged[-1] += size_b if b < n else size_a
+            if a < n:
+                a, b = b, a
+        else:
+            merged = sums.pop(a) + sums.pop(b)[::-1]
+        order = merged.argsort(kind="stable")[::-1]
         merged = merged[order]
         merged -= merged[-1]
         node = n + len(nodes)
@@ -76,6 +84,36 @@ def differencing(sizes: list[int], m: int) -> np.ndarray:
     return window
 
 
+def fewest_windows(sizes: list[int], capacity: int, padding: float = PADDING) -> tuple[int, np.ndarray, bool]:
+    """The least window count at which differencing exceeds no window, each item's window, and whether there is such a count.
+
+    The count begins where the ids just fit and rises while that adds at most the
+    share ``padding`` of the ids; if no count is enough, the fewest windows are told.
+    """
+    total = sum(sizes)
+    least = -(-total // capacity)
+    first = None
+    for m in range(least, max(least, int(total * (1 + padding) // capacity)) + 1):
+        window = differencing(sizes, m)
+        if np.bincount(window, weights=sizes, minlength=m).max() <= capacity:
+            return m, window, True
+        first = window if first is None else first
+    return least, first, False
+
+
+def _cut(item: list[tuple], at: int) -> tuple[list[tuple], list[tuple]]:
+    """The first ``at`` ids of an item, and the rest."""
+    head, tail = [], []
+    for doc, start, ids, total in item:
+        n = min(len(ids), at)
+        if n:
+            head.append((doc, start, ids[:n], total))
+        if n < len(ids):
+            tail.append((doc, start + n, ids[n:], total))
+        at -= n
+    return head, tail
+
+
 def least_powers(least: int, parts: int) -> list[int]:
     """At most ``parts`` powers of two with the smallest sum that is ``least`` or more."""
     out: list[int] = []
@@ -113,8 +151,7 @@ class Packer:
             self.waiting.append((doc, whole, ids[whole:], total))
             self.tokens += total - whole
         while self.tokens >= self.batch:
-            windows = self.batch // self.capacity
-            self._pack(windows, windows * self.capacity, out)
+            self._pack(self.batch - SLACK * (self.batch // self.capacity), out)
 
     def _take(self, tokens: int) -> list[tuple]:
         """Pieces from the front of what waits, ``tokens`` ids in all; the last one is cut."""
@@ -134,8 +171,8 @@ class Packer:
         self.tokens -= tokens
         return got
 
-    def _pack(self, windows: int, tokens: int, out: list) -> None:
-        """The next ``tokens`` ids into ``windows`` windows, or more if they do not fit."""
+    def _pack(self, tokens: int, out: list) -> None:
+        """The next ``tokens`` ids into near-equal windows; where no count fits, windows give off what they hold over the mean, and it is placed anew."""
         items: list[list] = [[]]
         size = 0
         for piece in self._take(tokens):
@@ -144,46 +181,33 @@ class Packer:
                 size = 0
             items[-1].append(piece)
             size += len(piece[2])
-        sizes = [sum(len(p[2]) for p in item) for item in items]
-        while sum(sizes) > windows * self.capacity:
-            windows += 1
-        window = differencing(sizes, windows)
-        order = np.argsort(window, kind="stable")
-        filled = [[p for i in own for p in items[i]] for own in np.split(order, np.flatnonzero(np.diff(window[order])) + 1)]
-        filled += [[] for _ in range(windows - len(filled))]
-        for pieces in self._level(filled):
-            self._emit(pieces, out)
-
-    def _level(self, filled: list[list[tuple]]) -> list[list[tuple]]:
-        """Cut what windows hold over the capacity and put it where there is room."""
-        room, excess = [], []
-        for pieces in filled:
-            over = sum(len(p[2]) for p in pieces) - self.capacity
-            room.append(-over)
-            while over > 0:
-                doc, start, ids, total = pieces.pop()
-                stays = max(0, len(ids) - over)
-                if stays:
-                    pieces.append((doc, start, ids[:stays], total))
-                excess.append((doc, start + stays, ids[stays:], total))
-                over -= len(ids) - stays
-        for pieces, free in zip(filled, room):
-            while free > 0 and excess:
-                doc, start, ids, total = excess.pop()
-                pieces.append((doc, start, ids[:free], total))
-                if len(ids) > free:
-                    excess.append((doc, start + free, ids[free:], total))
-                free -= len(ids)
-        return [x for x in filled if x]
+        while True:
+            sizes = [sum(len(p[2]) for p in item) for item in items]
+            windows, window, fits = fewest_windows(sizes, self.capacity)
+            order = np.argsort(window, kind="stable")
+            held = np.split(order, np.flatnonzero(np.diff(window[order])) + 1)
+            if fits:
+                break
+            for own in held:
+                over = sum(sizes[i] for i in own) - sum(sizes) // windows
+                if over > 0 and max(sizes[i] for i in own) > 1:
+                    longest = max(own, key=sizes.__getitem__)
+                    head, tail = _cut(items[longest], sizes[longest] - min(over, sizes[longest] // 2))
+                    items[longest] = head
+                    items.append(tail)
+        for own in held:
+            self._emit([p for i in own for p in items[i]], out)
 
     def finish(self, out: list) -> None:
         """The last batch: whole windows by differencing, what is over as a few power-of-two sequences."""
         windows = self.tokens // self.capacity
-        over = self.tokens - windows * self.capacity
+        over = self.tokens - windows * (self.capacity - SLACK)
         for length in least_powers(over, TAIL_PARTS if windows else 64):
-            self._emit(self._take(length), out)
+            for at in range(0, length, self.capacity):
+                if self.tokens:
+                    self._emit(self._take(min(length - at, self.capacity, self.tokens)), out)
         if self.tokens:
-            self._pack(windows, self.tokens, out)
+            self._pack(self.tokens, out)
 
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -60,21 +60,25 @@ class ChunkTokenizer(dict):
     """Encodes texts as the tokenizer file does, for pre-tokenizers that no match of which crosses white space.
 
     A text is cut at ASCII white space, which such a tokenizer drops, and each
-    distinct chunk is encoded once: by the rank table where the chunk is plain, by
-    the tokenizer itself otherwise. As a mapping it holds the chunks seen, each with
-    its ids as little-endian unsigned 32-bit numbers.
+    distinct chunk is encoded once: by the rank table where the chunk is plain and
+    holds no added token, by the tokenizer itself otherwise. Where an added token of
+    the file can reach over white space, texts are encoded whole. As a mapping it
+    holds the chunks seen, each with its ids as little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = merge_table(path)
+        with open(path, encoding="utf-8") as file:
+            added = [x for x in json.load(file)["added_tokens"] if x["content"]]
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in added) or r"(?!)", re.I)
+        self.whole = any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in added)
 
     def __missing__(self, chunk: bytes) -> bytes:
         text, merge = chunk.decode(), self.merge
-        if merge is not None and PLAIN.fullmatch(text):
+        if merge is not None and PLAIN.fullmatch(text) and not self.added.search(text):
             words = PLAIN_WORDS.findall(text.lower())
             run = merge(words[0].encode() + END) if len(words) == 1 else [i for word in words for i in merge(word.encode() + END)]
         else:
@@ -84,6 +88,8 @@ class ChunkTokenizer(dict):
 
     def encode(self, text: bytes) -> np.ndarray:
         """uint32 ids of a text in UTF-8."""
+        if self.whole:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
         if len(self) > CACHED_CHUNKS:
             self.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")

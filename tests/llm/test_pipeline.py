@@ -38,7 +38,6 @@ def test_stages(spark):
         assert row.text == "".join([*out, text[at:]])
         assert row.n_chars == len(row.text) or not marked
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     for row in clean.itertuples():
         own = packed[packed["doc_id"] == row.doc_id].sort_values("start")
         assert np.concatenate([np.frombuffer(x, "<u4") for x in own["ids"]]).tolist() == plain.encode(row.text, add_special_tokens=False).ids + [2]

@@ -92,8 +92,7 @@ def test_chunk_tokenizer_equals_the_tokenizer():
     own = ChunkTokenizer(path)
     assert own.merge is not None
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [t for _, t in ODD if t] + ["İstanbul naïve CAFÉ'S it's", "ﬁ ½²3 ab12'll", "日本語 <|endoftext|> a", "ΑΣ \x1c q", "é x́", "</w> 　 ÿ÷×ªº"]
+    texts = [t for _, t in ODD if t] + ["İstanbul naïve CAFÉ'S it's", "ﬁ ½²3 ab12'll", "日本語 <|endoftext|> a", "ΑΣ \x1c q", "é x́", "</w> 　 ÿ÷×ªº", "a <|endoftext|> b<|startoftext|>c d<|ENDOFTEXT|>", "<|endoftext|><|endoftext|>é <|endoftext"]
     for text in texts:
         assert own.encode(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids
 
@@ -101,7 +100,6 @@ def test_chunk_tokenizer_equals_the_tokenizer():
 def test_packing(odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rows = packing.pack(odd.filter("doc_id is not null"), path, capacity=64).toPandas()
     want = sorted(tuple(plain.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in ODD if i is not None)
     pieces = {}
@@ -128,6 +126,51 @@ def test_differencing_is_near_equal():
     assert sums.sum() == sum(sizes) and sums.max() - sums.min() < 25
 
 
+def test_window_count_rises_where_the_capacity_is_exceeded():
+    windows, window, fits = packing.fewest_windows([3] * 5, 5, padding=1.0)  # 15 ids fit three windows of 5, but not in threes
+    assert (windows, fits) == (5, True) and sorted(window.tolist()) == [0, 1, 2, 3, 4]
+    windows, window, fits = packing.fewest_windows([3] * 5, 5, padding=0.0)
+    assert (windows, fits) == (3, False) and len(window) == 5
+    sizes = np.random.default_rng(4).integers(1, 400, 900).tolist()
+    least = -(-sum(sizes) // 400)
+    windows, window, fits = packing.fewest_windows(sizes, 400, padding=0.1)
+    assert fits and least < windows < 1.05 * least and np.bincount(window, weights=sizes).max() <= 400
+
+
+@pytest.mark.parametrize("spread", [(1, 60), (1, 3000), (4000, 4096), (64, 65)])
+def test_packer_cuts_little_and_loses_nothing(spread):
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 9, int(n)).astype(np.uint32) for n in rng.integers(*spread, 1200)]
+    packer, out = packing.Packer(4096, 10, batch_windows=32), []
+    for doc, ids in enumerate(docs):
+        packer.add(doc, ids, out)
+    packer.finish(out)
+    back: dict = {}
+    for doc, start, n, total, _, _, ids in sorted(out, key=lambda r: (r[0], r[1])):
+        assert start == sum(map(len, back.get(doc, []))) and n == len(ids) and total == len(docs[doc])
+        back.setdefault(doc, []).append(ids)
+    assert all((np.concatenate(back[doc]) == ids).all() for doc, ids in enumerate(docs))
+    lengths = np.bincount([r[4] for r in out], weights=[r[2] for r in out])[10:].astype(int)
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in lengths)
+    assert lengths.max() <= 4096 and padding <= 0.01 * lengths.sum()
+    assert len(out) - len(docs) <= 4 * len(lengths)
+
+
+def test_packing_query(spark, tmp_path):
+    texts = [(i, t) for i, t in enumerate([t for _, t in ODD] + ["a <|endoftext|> b", "x<|startoftext|>"])]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = packing.op4_packing(spark, str(tmp_path)).collect()
+    want = {i: plain.encode(t or "", add_special_tokens=False).ids + [2] for i, t in texts}
+    assert want[len(texts) - 2] == [320, 49407, 321, 2]
+    seen = dict.fromkeys(want, 0)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == seen[r.doc_id] and r.doc_tokens == len(want[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        seen[r.doc_id] += r.length
+    assert seen == {i: len(w) for i, w in want.items()}
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(200, 40), (64, 16), (32768, 512)])
 def test_bpe(odd, empty, chunk, overlap):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}

@@ -12,6 +12,10 @@ failures is decided for each encoding and band of lengths by the
 Benjamini-Hochberg procedure over the tokens of the whole corpus, so that short
 tokens, on which the tests say little, are not judged by the crowd of long ones;
 what passes is reported as kind ``random``, also inside base spans.
+
+All steps are linear in a text's length, in its number of matches and in the
+length of a token: positions are running sums over blocks of blocks, and tokens and
+texts are cut into blocks before single characters are taken from them.
 """
 
 from __future__ import annotations
@@ -38,6 +42,11 @@ PARTS = (r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9+/]{20,}")
 FDR = 0.05
 #: Cells of the chi-squared test; with 9 its survival function has a closed form.
 CELLS = 9
+#: Characters of a token, and of a text, that are taken apart at once.
+TOKEN_BLOCK, TEXT_BLOCK = 4096, 1024
+#: Values of a block of a running sum.
+RUN_BITS = 5
+RUN = 1 << RUN_BITS
 #: Bins of p-values for each factor of ten, and the last bin.
 BINS, LAST_BIN = 20, 240
 
@@ -53,34 +62,59 @@ ENCODINGS = (
 )
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array of (start, end, match) in code points, end exclusive, of leftmost non-overlapping matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
+# Expressions are built as SQL text: nested lambdas cost a call to the JVM for each node otherwise.
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zipped = F.arrays_zip(found.alias("found"), F.slice(between, F.lit(1), F.size(found)).alias("between"))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _mixes(c: Column) -> Column:
-    return c["match"].rlike("[A-Za-z]") & c["match"].rlike("[0-9]")
+def _let(name: str, value: str, then: str) -> str:
+    """``then``, in which ``name`` stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {then})[0]"
 
 
-def _parts(c: Column) -> Column:
-    """What is tested of a token: itself, and its parts where no encoding fits."""
+def _running(values: str, combine: str, levels: int = 3) -> str:
+    """For each of some non-negative integers what ``combine`` makes of those before it, 0 for the first.
+
+    Arrays have no expression for it that does not copy what it has for every
+    value; so totals of blocks are run over first, level by level, and each value
+    adds those of its own block. ``values`` is a column or a lambda's variable, and
+    ``combine`` is of ``a`` and ``b``.
+    """
+
+    def over(low: str, high: str, start: str) -> str:
+        """Combination of values low to high - 1."""
+        step = combine.replace("{b}", f"{values}[j]")
+        return f"if({high} > {low}, aggregate(sequence({low}, greatest({low}, {high} - 1)), {start}, (a, j) -> {step}), {start})"
+
+    one_by_one = f"transform({values}, (x, i) -> {over('0', 'i', '0')})"
+    if not levels:
+        return one_by_one
+    totals = f"transform(sequence(0, shiftright(greatest(size({values}) - 1, 0), {RUN_BITS})), k -> {over(f'k * {RUN}', f'least(size({values}), (k + 1) * {RUN})', '0')})"
+    t, before = f"t{levels}", f"o{levels}"
+    placed = f"transform({values}, (x, i) -> {over(f'i - i % {RUN}', 'i', f'{before}[shiftright(i, {RUN_BITS})]')})"
+    of_blocks = _let(t, totals, _let(before, _running(t, combine, levels - 1), placed))
+    return f"if(size({values}) <= {RUN}, {one_by_one}, {of_blocks})"
+
+
+def _located(text: str, pattern: str) -> str:
+    """array of (start, end, match) in code points, end exclusive, of leftmost non-overlapping matches."""
+    placed = "transform(found, (m, i) -> named_struct('start', before[i] + length(between[i]), 'end', before[i] + strides[i], 'match', m))"
+    strided = _let("strides", "transform(found, (m, i) -> length(between[i]) + length(m))", _let("before", _running("strides", "a + {b}"), placed))
+    some = _let("between", f"split({text}, {_quoted(pattern)}, -1)", strided)
+    return _let("found", f"regexp_extract_all({text}, {_quoted(pattern)}, 0)", f"if(size(found) > 0, {some}, cast(array() as array<struct<start:int,end:int,match:string>>))")
 
-    def between(pattern):
-        return F.transform(_located(c["match"], pattern), lambda m: F.struct((c["start"] + m["start"]).alias("start"), (c["start"] + m["end"]).alias("end"), m["match"].alias("match")))
 
-    parts = F.array_distinct(F.filter(F.concat(*[between(p) for p in PARTS]), _mixes))
-    return F.when(c["match"].rlike("[+/]") & c["match"].rlike("[_-]"), F.concat(F.array(c), parts)).otherwise(F.array(c))
+def _mixes(c: str) -> str:
+    return f"{c}.match rlike '[A-Za-z]' and {c}.match rlike '[0-9]'"
+
+
+def _parts(c: str) -> str:
+    """What is tested of a token: itself, and its parts where no encoding fits."""
+    parts = [f"transform({_located(f'{c}.match', p)}, m -> named_struct('start', {c}.start + m.start, 'end', {c}.start + m.end, 'match', m.match))" for p in PARTS]
+    # no part is one by both cuts: it would end at a mark of both kinds
+    return f"if({c}.match rlike '[+/]' and {c}.match rlike '[_-]', concat(array({c}), filter(concat({', '.join(parts)}), p -> {_mixes('p')})), array({c}))"
 
 
 def _case(of: str, values: dict[str, str]) -> str:
@@ -99,30 +133,40 @@ def _spans(docs: DataFrame, text: Column) -> DataFrame:
     """Base spans and tested tokens of each row: columns ``assign``, ``access``, ``hex`` and ``tokens``."""
     located = (
         docs.withColumn("_t", text)
-        .withColumn("assign", F.filter(_located(F.col("_t"), ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= ASSIGN_VALUE))
-        .withColumn("access", F.filter(_located(F.col("_t"), ACCESS), lambda m: F.length(m["match"]) >= ACCESS_LENGTH))
-        .withColumn("hex", _located(F.col("_t"), HEX))
-        .withColumn("tokens", F.flatten(F.transform(F.filter(_located(F.col("_t"), TOKEN), _mixes), _parts)))
+        .withColumn("assign", F.expr(f"filter({_located('_t', ASSIGN)}, m -> length(regexp_extract(m.match, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_VALUE})"))
+        .withColumn("access", F.expr(f"filter({_located('_t', ACCESS)}, m -> length(m.match) >= {ACCESS_LENGTH})"))
+        .withColumn("hex", F.expr(_located("_t", HEX)))
+        .withColumn("tokens", F.expr(f"flatten(transform(filter({_located('_t', TOKEN)}, c -> {_mixes('c')}), c -> {_parts('c')}))"))
     )
     patterns = "CASE " + " ".join(f"WHEN c.match RLIKE '{p}' THEN '{name}'" for name, p, _ in ENCODINGS) + " END"
     alphabets = _case("c.kind", {name: f"'{a}'" for name, _, a in ENCODINGS})
     shares = {name: "array(" + ", ".join(f"{sum(v * CELLS // len(a) == j for v in range(len(a))) / len(a)!r}D" for j in range(CELLS)) + ")" for name, _, a in ENCODINGS}
+    # of a block of values: first and last, sum, sum of squares, sum of products of neighbours, values in the upper half, changes of half, values in each cell
+    walk = (
+        "aggregate(v, named_struct('last', -1, 's', 0L, 'q', 0L, 'p', 0L, 'upper', 0, 'changes', 0), (a, x) -> named_struct('last', x, 's', a.s + x, 'q', a.q + x * x, 'p', a.p + if(a.last < 0, 0, a.last * x),"
+        " 'upper', a.upper + if(2 * x >= c.size, 1, 0), 'changes', a.changes + if(a.last >= 0 and (2 * x >= c.size) <> (2 * a.last >= c.size), 1, 0)))"
+    )
+    block = f"named_struct('first', v[0], 'w', {walk}, 'cells', transform(sequence(0, {CELLS - 1}), j -> size(filter(v, x -> x * {CELLS} div c.size = j))))"
+    merge = (
+        "aggregate(c.blocks, named_struct('last', -1, 's', 0L, 'q', 0L, 'p', 0L, 'upper', 0, 'changes', 0, 'cells', array_repeat(0, " + str(CELLS) + ")), (a, b) -> named_struct('last', b.w.last, 's', a.s + b.w.s, 'q', a.q + b.w.q,"
+        " 'p', a.p + b.w.p + if(a.last < 0, 0, a.last * b.first), 'upper', a.upper + b.w.upper, 'changes', a.changes + b.w.changes + if(a.last >= 0 and (2 * b.first >= c.size) <> (2 * a.last >= c.size), 1, 0),"
+        " 'cells', zip_with(a.cells, b.cells, (x, y) -> x + y)))"
+    )
     steps = [
         f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'match', c.match, 'n', length(c.match), 'kind', {patterns}))",
-        f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'size', length({alphabets}), 'v', transform(sequence(1, c.n), i -> instr({alphabets}, substring(c.match, i, 1)) - 1)))",
-        "transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'size', c.size, 'v', c.v,"
-        " 'mean', aggregate(c.v, 0D, (s, x) -> s + x) / c.n,"
-        " 'upper', size(filter(c.v, x -> 2 * x >= c.size)),"
-        " 'runs', 1 + size(filter(sequence(1, c.n - 1), i -> (2 * c.v[i] >= c.size) <> (2 * c.v[i - 1] >= c.size))),"
-        f" 'chi', aggregate(transform({_case('c.kind', shares)}, (e, j) -> power(size(filter(c.v, x -> x * {CELLS} div c.size = j)), 2) / (c.n * e)), 0D, (s, x) -> s + x) - c.n))",
-        "transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'half', c.chi / 2,"
-        " 'expected', 2D * c.upper * (c.n - c.upper) / c.n + 1, 'runs', c.runs,"
-        " 'var', aggregate(c.v, 0D, (s, x) -> s + power(x - c.mean, 2)),"
-        " 'lag', aggregate(sequence(1, c.n - 1), 0D, (s, i) -> s + (c.v[i] - c.mean) * (c.v[i - 1] - c.mean))))",
+        f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'match', c.match, 'kind', c.kind, 'n', c.n, 'alphabet', {alphabets}, 'size', length({alphabets})))",
+        f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'size', c.size, 'blocks',"
+        f" transform(regexp_extract_all(c.match, '.{{1,{TOKEN_BLOCK}}}', 0), m -> transform(array(transform(split(m, ''), x -> instr(c.alphabet, x) - 1)), v -> {block})[0])))",
+        f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'size', c.size, 'first', c.blocks[0].first, 'w', {merge}))",
+        "transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n, 'runs', 1 + c.w.changes,"
+        " 'expected', 2D * c.w.upper * (c.n - c.w.upper) / c.n + 1,"
+        " 'mean', c.w.s / c.n, 'var', c.w.q - cast(c.w.s as double) * c.w.s / c.n,"
+        " 'products', c.w.p, 'ends', 2D * c.w.s - c.first - c.w.last,"
+        f" 'half', (aggregate(zip_with(c.w.cells, {_case('c.kind', shares)}, (k, e) -> power(k, 2) / (c.n * e)), 0D, (s, x) -> s + x) - c.n) / 2))",
         "transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'n', c.n,"
         " 'uniform', greatest(exp(-c.half) * (1 + c.half + power(c.half, 2) / 2 + power(c.half, 3) / 6), 1e-12D),"
         f" 'alternating', if(c.expected > 2, {_two_sided('((c.runs - c.expected) / sqrt((c.expected - 1) * (c.expected - 2) / (c.n - 1)))')}, 1e-12D),"
-        f" 'serial', if(c.var > 0, {_two_sided('(c.lag / if(c.var > 0, c.var, 1D) * sqrt(c.n))')}, 1e-12D)))",
+        f" 'serial', if(c.var > 0, {_two_sided('((c.products - c.mean * c.ends + (c.n - 1) * c.mean * c.mean) / if(c.var > 0, c.var, 1D) * sqrt(c.n))')}, 1e-12D)))",
         f"transform(tokens, c -> named_struct('start', c.start, 'end', c.end, 'stratum', concat(c.kind, ':', cast(floor(2 * log2(c.n)) as string)),"
         f" 'bin', cast(least({LAST_BIN}, floor(-{BINS} * log10(least(1D, 3 * least(c.uniform, c.alternating, c.serial))))) as int)))",
     ]
@@ -166,7 +210,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Starts and ends count code points. A null text counts as empty and has no
     spans; repeated rows and null ids stay as they are; an empty table gives an
-    empty result; other columns are ignored. The texts are read once; what is
+    empty result; other columns are ignored. Very long texts and tokens are scanned
+    whole, in time linear in their length. The texts are read once; what is
     found in them is written to the shared folder, without the texts.
     """
     named = docs.select(F.col(f"`{id_col}`").alias("id"), _text(docs, text_col).alias("_text"))
@@ -175,11 +220,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return found.withColumn("tokens", _random(cutoffs(found))).select(F.col("id").alias(id_col), "assign", "access", "hex", plain("tokens").alias("random"))
 
 
+def _masked(text: str, spans: str, mask: str) -> str:
+    """``text`` with ``mask`` for each union of the spans, which are in order and at least one."""
+    block = TEXT_BLOCK
+
+    def piece(low: str, high: str) -> str:
+        """Code points low to high - 1, from the text's blocks."""
+        part = f"substring(blocks[k], greatest({low} - k * {block}, 0) + 1, least({high} - k * {block}, {block}) - greatest({low} - k * {block}, 0))"
+        return f"if({high} > {low}, array_join(transform(sequence({low} div {block}, greatest({low}, {high} - 1) div {block}), k -> {part}), ''), '')"
+
+    begins = "filter(sequence(0, size(spans) - 1), i -> spans[i].start >= reached[i])"
+    masked = f"array_join(transform({begins}, i -> concat({piece('reached[i]', 'spans[i].start')}, {_quoted(mask)})), '')"
+    out = f"concat({masked}, {_let('top', 'array_max(transform(spans, x -> x.end))', piece('top', f'length({text})'))})"
+    reached = _let("ends", f"transform({spans}, x -> x.end)", _running("ends", "greatest(a, {b})"))
+    return _let("blocks", f"regexp_extract_all({text}, '(?s).{{1,{block}}}', 0)", _let("spans", spans, _let("reached", reached, out)))
+
+
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The input's rows with every span of every kind replaced by ``mask``; overlapping spans are one.
 
-    Rows without a span stay as they are. Texts are read twice and not shuffled:
-    once for the corpus counts and once to replace.
+    Rows without a span stay as they are, null and empty texts and repeated rows
+    among them; an empty table stays empty. A column ``n_chars`` of the input is
+    set to the new text's length where a text changed; all others are kept, whatever
+    their names. Texts are read twice and not shuffled: once for the corpus counts
+    and once to replace.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index(text_col)]
@@ -190,15 +254,8 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
         _spans(renamed, text)
         .withColumn("tokens", _random(found))
         .withColumn("_spans", F.expr("array_sort(concat(" + ", ".join(f"transform({c}, m -> named_struct('start', m.start, 'end', m.end))" for c in ("assign", "access", "hex", "tokens")) + "))"))
-        .withColumn(
-            "_out",
-            F.expr(
-                "aggregate(_spans, named_struct('at', 0, 'parts', cast(array() as array<string>)), (acc, s) -> named_struct("
-                "'at', greatest(acc.at, s.end), 'parts', if(s.start < acc.at, acc.parts, concat(acc.parts, array(substring(_t, acc.at + 1, s.start - acc.at), '" + mask + "')))),"
-                " acc -> concat(array_join(acc.parts, ''), substring(_t, acc.at + 1)))"
-            ),
-        )
     )
+    marked = marked.withColumn("_out", F.expr(f"if(size(_spans) > 0, {_masked('_t', '_spans', mask)}, _t)"))
     new = F.when(F.size("_spans") > 0, F.col("_out")).otherwise(F.col(at))
     out = [new if n == at else F.when(F.size("_spans") > 0, F.length("_out").cast(f.dataType)).otherwise(F.col(n)) if f.name == "n_chars" else F.col(n) for n, f in zip(names, docs.schema.fields)]
     return marked.select(*[c.alias(f.name) for c, f in zip(out, docs.schema.fields)])

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -345,6 +347,99 @@ def test_secrets_in_tokens_that_no_encoding_fits(spark):
     assert not any(found[i] for i in range(160, 200))
 
 
+def p_bin(token, alphabet):
+    """The battery on one token, value by value: the bin of the least of three p-values."""
+    v = [alphabet.index(c) for c in token]
+    n, size, cells = len(v), len(alphabet), secrets.CELLS
+
+    def two_sided(z):
+        x = abs(z) / math.sqrt(2)
+        t = 1 / (1 + 0.3275911 * x)
+        return max(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * math.exp(-x * x), 1e-12)
+
+    share = [sum(k * cells // size == j for k in range(size)) / size for j in range(cells)]
+    half = (sum(sum(x * cells // size == j for x in v) ** 2 / (n * share[j]) for j in range(cells)) - n) / 2
+    uniform = max(math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6), 1e-12)
+    high = [2 * x >= size for x in v]
+    expected = 2 * sum(high) * (n - sum(high)) / n + 1
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    alternating = two_sided((runs - expected) / math.sqrt((expected - 1) * (expected - 2) / (n - 1))) if expected > 2 else 1e-12
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    serial = two_sided(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread * math.sqrt(n)) if spread > 1e-9 else 1e-12
+    return min(secrets.LAST_BIN, math.floor(-secrets.BINS * math.log10(min(1, 3 * min(uniform, alternating, serial)))))
+
+
+def brute_random(texts):
+    """All tested tokens of all texts, judged by encoding and band of lengths over the whole corpus."""
+    tested = []
+    for i, text in enumerate(texts):
+        for m in re.finditer(secrets.TOKEN, text or ""):
+            parts = [(m.start(), m.end())]
+            if re.search("[+/]", m[0]) and re.search("[_-]", m[0]):
+                parts += [(m.start() + p.start(), m.start() + p.end()) for pattern in secrets.PARTS for p in re.finditer(pattern, m[0])]
+            for k, (start, end) in enumerate(parts):
+                token = text[start:end]
+                if not re.search("[A-Za-z]", m[0]) or not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", token) or not re.search("[0-9]", token):
+                    continue
+                kind, alphabet = next((name, a) for name, p, a in secrets.ENCODINGS if re.search(p, token))
+                tested.append((i, start, end, (kind, math.floor(2 * math.log2(end - start))), p_bin(token, alphabet)))
+    out = {i: [] for i in range(len(texts))}
+    for stratum in {t[3] for t in tested}:
+        own = [t for t in tested if t[3] == stratum]
+        text_bins = [b for b in {t[4] for t in own} if 10 ** (-b / secrets.BINS) <= secrets.FDR * sum(t[4] >= b for t in own) / len(own)]
+        for i, start, end, _, b in own:
+            if b < min(text_bins, default=secrets.LAST_BIN + 1):
+                out[i].append((start, end))
+    return out
+
+
+def test_secrets_query_equals_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(17)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    texts = [None, "", "AKIA" + "Z9" * 10, "hello"]
+    for i in range(300):
+        marks = [letters, letters + ["+", "/"], letters + ["-", "_"], list("0123456789abcdef"), letters + ["+", "/", "-", "_"]][i % 5]
+        key = "".join(rng.choice(marks, int(rng.integers(16, 90))))
+        word = f"theconfiguration{i}ofserver{i * 7}again"
+        texts.append(f"é{'x' * (i % 7)} token = '{key}' {word} password:{word} {'0123456789abcdef' * 3}\n{key[:30]}")
+    # a token of several blocks, one of values that repeat over a block's border, and more matches than a block of running sums has
+    texts += ["".join(rng.choice(letters, 3 * secrets.TOKEN_BLOCK + 1)), "a1" * (secrets.TOKEN_BLOCK + 1), " ".join(f"secret={'v' * (8 + k % 5)}{k} é" for k in range(3000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in secrets.op10_secrets(spark, str(tmp_path)).collect()}
+    random = brute_random(texts)
+    assert sum(map(len, random.values())) > 200
+    for i, text in enumerate(texts):
+        base = base_spans(text)
+        assert found[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [found[i].n_assign, found[i].n_access, found[i].n_hex] == [sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex")]
+        every = [(int(x.split(":")[1]), list(BASE).index(x.split(":")[0]), int(x.split(":")[2]), x) for x in base] + [(a, 3, b, f"random:{a}:{b}") for a, b in random[i]]
+        assert found[i].spans == ",".join(x[3] for x in sorted(every))
+    spans = {i: sorted({(int(a), int(b)) for _, a, b in (x.split(":") for x in r.spans.split(",") if x)}) for i, r in found.items()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for r in secrets.redact(docs).collect():
+        out, at, text = [], 0, texts[r.doc_id]
+        for start, end in spans[r.doc_id]:
+            if start >= at:
+                out += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert r.text == (text if text is None else "".join([*out, text[at:]]))
+
+
+def test_secrets_of_very_long_texts(spark):
+    """Linear: a token of two million characters, and a text of 300,000 matches."""
+    rng = np.random.default_rng(19)
+    token = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 1_000_000)) * 2
+    many = "secret=abcdefgh " * 300_000
+    frame = spark.createDataFrame([(1, f"é {token} é"), (2, many)], "doc_id long, text string").repartition(2, "doc_id")
+    began = time.monotonic()
+    found = {r.doc_id: r for r in secrets.scan(frame).selectExpr("doc_id", "size(assign) AS n", "try_element_at(assign, -1).end AS last", "get(random, 0).end AS end").collect()}
+    assert (found[2].n, found[2].last) == (300_000, len(many) - 1) and found[1].end in (None, len(token) + 2)
+    masked = {r.doc_id: r for r in secrets.redact(frame).selectExpr("doc_id", "length(text) AS n", "left(text, 20) AS head").collect()}
+    assert masked[2].n == 9 * 300_000 and masked[2].head == "[SECRET] [SECRET] [S"
+    assert time.monotonic() - began < 120
+
+
 def test_random_tokens_pass_and_words_fail(spark):
     rng = np.random.default_rng(2)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))

@@ -224,6 +224,30 @@ def test_jaccard_chains_passages_and_thresholds(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_by_small_blocks(spark, monkeypatch, tmp_path, seed):
+    """Clusters that resemble each other, passages in most documents, repeated texts and ids: the registered query equals brute force."""
+    for name, value in (("BIG_CELL", 4), ("BLOCK", 6), ("LIST_BLOCK", 4), ("SHORT", 3), ("BUCKET", 50)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(seed)
+    passage = [f"common{i}" for i in range(34)]
+    rows = [(5000 + i, " ".join(passage + [f"v{x}" for x in rng.integers(0, 10**6, int(rng.integers(0, 14)))])) for i in range(60)]
+    for family in range(4):
+        base = [f"f{family}w{x}" for x in range(60)]
+        for cluster in range(3):
+            own = list(base)
+            own[10 * cluster : 10 * cluster + int(rng.integers(4, 9))] = [f"c{family}x{cluster}"]
+            for copy in range(12):
+                words = list(own)
+                for _ in range(int(rng.integers(0, 3))):
+                    words[int(rng.integers(0, len(words)))] = f"n{rng.integers(0, 50)}"
+                rows.append((1000 * family + 100 * cluster + copy, " ".join(words + passage[: int(rng.integers(0, 20))])))
+    rows += [(7000, rows[0][1]), (rows[70][0], "another text of an id that repeats " * 3), (7001, None), (7002, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = jaccard_join.op8_jaccard(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == brute_components(rows)
+
+
 def test_indexed_positions_hold_a_shared_element():
     for n in range(1, 200):
         assert n - jaccard_join.indexed(n) + 1 <= -(-3 * n // 4) <= n - jaccard_join.indexed(n) + 1

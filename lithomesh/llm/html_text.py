@@ -3,14 +3,19 @@
 ``Builder`` reads tags and text and keeps the stack of open elements, closing
 and opening those that tags imply, so that what it tells the layout is a
 well-formed tree, start by start and end by end. ``Layout`` applies the
-visibility rules and writes lines. Neither recurses, and both are linear in the
-page but for the padding of table cells, which is bounded by ``WIDEST``.
+visibility rules and writes lines. Neither recurses, and open elements are found
+by name, so both are linear in the page but for a logarithm of its depth. Output
+is bounded by the page too: lines are indented by ``MOST_INDENT`` columns at most,
+however deep they are, and a table's padding by ``PADDING`` times its own text; only
+where columns as wide as their widest cells would take more, the widest cells do
+not count for the width of their column.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +23,10 @@ from pyspark.sql import functions as F
 
 from lithomesh.plans.session import prepare_workers
 
-#: Table cells wider than this do not widen their column.
-WIDEST = 60
+#: Columns that lines are indented by at most.
+MOST_INDENT = 40
+#: Padding of a table's cells, as a multiple of its text, beside a free part.
+PADDING, FREE_PADDING = 16, 1 << 16
 
 _TAG = re.compile(
     r"""<!--(?:.*?(?:-->|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
@@ -28,14 +35,19 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"""([-\w]+)\s*+:((?:[^;"']++|"[^"]*+"?+|'[^']*+'?+)*+)""")
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style noscript template iframe noembed noframes title object audio video canvas svg math datalist area map".split())
+UNSEEN = frozenset("head script style noscript template iframe noembed noframes title audio video canvas datalist area rp desc metadata defs annotation annotation-xml".split())
 BLOCK = frozenset("address article aside body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul blockquote caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table menu fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
+#: End tags look for their element no further out than these.
+SCOPE = ("td", "th", "caption", "table")
+SCOPES = {name: ("table",) for name in "td th tr tbody thead tfoot caption".split()} | {"table": (), "li": ("ul", "ol", "menu", *SCOPE), "p": ("button", *SCOPE)}
 #: A start tag ends the open elements on the left, up to the boundaries on the right.
 IMPLIED_ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -62,14 +74,22 @@ def attributes(rest: str) -> dict[str, str]:
     return out
 
 
+def declarations(style: str) -> dict[str, str]:
+    """Properties of a style attribute in lower case, the last value of each."""
+    out = {}
+    for name, value in _DECLARATION.findall(_COMMENT.sub(" ", style)):
+        out[name.lower()] = value.lower().replace("!important", "").strip()
+    return out
+
+
 class Flow:
     """Lines of one block container (the page, or a table cell)."""
 
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
-        self.indent = ""
-        self.marker = ""
+        self.indent = 0
+        self.markers: list[tuple[int, str]] = []  # of list items without a line so far: column and marker
         self.gap = 0  # blank lines wanted before the next line
         self.spaced = True  # the line so far ends in a space or is empty
         self.exactly = False  # the line holds preformatted text
@@ -107,11 +127,19 @@ class Flow:
         if self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
-        prefix = self.indent + self.marker
-        self.lines.append((prefix + text).rstrip())
-        if self.marker:
-            self.indent += " " * len(self.marker)
-            self.marker = ""
+        prefix, beyond = " " * min(self.indent, MOST_INDENT), []
+        for column, marker in self.markers:
+            if column + len(marker) <= len(prefix):
+                prefix = prefix[:column] + marker + prefix[column + len(marker) :]
+            else:
+                beyond.append(marker)
+        self.markers.clear()
+        self.lines.append((prefix + "".join(beyond) + text).rstrip())
+
+    def item(self, marker: str) -> None:
+        """Begin a list item: its marker goes before its first line, and its lines are indented by the marker's length."""
+        self.markers.append((self.indent, marker))
+        self.indent += len(marker)
 
     def space(self, lines: int) -> None:
         self.end_line()
@@ -126,39 +154,57 @@ class Flow:
 
 def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Cells (lines, columns and rows spanned) as lines with columns aligned."""
-    grid: list[list[list[str]]] = []
+    grid: list[tuple[dict[int, list[str]], set[int]]] = []  # cells with text by column, and those over several columns
     below: dict[int, int] = {}  # column: rows that a cell above still covers
-    spans: list[set[int]] = []
     for row in rows:
-        out: list[list[str]] = []
+        cells: dict[int, list[str]] = {}
         wide: set[int] = set()
+        covered, below = below, {}
+        at = 0
         for lines, columns, height in row:
-            while below.get(len(out), 0) > 0:
-                below[len(out)] -= 1
-                out.append([])
+            while at in covered:
+                at += 1
+            if lines:
+                cells[at] = lines
             if columns > 1:
-                wide.add(len(out))
-            for i in range(columns):
-                below[len(out)] = height - 1
-                out.append(lines if i == 0 else [])
-        while below.get(len(out), 0) > 0:
-            below[len(out)] -= 1
-            out.append([])
-        grid.append(out)
-        spans.append(wide)
-    grid_spans = [(row, wide) for row, wide in zip(grid, spans) if any(row)]
-    columns = max((len(row) for row, _ in grid_spans), default=0)
-    widths = [0] * columns
-    for row, wide in grid_spans:
-        for i, lines in enumerate(row):
-            if i not in wide:
-                widths[i] = max(widths[i], *(len(x) for x in lines if len(x) <= WIDEST), 0) if lines else widths[i]
-    used = [i for i in range(columns) if any(i < len(row) and row[i] for row, _ in grid_spans)]
+                wide.add(at)
+            if height > 1:
+                below |= dict.fromkeys(range(at, at + columns), height - 1)
+            at += columns
+        below |= {c: n - 1 for c, n in covered.items() if n > 1 and below.get(c, 0) < n - 1}
+        if cells:
+            grid.append((cells, wide))
+    place = {c: k for k, c in enumerate(sorted({c for cells, _ in grid for c in cells}))}
+    texts = sum(len(x) for cells, _ in grid for lines in cells.values() for x in lines)
+    limit = max((len(x) for cells, _ in grid for lines in cells.values() for x in lines), default=0)
+    ends = [(place[max(cells)], max(map(len, cells.values()))) for cells, _ in grid]
+    while True:
+        widths = [0] * len(place)
+        for cells, wide in grid:
+            for c, lines in cells.items():
+                if c not in wide:
+                    widths[place[c]] = max(widths[place[c]], *(len(x) for x in lines if len(x) <= limit), 0)
+        before = [0]
+        for w in widths:
+            before.append(before[-1] + w + 3)
+        if not limit or sum(before[end] * n for end, n in ends) <= FREE_PADDING + PADDING * texts:
+            break
+        limit //= 2
     out = []
-    for row, _ in grid_spans:
-        for k in range(max(len(lines) for lines in row)):
-            cells = [(row[i][k] if i < len(row) and k < len(row[i]) else "").ljust(widths[i]) for i in used]
-            out.append(" | ".join(cells).rstrip())
+    for cells, _ in grid:
+        for k in range(max(map(len, cells.values()))):
+            line, at = [], 0
+            for c in sorted(c for c, lines in cells.items() if k < len(lines) and lines[k]):
+                if limit:
+                    line += [" " * widths[i] + " | " for i in range(at, place[c])]
+                elif place[c]:
+                    line.append(" | ")
+                line.append(cells[c][k].ljust(widths[place[c]]))
+                if place[c] + 1 < len(place):
+                    line.append(" | ")
+                at = place[c] + 1
+            text = "".join(line)
+            out.append(text[:-3].rstrip() if text.endswith(" | ") else text.rstrip())
     return out
 
 
@@ -168,15 +214,15 @@ class Layout:
     def __init__(self):
         self.flows = [Flow()]
         self.tables: list[list[list]] = []
-        self.open: list[dict] = [{"name": "", "seen": True, "shown": True, "pre": False, "list": None, "indent": ""}]
+        self.open: list[dict] = [{"name": "", "seen": True, "shown": True, "pre": False, "list": None, "indent": 0}]
 
     def start(self, name: str, given: dict[str, str]) -> None:
         up, flow = self.open[-1], self.flows[-1]
-        style = given.get("style", "").lower().replace(" ", "") if "style" in given else ""
-        seen = up["seen"] and name not in UNSEEN and "hidden" not in given and "display:none" not in style and not (name == "dialog" and "open" not in given)
+        style = declarations(given["style"]) if given.get("style") else {}
+        seen = up["seen"] and name not in UNSEEN and "hidden" not in given and style.get("display") != "none" and not (name == "dialog" and "open" not in given) and not (name == "object" and "data" in given)
         if up.get("closed") and name != "summary":
             seen = False  # of a closed details element only the summary shows
-        shown = False if "visibility:hidden" in style or "visibility:collapse" in style else True if "visibility:visible" in style else up["shown"]
+        shown = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility"), up["shown"])
         own = {"name": name, "seen": seen, "shown": shown, "pre": up["pre"] or name in ("pre", "textarea", "xmp", "listing"), "list": up["list"], "indent": flow.indent, "given": given}
         if name == "details" and "open" not in given:
             own["closed"] = True
@@ -205,12 +251,12 @@ class Layout:
             elif name == "li":
                 kind = up["list"]
                 if kind and kind["next"] is not None:
-                    flow.marker = f"{kind['next']}. "
+                    flow.item(f"{kind['next']}. ")
                     kind["next"] += 1
                 else:
-                    flow.marker = "- "
+                    flow.item("- ")
             elif name in ("blockquote", "dd"):
-                flow.indent += "  "
+                flow.indent += 2
 
     def text(self, text: str) -> None:
         top = self.open[-1]
@@ -229,16 +275,17 @@ class Layout:
             return
         if own.get("cell"):
             flow = self.flows.pop()
-            span = [int(x) if (x := own["given"].get(k, "1")).isascii() and x.isdigit() and 0 < int(x[:4]) else 1 for k in ("colspan", "rowspan")]
-            self.tables[-1][-1].append((flow.done(), min(span[0], 100), min(span[1], 1000)))
+            span = [int(x) if (x := own["given"].get(k, "1")).isascii() and x.isdigit() and 0 < int(x[:9]) else 1 for k in ("colspan", "rowspan")]
+            self.tables[-1][-1].append((flow.done(), min(span[0], 1000), min(span[1], 65534)))
         elif name == "table" and self.tables:
             for line in table_lines(self.tables.pop()):
                 flow.put(line)
             flow.space(1)
         elif name in BLOCK:
             flow.space(1 if name in SPACED and not (name in ("ul", "ol") and self.open[-1]["list"]) else 0)
-            flow.marker = ""
             flow.indent = own["indent"]
+            while flow.markers and flow.markers[-1][0] >= flow.indent:
+                flow.markers.pop()
 
     def done(self) -> str:
         while len(self.open) > 1:
@@ -252,66 +299,49 @@ class Builder:
     def __init__(self, layout: Layout):
         self.layout = layout
         self.open: list[str] = []
-        self.count: dict[str, int] = {}
+        self.at: dict[str, list[int]] = {}  # where in ``open`` each name is, outermost first
 
     def push(self, name: str, given: dict[str, str]) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
         self.open.append(name)
-        self.count[name] = self.count.get(name, 0) + 1
         self.layout.start(name, given)
 
-    def pop(self) -> str:
-        name = self.open.pop()
-        self.count[name] -= 1
+    def pop(self) -> None:
+        self.at[self.open.pop()].pop()
         self.layout.end()
-        return name
-
-    def pop_to(self, name: str) -> None:
-        while self.pop() != name:
-            pass
-
-    def near(self, names: tuple, bounds: tuple) -> str | None:
-        """The outermost open element of ``names`` above any of ``bounds``."""
-        if not any(self.count.get(x) for x in names):
-            return None
-        found = None
-        for name in reversed(self.open):
-            if name in bounds:
-                break
-            if name in names:
-                found = name
-                if len(names) == 1:
-                    break
-        return found
-
-    def outermost(self, names: tuple, bounds: tuple) -> None:
-        """End all open elements of ``names`` above ``bounds`` and what they hold."""
-        while (name := self.near(names, bounds)) is not None:
-            self.pop_to(name)
+
+    def pop_to(self, place: int | None) -> None:
+        """End the element at a place and what it holds."""
+        while place is not None and len(self.open) > place:
+            self.pop()
+
+    def near(self, names: tuple, bounds: tuple) -> int | None:
+        """Where the outermost open element of ``names`` is that no element of ``bounds`` holds apart."""
+        floor = max((self.at[x][-1] for x in bounds if self.at.get(x)), default=-1)
+        return min((own[bisect_right(own, floor)] for x in names if (own := self.at.get(x)) and own[-1] > floor), default=None)
 
     def start(self, name: str, given: dict[str, str]) -> None:
-        if name in ("html", "body") and self.count.get(name):
+        if name in ("html", "body") and self.at.get(name):
             return
-        if self.count.get("head") and name not in HEAD_ONLY and name not in ("head", "html"):
-            self.pop_to("head")
-        if name in CLOSES_P and self.count.get("p") and self.near(("p",), ("td", "th", "caption", "button", "table")):
-            self.pop_to("p")
+        if self.at.get("head") and name not in HEAD_ONLY and name not in ("head", "html"):
+            self.pop_to(self.near(("head",), ()))
+        if name in CLOSES_P and self.at.get("p"):
+            self.pop_to(self.near(("p",), SCOPES["p"]))
         if name in IMPLIED_ENDS:
-            self.outermost(*IMPLIED_ENDS[name])
-        if name in ("td", "th") and not self.near(("tr",), ("table",)) and self.count.get("table"):
+            self.pop_to(self.near(*IMPLIED_ENDS[name]))
+        if name in ("td", "th") and self.at.get("table") and self.near(("tr",), ("table",)) is None:
             self.push("tr", {})
         self.push(name, given)
         if name in VOID:
             self.pop()
 
     def end(self, name: str) -> None:
-        if name == "p" and not self.count.get("p"):
+        if name == "p" and self.near(("p",), SCOPES["p"]) is None:
             self.start("p", {})
         if name == "br":
             self.start("br", {})
-        elif self.count.get(name) and name not in ("html", "body"):
-            # an inline end tag does not reach out of a table cell
-            if name in BLOCK or name in ("td", "th", "tr", "tbody", "thead", "tfoot") or self.near((name,), ("td", "th", "caption")):
-                self.pop_to(name)
+        elif self.at.get(name) and name not in ("html", "body") and self.near((name,), SCOPES.get(name, SCOPE)) is not None:
+            self.pop_to(self.at[name][-1])
 
 
 def render(page: str | None) -> str:
@@ -353,7 +383,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     A null or empty page, or one without visible text, gives an empty text.
     Repeated rows and null ids stay as they are; an empty table gives an empty
     result; other columns are ignored. Markup that is not well-formed is never an
-    error.
+    error. Very long and very deep pages are rendered whole.
     """
     prepare_workers(pages.sparkSession, 256)
 

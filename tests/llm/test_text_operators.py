@@ -306,6 +306,74 @@ def test_html():
         assert isinstance(html_text.render(broken), str)
 
 
+def test_html_visibility_and_scopes():
+    assert html_text.render("<map><p>visible</p></map>after") == "visible\n\nafter"
+    assert html_text.render("<svg><title>t</title><text>drawn</text></svg>") == "drawn"
+    assert html_text.render("<object data=x>no</object><object>fallback</object>") == "fallback"
+    assert html_text.render("a<ruby>b<rp>(</rp><rt>c</rt><rp>)</rp></ruby>") == "abc"
+    assert html_text.render("""<p style="content:'display:none'">yes<p style="display : NONE !important">no<p style="/* display:none */color:red">yes""") == "yes\n\nyes"
+    assert html_text.render("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>") == "b"
+    assert html_text.render("<div><table><tr><td>a</div></td><td>b</td></tr><tr><td>c<td>d</table>x</div>") == "a | b\nc | d\n\nx"
+    assert html_text.render("<ul><li>a<ul></li><li>b</ul></ul>") == "- a\n  - b"
+    wide = "w" * 500
+    assert html_text.render(f"<table><tr><td>{wide}<td>x<tr><td>a<td>b</table>") == f"{wide} | x\na{' ' * 499} | b"
+    assert html_text.render("<table><tr><td colspan=3>abc<td>d<tr><td>1<td>2<td>3<td>4</table>").split("\n")[1] == "1 | 2 | 3 | 4"
+
+
+def test_html_is_linear():
+    began = time.monotonic()
+    for page in ("<blockquote>x" * 20000, "<ul><li>x" * 20000, "<p><button>" + "<div>" * 60000, "<b>" * 60000 + "</i>" * 60000, "<table><tr><td>" * 5000, "<table>" + "<tr><td>a<td>b" * 20000, "<table><tr><td>" + "w" * 200000 + "<td>x" + "<tr><td>a<td>b" * 20000, "<table>" + "<tr>" + "<td>a" * 5000 + "<tr><td>a" * 5000):
+        assert len(html_text.render(page)) < 64 * len(page) + 200000
+    assert time.monotonic() - began < 30
+
+
+def random_page(rng, depth=0, listed=False):
+    """A random tree: its HTML, with end tags left out where they may be, and by recursion what it shows: lines, and gaps as numbers."""
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9))))
+    kind = rng.choice(["p", "div", "ul", "ol", "blockquote", "table", "hidden", "pre"] if depth < 4 else ["p", "hidden"])
+    children = [random_page(rng, depth + 1, listed or kind in ("ul", "ol")) for _ in range(int(rng.integers(1, 4)))] if depth < 4 else []
+    inner, shown = "".join(c[0] for c in children), [x for c in children for x in c[1]]
+    if kind == "p":
+        words = [word() for _ in range(4)]
+        return f"<p>{words[0]}  <b>{words[1]}</b>\n{words[2]}<!-- {words[3]} -->" + rng.choice(["", "</p>"]), [1, " ".join(words[:3]), 1]
+    if kind == "pre":
+        return f"<pre>{(a := word())}\n   {(b := word())}</pre>", [1, a, "   " + b, 1]
+    if kind == "hidden":
+        return rng.choice([f"<div hidden>{inner}</div>", f"<section style='color:red; display: none'>{inner}</section>", f"<script>{word()}</script>"]), []
+    if kind == "div":
+        return f"<div>{inner}</div>", [0, *shown, 0]
+    if kind == "blockquote":
+        return f"<blockquote>{inner}</blockquote>", [1, *("  " + x if isinstance(x, str) else x for x in shown), 1]
+    if kind == "table":
+        rows = [[word() for _ in range(int(rng.integers(1, 4)))] for _ in range(int(rng.integers(1, 4)))]
+        widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows)))]
+        lines = [" | ".join(x.ljust(w) for x, w in zip(r + [""] * len(widths), widths)).rstrip(" |") for r in rows]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{x}" + rng.choice(["", "</td>"]) for x in r) for r in rows) + "</table>", [1, *lines, 1]
+    out = [0 if listed else 1]
+    for k, (_, lines) in enumerate(children):
+        marker, first = (f"{k + 1}. " if kind == "ol" else "- "), True
+        out.append(0)
+        for x in lines:
+            out.append(x if not isinstance(x, str) else (marker if first else " " * len(marker)) + x)
+            first = first and not isinstance(x, str)
+        out.append(0)
+    return f"<{kind}>" + "".join(f"<li>{c[0]}" + rng.choice(["", "</li>"]) for c in children) + f"</{kind}>", [*out, out[0]]
+
+
+def test_html_equals_a_recursive_renderer():
+    rng = np.random.default_rng(23)
+    for _ in range(400):
+        page, shown = random_page(rng)
+        lines, gap = [], 0
+        for x in shown:
+            if isinstance(x, str):
+                lines += [""] * (gap if lines else 0) + [x.rstrip()]
+                gap = 0
+            else:
+                gap = max(gap, x)
+        assert html_text.render(page) == "\n".join(lines), page
+
+
 def test_html_query(spark):
     frame = spark.createDataFrame([(1, "<p>a</p>", "z"), (1, "<p>a</p>", "z"), (None, None, "z")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract_text(frame).collect()) == [(0, ""), (1, "a"), (1, "a")]

@@ -4,14 +4,17 @@ Texts are cut into chunks that overlap, the chunks are pre-tokenised in
 parallel, and neighbours are stitched at the first position of their overlap
 that is a pre-token boundary for both. The pattern has no look-behind, so from
 such a position on both sides go on alike; each piece between two stitches is
-encoded by itself. A text with an overlap that shares no boundary (one endless
-pre-token) is encoded whole. Decoding concatenates the tokens' raw bytes.
+encoded by itself. Only boundaries between a character that is no space and one of
+another kind are taken, of characters whose kind has never changed in Unicode, of any
+script. A text with an overlap that shares no boundary (one endless pre-token) is
+encoded whole. Decoding concatenates the tokens' raw bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,24 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {b: a for a, b in read_ranks(path).items()}
 
 
-def _settled(c: str) -> bool:
-    """Blocks whose letters and digits all Unicode versions in use class alike."""
-    return c < "԰" or "぀" <= c <= "ヿ" or "一" <= c <= "龥"
+@functools.cache
+def _kind(c: str) -> str:
+    """Letter, number, space or other, where an early and the present version of Unicode agree on it and all versions between do; else nothing."""
+    if c in "\x1c\x1d\x1e\x1f\x85":
+        return ""
+    if c in "\t\n\x0b\x0c\r":
+        return "Z"
+    old, new = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+    if "Cn" in (old, new):
+        return ""
+    old, new = (x[0] if x[0] in "LNZ" else "other" for x in (old, new))
+    return new if old == new else ""
+
+
+def _settled(before: str, after: str) -> bool:
+    """Whether a boundary between two characters does not hang on the version of Unicode: they are of different kinds in all."""
+    a, b = _kind(before), _kind(after)
+    return bool(a and b) and a != b and a != "Z" and before != "'"
 
 
 def zone(text: str, begin: int, end: int, pattern, whole: bool) -> list[int]:
@@ -56,7 +74,7 @@ def zone(text: str, begin: int, end: int, pattern, whole: bool) -> list[int]:
         at = match.start()
         if at >= end:
             break
-        if at and at >= begin and at <= limit and _settled(text[at - 1]) and _settled(text[at]):
+        if at and at >= begin and at <= limit and _settled(text[at - 1], text[at]):
             out.append(at - begin)
     return out
 
@@ -74,8 +92,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """id and ``ids`` (array<int>) of each row's text.
 
     A null or empty text has no ids; repeated rows and null ids are kept as they
-    are; an empty table gives an empty result; other columns are ignored. Only the
-    texts longer than ``chunk`` characters are shuffled, chunk by chunk.
+    are; an empty table gives an empty result; other columns are ignored. Very long
+    texts are encoded whole, in pieces. Only the texts longer than ``chunk`` characters are shuffled, chunk by chunk.
     """
     spark = docs.sparkSession
     prepare_workers(spark, 512)

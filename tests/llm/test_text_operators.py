@@ -183,6 +183,35 @@ def test_bpe(odd, empty, chunk, overlap):
     assert bpe.encode(empty, PATH, PATTERN).collect() == []
 
 
+SCRIPTS = {
+    "arabic": "\u0627\u0644\u0644\u063a\u0629 \u0627\u0644\u0639\u0631\u0628\u064a\u0629 \u062c\u0645\u064a\u0644\u0629\u060c \u0662\u0660\u0662\u0664 ",
+    "thai": "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e40\u0e1b\u0e47\u0e19\u0e17\u0e35\u0e48\u0e23\u0e31\u0e01",
+    "hindi": "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e \u0938\u0941\u0902\u0926\u0930 \u0939\u0948\u0964 ",
+    "chinese": "\u6c49\u8bed\u5f88\u7f8e\uff0c2024\u5e74\u3002",
+    "english": "It's what they'd say, isn't it?  2024\n\n\tfoo_bar ",
+}
+
+
+def test_long_texts_of_all_scripts_are_stitched(spark, tmp_path):
+    rng = np.random.default_rng(29)
+    texts = {}
+    for k, unit in enumerate(SCRIPTS.values()):
+        parts = [unit[: int(n)] for n in rng.integers(1, len(unit) + 1, 60000)]
+        texts[k] = "".join(parts)[:200_000]
+        compiled = bpe.regex.compile(PATTERN)
+        for at in range(0, len(texts[k]) - 66_000, 32768):
+            one, two = texts[k][at : at + 33280], texts[k][at + 32768 : at + 66048]
+            assert set(bpe.zone(one, 32768, 33280, compiled, False)) & set(bpe.zone(two, 0, 512, compiled, False))
+    texts[9], texts[10] = "a" * 100_000, None
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = bpe.op7_bpe(spark, str(tmp_path)).collect()
+    want = {i: plain.encode_ordinary(t or "") for i, t in texts.items()}
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    assert sorted(map(tuple, found)) == sorted((i, len(ids), digest(" ".join(map(str, ids)).encode()), digest((texts[i] or "").encode())) for i, ids in want.items())
+
+
 def brute_components(rows):
     sets = []
     for i, t in rows:

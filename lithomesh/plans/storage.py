@@ -1,13 +1,15 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder. A session without the setting (a
-test, a notebook) gets a temporary folder of its own, which is only right while
-driver and executors share a machine.
+``spark.checkpoint.dir`` names that folder. A local session without the setting (a
+test, a notebook) gets a temporary folder of its own; on a cluster there is no
+such folder that all could reach, so the setting is needed there. What a process
+has written and not discarded is deleted when it ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -15,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
-_written: list[str] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,12 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="lithomesh-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return f"file://{_own}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a whole URI, with the scheme and host of the default file system where it names none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    scheme, rest = uri.split(":", 1)
+    return uri if rest.startswith("//") else f"{scheme}://{rest}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/lithomesh/{tag}-{uuid.uuid4().hex}"
@@ -44,7 +56,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    _written.append(path)
+    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._lithomesh_path = path
     return out
@@ -55,15 +67,24 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def sweep(spark: SparkSession) -> None:
+def sweep(spark: SparkSession | None = None) -> None:
     """Delete all tables that this process has written, when no result that is still to be read needs them."""
-    while _written:
-        _delete(spark, _written.pop())
+    for path, own in list(_written.items()):
+        _delete(spark or own, path)
+        del _written[path]
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    # the virtual machine may be gone already
+    with contextlib.suppress(Exception):
+        sweep()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table that ``materialise`` wrote, once no plan needs them."""
-    path = getattr(df, "_lithomesh_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _written.remove(path)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables that ``materialise`` wrote, once no plan needs them."""
+    for df in tables:
+        path = getattr(df, "_lithomesh_path", None)
+        if path in _written:
+            _delete(df.sparkSession, path)
+            del _written[path]

@@ -290,6 +290,28 @@ def test_shared_tables(spark):
         one.count()
     assert two.count() == 7
     sweep(spark)
+    with pytest.raises(Exception, match="FAILED_READ_FILE|PATH_NOT_FOUND|does not exist"):
+        two.count()
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from lithomesh.plans import storage
+
+    session = lambda named, master: SimpleNamespace(conf={"spark.checkpoint.dir": named}, sparkContext=SimpleNamespace(master=master))
+    assert storage.shared_dir(session("hdfs://h/c/", "yarn")) == "hdfs://h/c"
+    assert storage.shared_dir(session(None, "local[2]")).startswith("file://")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(session(None, "spark://host:7077"))
+    assert storage.qualified(spark, f"file:{tmp_path}/x") == f"file://{tmp_path}/x"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "file:///")
+    try:
+        assert storage.qualified(spark, f"{tmp_path}/x") == f"file://{tmp_path}/x"
+    finally:
+        conf.set("fs.defaultFS", before)
 
 
 def test_fused_components(spark):

@@ -24,6 +24,8 @@ from lithomesh.plans.storage import materialise
 
 #: Characters of the normalised text that splitters carry.
 LEAD = 32
+#: Rows of a batch of results.
+ROWS = 1 << 16
 
 
 def normalised(text: Column) -> Column:
@@ -38,22 +40,26 @@ def _runs(carried: list[str], schema: pa.Schema):
     """
     names = schema.names
 
-    def build(head, ids, pid, sha, size, keep, edge):
-        n = len(ids)
-        first = np.zeros(n, bool)
-        first[0] = True
-        columns = {
-            "id": pa.array(ids, pa.int64()) if not isinstance(ids, pa.Array) else ids,
-            "sha": pa.array([sha] * n, pa.string()),
-            "pid": pa.array(np.full(n, pid, np.int32)),
-            "keep": pa.array([keep] * n, pa.int64()),
-            "size": pa.array(np.full(n, size, np.int64)),
-            "head": pa.array(first),
-            "edge": pa.array(np.full(n, edge)),
-        }
-        for name in carried:
-            columns[name] = pa.concat_arrays([head[name].cast(schema.field(name).type), pa.nulls(n - 1, schema.field(name).type)])
-        return pa.RecordBatch.from_arrays([columns[x] for x in names], schema=schema)
+    def build(head, all_ids, pid, sha, size, keep, edge):
+        """A whole run, in batches of bounded length; the first row is its head."""
+        for at in range(0, len(all_ids), ROWS):
+            ids = all_ids.slice(at, ROWS)
+            n = len(ids)
+            first = np.zeros(n, bool)
+            first[0] = at == 0
+            columns = {
+                "id": ids,
+                "sha": pa.array([sha] * n, pa.string()),
+                "pid": pa.array(np.full(n, pid, np.int32)),
+                "keep": pa.array([keep] * n, pa.int64()),
+                "size": pa.array(np.full(n, size, np.int64)),
+                "head": pa.array(first),
+                "edge": pa.array(np.full(n, edge)),
+            }
+            for name in carried:
+                kind = schema.field(name).type
+                columns[name] = pa.nulls(n, kind) if at else pa.concat_arrays([head[name].cast(kind), pa.nulls(n - 1, kind)])
+            yield pa.RecordBatch.from_arrays([columns[x] for x in names], schema=schema)
 
     def compare(batches):
         open_run = None  # text, parts of ids, first row, pid, sha
@@ -76,7 +82,7 @@ def _runs(carried: list[str], schema: pa.Schema):
                 continue
             if open_run is not None:
                 held = pa.concat_arrays(open_run[1])
-                yield build(open_run[2], held, open_run[3], open_run[4], len(held), held[0].as_py(), at_start)
+                yield from build(open_run[2], held, open_run[3], open_run[4], len(held), held[0].as_py(), at_start)
                 at_start = False
             # runs that begin and end inside this batch
             last = int(starts[-1])
@@ -110,7 +116,7 @@ def _runs(carried: list[str], schema: pa.Schema):
             open_run = (text[last].as_py(), [pa.concat_arrays([ids.slice(last)])], head, batch.column("pid")[last].as_py(), batch.column("sha")[last].as_py())
         if open_run is not None:
             held = pa.concat_arrays(open_run[1])
-            yield build(open_run[2], held, open_run[3], open_run[4], len(held), held[0].as_py(), True)
+            yield from build(open_run[2], held, open_run[3], open_run[4], len(held), held[0].as_py(), True)
 
     return compare
 
@@ -181,7 +187,12 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The kept rows of ``content_sort`` with the columns of the input."""
+    """The kept rows of ``content_sort`` with the columns of the input.
+
+    Null and empty texts are equal, so one such row stays; a null id loses to any
+    other; of repeated rows one stays. An empty table stays empty. Texts are compared
+    whole, and columns keep their names and values.
+    """
     found = content_sort(docs, id_col, text_col, keep, carry=True).filter("kept")
     return found.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(docs.schema.fields)])
 

@@ -129,8 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``fit_rows`` labelled documents that are not held out.
 
     Labels that are null or have a null id are left out; of several labels of one
-    document the smallest holds. Without a pair of a good and a bad document all
-    scores are 0.5.
+    document the smallest holds, and of several texts of one id the one with the
+    smallest features. Null and empty texts have features too, and texts are read
+    whole. Without a pair of a good and a bad document, as in an empty table, all scores
+    are 0.5.
     """
     prepare_workers(docs.sparkSession, 512)
     one = F.col("id")
@@ -145,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # The sample is bounded, so it is broadcast and no text is shuffled.
-    rows = _with_features(texts.join(F.broadcast(sample), "id"), "text").select("x", "y", "id").toPandas().sort_values("id")
+    # One row an id, however often the documents repeat it, so what comes to the driver is bounded too.
+    described = _with_features(texts.join(F.broadcast(sample), "id"), "text").groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    rows = described.toPandas().sort_values("id")
     if not len(rows):
         return Ranker(np.zeros((1, FEATURES)), np.ones(1, bool))
     return Ranker(np.vstack(rows["x"].to_numpy()), rows["y"].to_numpy() > 0)
@@ -155,7 +159,7 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
     """id, ``held_out``, ``score`` and ``predicted`` of each row; other columns are ignored.
 
     Null and empty texts get a score too. Repeated rows and null ids stay as they
-    are. An empty table gives an empty result.
+    are. An empty table gives an empty result. Texts are read whole, however long.
     """
     prepare_workers(docs.sparkSession, 512)
 
@@ -171,7 +175,12 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
 
 
 def good_documents(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFrame:
-    """The rows that score ``CUT`` or more, with the input's columns."""
+    """The rows that score ``CUT`` or more, with the input's columns.
+
+    Null and empty texts are scored like others; repeated rows are kept or dropped
+    alike, and ids and other columns, whatever their names, play no part. An empty
+    table stays empty.
+    """
     prepare_workers(docs.sparkSession, 512)
     text = docs.columns.index(text_col)
 

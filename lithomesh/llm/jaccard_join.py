@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lithomesh.operators.components import connected_components
 from lithomesh.plans.session import prepare_workers
-from lithomesh.plans.storage import materialise
+from lithomesh.plans.storage import discard, materialise
 
 WORDS = 5
 #: Elements by smallest hash whose lists the first round reads.
@@ -622,6 +622,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rest = rest.union(materialise(_cell_links(meetings, placed, texts), "jaccard-linked"))
     if rest.limit(1).count():
         comps = materialise(connected_components(found.select("a", "b").union(rest), "a", "b"), "jaccard-components")
+    discard(starred, lists, near, placed, crossing, meetings)
 
     return (
         sets.join(reps.drop("n"), both, "left")

@@ -15,28 +15,48 @@ from lithomesh.plans.storage import materialise
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones, does not reject."""
+    """Documents that the quality classifier, fitted on the labelled ones, does not reject.
+
+    Null, empty and very long texts are scored like others, repeated rows alike; an
+    empty table stays empty, and without labels of both kinds all rows stay.
+    """
     ranker = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.good_documents(docs, ranker)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts the one with the largest id."""
+    """Of documents with equal normalised texts the one with the largest id.
+
+    Null and empty texts are equal; a null id loses to any other; of repeated rows one
+    stays; an empty table stays empty.
+    """
     return content_sort.distinct_documents(docs, keep="largest")
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
+    """One document of each group of near copies: that with the smallest id.
+
+    Null and empty texts and null ids are in no group and stay; rows that repeat the
+    smallest id all stay; an empty table stays empty.
+    """
     return jaccard_join.group_firsts(docs)
 
 
 def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts masked."""
+    """All documents, with the secrets in their texts masked and ``n_chars`` set where a text changed.
+
+    Null and empty texts stay as they are, repeated rows change alike; an empty table
+    stays empty.
+    """
     return secrets.redact(docs)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, as ids, with their places in sequences."""
+    """Pieces of the documents, as ids, with their places in sequences.
+
+    A null or empty text is one piece of one id; repeated rows are packed each; an
+    empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

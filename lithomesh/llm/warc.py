@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithomesh.plans.session import prepare_workers
-from lithomesh.plans.storage import fresh_path, materialise
+from lithomesh.plans.storage import fresh_path, materialise, qualified
 
 #: Magic number of the skippable frame that holds an archive's dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -62,9 +62,19 @@ def build_dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+#: Schemes of the cluster's file systems whose names differ here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
+def _filesystem(uri: str):
+    """The file system of a whole URI and the path in it."""
+    scheme, rest = uri.split("://", 1)
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def _writer(folder: str, date: str, archive_bytes: int, sample_bytes: int, dictionary_bytes: int, level: int):
     def write(batches):
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
         state: dict = {"held": [], "held_bytes": 0, "out": None}
 
@@ -118,9 +128,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payloads of ``LEAST_REVISIT`` bytes or more that with the smallest id is a
     response and the others revisit it; a row that repeats that id is a response
     too, and so are rows with a null id. A null url is left out. An empty table
-    gives no archive. Other columns are ignored.
+    gives no archive. Other columns are ignored. A record is held whole, so a page may
+    be as long as a value can be. ``folder`` is taken in the default file system if it
+    names no other, as Spark takes paths.
     """
     prepare_workers(pages.sparkSession, 256)
+    folder = qualified(pages.sparkSession, folder)
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), html.cast("binary").alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("size")
@@ -177,7 +190,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     """The records of the manifest's archives. A response's length and digest are those of the payload read, and must agree with its headers."""
 
     def read(batches):
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = _filesystem(folder)
         for batch in batches:
             for name in batch.column("archive").to_pylist():
                 out: list = []
@@ -203,6 +216,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
     spark = manifest.sparkSession
+    folder = qualified(spark, folder)
     # One archive a task: a row of the manifest stands for a whole archive.
     return manifest.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "archive").mapInArrow(read, READ)
 

@@ -57,7 +57,8 @@ def lower(text):
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-def test_content_sort(odd, empty, keep):
+def test_content_sort(odd, empty, keep, monkeypatch):
+    monkeypatch.setattr(content_sort, "ROWS", 2)
     found = content_sort.content_sort(odd, keep=keep).collect()
     assert len(found) == len(ODD)
     groups = {}
@@ -302,6 +303,19 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), folder), folder).collect() == []
 
 
+def test_warc_takes_paths_as_spark_does(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5, "x")], "page_id long, url string, html string, size long, digest string")
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "file:///")
+    try:
+        manifest = warc.write_archives(pages, f"{tmp_path}/bare")
+        assert [r.page_id for r in warc.read_archives(manifest, f"{tmp_path}/bare").collect()] == [1]
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert warc._filesystem(f"file://{tmp_path}/bare")[1] == f"{tmp_path}/bare"
+
+
 def test_chats(spark):
     own = r"\### Assistant: </turn> ok"
     rows = [
@@ -585,6 +599,8 @@ def test_quality_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (8, 1), (None, 1), (5, None), (12, 0), (99, 0)], "doc_id long, quality int")
     ranker = quality.fit(odd, labels)
     assert quality.score(odd, ranker).count() == len(ODD)
+    one, many = (quality.fit(docs, labels) for docs in (odd, odd.union(odd.filter("doc_id = 8")).union(odd.filter("doc_id = 8"))))
+    assert (one.w == many.w).all()
     assert quality.good_documents(odd, ranker).columns == odd.columns
     assert quality.score(empty, ranker).collect() == []
     assert quality.features(b"").shape == quality.features(b"A b\n!").shape == (quality.FEATURES,)

@@ -50,6 +50,8 @@ BLOCK = 256
 SHORT, LIST_BLOCK = 32, 512
 #: Postings that a bucket of lists holds on average, whatever the data.
 BUCKET = 4_000_000
+#: Pairs that one text is sent for.
+PAIRS = 1024
 #: Postings that a task gathers before it sends them on.
 FLUSH = 1_000_000
 
@@ -346,9 +348,20 @@ def _compare(batches):
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """n_a, n_b and overlap of each pair (a, b) of ids."""
-    half = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = half.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    """n_a, n_b and overlap of each pair (a, b) of ids.
+
+    A document of more than ``PAIRS`` pairs, as a pivot of many, is dealt out: its text
+    is sent once for each so many pairs, and they meet it by a hash of the other document.
+    """
+    pairs = materialise(pairs.select("a", "b"), "jaccard-pairs")
+
+    def meet(rows: DataFrame, side: str, other: str) -> DataFrame:
+        hot = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts")).filter("parts > 1")
+        parts = F.coalesce("parts", F.lit(1))
+        own = texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")).join(hot, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        return rows.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("parts").join(own, [side, "part"]).drop("part")
+
+    both = meet(meet(pairs, "b", "a"), "a", "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, n_a long, n_b long, overlap long")
 
 

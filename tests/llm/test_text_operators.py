@@ -257,7 +257,7 @@ def test_jaccard_chains_passages_and_thresholds(spark):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard_by_small_blocks(spark, monkeypatch, tmp_path, seed):
     """Clusters that resemble each other, passages in most documents, repeated texts and ids: the registered query equals brute force."""
-    for name, value in (("BIG_CELL", 4), ("BLOCK", 6), ("LIST_BLOCK", 4), ("SHORT", 3), ("BUCKET", 50)):
+    for name, value in (("BIG_CELL", 4), ("BLOCK", 6), ("LIST_BLOCK", 4), ("SHORT", 3), ("BUCKET", 50), ("PAIRS", 3)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(seed)
     passage = [f"common{i}" for i in range(34)]

@@ -2,54 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from lithomesh.plans.session import prepare_workers
 from lithomesh.plans.storage import discard, materialise
 
+#: Edges that one task finishes (16 bytes each).
+FEW = 1 << 18
 
-def _state(edges: DataFrame) -> tuple:
-    """Number of edges and an order-free checksum; equal on two rounds means a fixed point."""
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("sum(cast(u as decimal(38,0)))").alias("s")).first()
-    return row["n"], row["x"], row["s"]
+
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table of the shared folder, with their number and an order-free checksum, which are equal on two rounds at a fixed point only."""
+    seen = Observation()
+    checks = [F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("sum(cast(u as decimal(38,0)))").alias("s")]
+    table = materialise(edges.observe(seen, *checks), "components")
+    return table, tuple(seen.get[c] for c in ("n", "x", "s"))
+
+
+def _finish(batches):
+    """Components of few edges: labels sink to the smallest neighbour's, and along labels, until they stay."""
+    parts = [np.column_stack([np.asarray(batch.column(c)) for c in ("u", "v")]) for batch in batches if batch.num_rows]
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate(parts), return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for ends_of in (u, v):
+            np.minimum.at(new, label[ends_of], low)
+            np.minimum.at(new, ends_of, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "component"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """id and component (the smallest id that it is connected with) of each endpoint.
 
     Large-star and small-star rounds run until the edges stay the same, in a number
-    of rounds that is logarithmic in practice; each round's edges are written to the
-    shared folder. Minima are combined before the shuffle, and the joins back are on
-    one row a vertex, so a vertex with a great many neighbours only makes a
-    partition that adaptive execution can split. Loops and repeated edges do no
-    harm; rows with a null endpoint are left out; without edges there are no rows.
+    of rounds that is logarithmic in practice, or until one task can hold what is left;
+    each round's edges are written to the shared folder. Minima are combined before the
+    shuffle, and the joins back are on one row a vertex, so a vertex with a great many
+    neighbours only makes a partition that adaptive execution can split. Loops and
+    repeated edges do no harm; rows with a null endpoint are left out; without edges
+    there are no rows.
     """
+    prepare_workers(edges.sparkSession)
     pairs = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).filter("a is not null and b is not null")
-    loops = pairs.filter("a = b").select(F.col("a").alias("id")).distinct()
-    now = materialise(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    looped = materialise(loops, "components-loops")
-    state = _state(now)
-    while state[0]:
+    # a loop stays a loop: it is an endpoint with its own id as component
+    now, state = _written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while state[0] > FEW:
+        apart = now.filter("u <> v")
+        loops = now.filter("u = v")
         # large star: every larger neighbour of u moves to the smallest neighbour of u
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = apart.union(apart.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = now.select(F.col("u").alias("w"), F.col("v").alias("u")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        large = apart.select(F.col("u").alias("w"), F.col("v").alias("u")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         large = large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         # small star: u's smaller neighbours move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialise(small, "components")
-        new = _state(after)
+        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        after, new = _written(small.union(loops).distinct())
         discard(now)
         now = after
         if new == state:
-            break
+            roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
+            members = now.filter("u <> v").select(F.col("u").alias("id"), F.col("v").alias("component"))
+            # a vertex with a loop may have other edges
+            return members.union(roots.join(members.select("id"), "id", "left_anti"))
         state = new
-    members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    found = members.union(roots)
-    alone = looped.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
-    return found.union(alone)
+    return now.coalesce(1).mapInArrow(_finish, "id long, component long")
 
 
 def fuse_small(partition: DataFrame, edges: DataFrame, cutoff: int) -> DataFrame:
@@ -78,15 +107,16 @@ def fuse_small(partition: DataFrame, edges: DataFrame, cutoff: int) -> DataFrame
     return own.join(target, [scene, "label"]).select(scene, "pid", F.col("new").alias("label"))
 
 
-def random_subgraph(edges: DataFrame, size: int, seed: int = 42) -> DataFrame:
+def random_subgraph(edges: DataFrame, size: int, seed: int = 42, order: Column | None = None) -> DataFrame:
     """Edges among the ``size`` vertices that a breadth-first search from a seeded random vertex reaches first, for each scene.
 
-    Vertices of one distance from the start are taken in the order of their hashes.
+    Vertices of one distance from the start are taken in the order of their hashes, or
+    of ``order``, an expression of ``pid``, which then chooses the start too.
     A scene with fewer vertices keeps all of its edges.
     """
     scene = "scene_id"
     vertices = edges.select(scene, F.col("src").alias("pid")).union(edges.select(scene, F.col("dst").alias("pid"))).distinct()
-    mix = F.xxhash64(F.lit(seed), scene, "pid")
+    mix = F.xxhash64(F.lit(seed), scene, "pid") if order is None else order
     start = vertices.groupBy(scene).agg(F.min_by("pid", F.struct(mix, F.col("pid"))).alias("pid"))
     reached = materialise(start.select(scene, "pid", F.lit(0).alias("depth")), "subgraph")
     step = edges.select(scene, F.col("src").alias("pid"), F.col("dst").alias("next"))

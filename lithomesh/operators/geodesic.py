@@ -57,10 +57,17 @@ def all_to_all(edges: DataFrame) -> DataFrame:
 def path_length(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Length of the shortest path of each pair (scene_id, src, dst), null without one; 0 from a vertex to itself.
 
-    Searches stop at the largest length found so far for a root's targets.
+    A search goes on only over paths that are shorter than the longest one found so
+    far to a root's targets, once all of these have one.
     """
-    wanted = pairs.select(SCENE, F.col("src").alias("root"), F.col("dst").alias("v")).distinct()
-    found = one_to_all(edges, pairs.select(SCENE, F.col("src").alias("pid")).distinct())
+    wanted = materialise(pairs.select(SCENE, F.col("src").alias("root"), F.col("dst").alias("v")).distinct(), "geodesic-pairs")
+
+    def prune(state: DataFrame) -> DataFrame:
+        reached = wanted.join(state.select(*STATE, "d"), STATE, "left")
+        limit = reached.groupBy(SCENE, "root").agg(F.when(F.count("d") == F.count(F.lit(1)), F.max("d")).alias("limit"))
+        return state.join(limit, [SCENE, "root"]).filter(F.col("limit").isNull() | (F.col("d") <= F.col("limit"))).drop("limit")
+
+    found = _relax(_roots(pairs.select(SCENE, F.col("src").alias("pid")).distinct()), edges, prune)
     lengths = wanted.join(found, STATE, "left")
     return lengths.select(SCENE, F.col("root").alias("src"), F.col("v").alias("dst"), F.col("d").alias("dist"))
 

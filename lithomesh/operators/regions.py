@@ -133,23 +133,27 @@ def grow_scene(points: DataFrame, edges: DataFrame, angle: float, distance: floa
     return own.groupBy(SCENE).cogroup(edges.select(SCENE, "src", "dst").groupBy(SCENE)).applyInPandas(_grow_scene(math.radians(angle), distance, percent), "scene_id string, pid long, label long")
 
 
-def ransac_planes(points: DataFrame, threshold: float = 0.1, iterations: int = 1000, seed: int = 42) -> DataFrame:
+def ransac_planes(points: DataFrame, threshold: float = 0.1, iterations: int = 1000, seed: int = 42, draws: DataFrame | None = None) -> DataFrame:
     """The plane with the most points within ``threshold`` of it, of seeded three-point hypotheses: (scene_id, a, b, c, d, inliers).
 
     Three-point draws are from a sample of at most four points an iteration, one of
-    each bucket of ids. A scene's points are dealt out in blocks, each of which meets
+    each bucket of ids; ``draws`` (scene_id, h, j, pid), the points j = 0 to 2 of
+    hypothesis h, replace them. A scene's points are dealt out in blocks, each of which meets
     the hypotheses once and returns their counts.
     """
     spark = points.sparkSession
     prepare_workers(spark)
     placed = points.select(SCENE, "pid", F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("p"))
-    mixed = F.xxhash64(F.lit(seed), "pid")
-    drawn = placed.groupBy(SCENE, F.pmod(mixed, F.lit(4 * iterations)).alias("bucket")).agg(F.min_by("p", F.struct(mixed, F.col("pid"))).alias("p"))
-    numbered = drawn.withColumn("i", F.row_number().over(Window.partitionBy(SCENE).orderBy("bucket")) - 1)
-    sizes = numbered.groupBy(SCENE).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    draws = sizes.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), SCENE, "h", "j"), F.col("n")).cast("int"))
-    triples = draws.join(numbered, [SCENE, "i"]).groupBy(SCENE, "h").agg(F.sort_array(F.collect_list(F.struct("j", "p"))).alias("t"))
+    if draws is None:
+        mixed = F.xxhash64(F.lit(seed), "pid")
+        drawn = placed.groupBy(SCENE, F.pmod(mixed, F.lit(4 * iterations)).alias("bucket")).agg(F.min_by("p", F.struct(mixed, F.col("pid"))).alias("p"))
+        numbered = drawn.withColumn("i", F.row_number().over(Window.partitionBy(SCENE).orderBy("bucket")) - 1)
+        sizes = numbered.groupBy(SCENE).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+        chosen = sizes.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+        chosen = chosen.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), SCENE, "h", "j"), F.col("n")).cast("int")).join(numbered, [SCENE, "i"])
+    else:
+        chosen = draws.select(SCENE, F.col("h").cast("int").alias("h"), "j", "pid").join(placed, [SCENE, "pid"])
+    triples = chosen.groupBy(SCENE, "h").agg(F.sort_array(F.collect_list(F.struct("j", "p"))).alias("t")).filter("size(t) = 3")
     p = [[F.col("t")[j]["p"][c] for c in range(3)] for j in range(3)]
     u, v = ([p[j][c] - p[0][c] for c in range(3)] for j in (1, 2))
     cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]

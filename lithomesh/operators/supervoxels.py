@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithomesh.operators.neighbours import nearest_point, radius_join
-from lithomesh.operators.voxels import BINS, SCENE, binned, bounds, last_point, mean_normals, neighbour_voxels
+from lithomesh.operators.voxels import BINS, SCENE, binned, bounds, last_point, mean_normals, neighbour_voxels, neighbourhood_normals
 from lithomesh.plans.storage import discard, materialise
 
 _KEY = [SCENE, *BINS]
@@ -78,7 +78,8 @@ def _grow(voxels: DataFrame, touching: DataFrame, seeds: DataFrame, rounds: int,
         owned = state.filter("label > 0").select(*_KEY, F.col("label").alias("owner"))
         reached = owned.join(touching, _KEY).select(SCENE, *[F.col(o).alias(b) for o, b in zip(("ox", "oy", "oz"), BINS)], "owner")
         reached = reached.union(owned.select(*_KEY, "owner")).distinct()
-        offers = reached.join(voxels, _KEY).join(centres.withColumnRenamed("label", "owner"), [SCENE, "owner"])
+        # a voxel's own supervoxel offers too, so one aggregate has the best offer and the own one
+        offers = reached.join(state, _KEY).join(centres.withColumnRenamed("label", "owner"), [SCENE, "owner"])
         length = None
         if lengths is not None:
             # the voxel of a supervoxel that is nearest to its centre stands for it
@@ -86,10 +87,10 @@ def _grow(voxels: DataFrame, touching: DataFrame, seeds: DataFrame, rounds: int,
             home = at.groupBy(SCENE, F.col("label").alias("owner")).agg(F.min_by("vid", F.struct(sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz").alias("q"), F.col("vid"))).alias("home"))
             offers = offers.join(home, [SCENE, "owner"]).join(lengths.select(SCENE, F.col("src").alias("home"), F.col("dst").alias("vid"), "dist"), [SCENE, "home", "vid"], "left")
             length = F.when(F.col("home") == F.col("vid"), 0.0).otherwise(F.coalesce("dist", F.lit(1e30)))
-        best = offers.withColumn("offer", voxel_distance(normal, colour, spatial, seed, length)).groupBy(*_KEY).agg(F.min(F.struct("offer", "owner")).alias("best"))
-        own = offers.join(state.select(*_KEY, "label"), _KEY).filter("owner = label").select(*_KEY, voxel_distance(normal, colour, spatial, seed, length).alias("own"))
+        offers = offers.withColumn("offer", voxel_distance(normal, colour, spatial, seed, length))
+        best = offers.groupBy(*_KEY).agg(F.min(F.struct("offer", "owner")).alias("best"), F.min(F.when(F.col("owner") == F.col("label"), F.col("offer"))).alias("own"))
         nearer = F.col("best.offer") < F.coalesce("own", F.lit(float("inf")))
-        after = state.join(best, _KEY, "left").join(own, _KEY, "left").select(
+        after = state.join(best, _KEY, "left").select(
             *voxels.columns, F.when(nearer, F.col("best.owner")).otherwise(F.col("label")).alias("label"), F.when(nearer, F.col("best.offer")).otherwise(F.coalesce("own", "d")).alias("d")
         )
         after = materialise(after, "supervoxels")
@@ -98,12 +99,20 @@ def _grow(voxels: DataFrame, touching: DataFrame, seeds: DataFrame, rounds: int,
     return state
 
 
+def refined_normals(state: DataFrame, touching: DataFrame) -> DataFrame:
+    """Voxels whose normals are those of their surroundings inside their supervoxel; voxels that none owns keep theirs."""
+    around = neighbourhood_normals(state.filter("label > 0"), touching, "label")
+    found = state.join(around.select(*_KEY, *[F.col(f"n{c}").alias(f"_n{c}") for c in "xyz"]), _KEY, "left")
+    return found.withColumns({f"n{c}": F.coalesce(f"_n{c}", f"n{c}") for c in "xyz"}).drop("_nx", "_ny", "_nz", "label", "d")
+
+
 def supervoxels(points: DataFrame, resolution: float = 0.008, seed: float = 0.1, colour: float = 0.2, spatial: float = 0.4, normal: float = 1.0, refinements: int = 2, lengths: DataFrame | None = None) -> DataFrame:
     """(scene_id, pid, label): the supervoxel of each point, 0 for points that none owns.
 
     Points are (scene_id, pid, x, y, z, r, g, b, nx, ny, nz) with colours to 255.
     ``lengths`` (scene_id, src, dst, dist) are path lengths between points, for
-    growth along a mesh; pairs without one are far apart.
+    growth along a mesh; pairs without one are far apart. Each refinement takes voxel
+    normals from the voxels around in the same supervoxel, and grows from new seeds.
     """
     voxels = materialise(voxels_of(points, resolution), "voxels")
     touching = materialise(neighbour_voxels(voxels), "voxel-neighbours")
@@ -113,6 +122,9 @@ def supervoxels(points: DataFrame, resolution: float = 0.008, seed: float = 0.1,
     owner = placed.join(voxels.select(*_KEY, "vid"), _KEY).select(SCENE, "pid", "vid")
     state = _grow(voxels, touching, seed_voxels(voxels, resolution, seed, lengths, owner), rounds, weights, lengths)
     for _ in range(refinements):
+        # normals are refined first, then the supervoxels start anew from the voxels nearest to their centres
+        voxels = materialise(refined_normals(state, touching), "voxels")
+        state = materialise(state.drop("nx", "ny", "nz").join(voxels.select(*_KEY, "nx", "ny", "nz"), _KEY).select(*voxels.columns, "label", "d"), "supervoxels")
         centres = _centres(state)
         at = state.filter("label > 0").join(centres, [SCENE, "label"])
         again = at.groupBy(SCENE, "label").agg(F.min_by("vid", F.struct(sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz").alias("q"), F.col("vid"))).alias("vid"))

@@ -2,7 +2,7 @@
 
 Attributes, adjacency, mutual validation and clusters are joins and aggregates;
 only the greedy cut, whose result depends on the order of the weights, runs in a
-task a node, on that node's neighbourhood.
+loop over the nodes of a task, on each node's neighbourhood.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from lithomesh.plans.storage import materialise
 
 #: Value of a distance whose inputs are missing.
 MISSING = 100.0
+#: Nodes whose neighbourhoods a task cuts, on average.
+NODES = 256
 
 
 def pair_distances(c1, c2, n1, n2, e1, e2, eigen_from: int = 4, space=None) -> np.ndarray:
@@ -91,11 +93,8 @@ def _arrays(frame: pd.DataFrame, suffix: str = ""):
     return c, n, np.vstack(frame[f"eigen{suffix}"].to_numpy()) if len(frame) else np.zeros((0, 8))
 
 
-def _cut_node(sigmas: tuple, weight: float, threshold: float, eigen_from: int, convexity: bool):
-    def run(key: tuple, frame: pd.DataFrame, lengths: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame({"scene_id": pd.Series(dtype=str), "u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
-        scene, centre = key
+def _cut_nodes(sigmas: tuple, weight: float, threshold: float, eigen_from: int, convexity: bool):
+    def one(centre: int, frame: pd.DataFrame, lengths: pd.DataFrame) -> np.ndarray:
         frame = frame.assign(_own=frame["node"] != centre).sort_values(["_own", "node"])
         c, n, e = _arrays(frame)
         m = len(frame)
@@ -110,7 +109,13 @@ def _cut_node(sigmas: tuple, weight: float, threshold: float, eigen_from: int, c
         weights = similarity(pair_distances(c[i], c[j], n[i], n[j], e[i], e[j], eigen_from, space), sigmas, weight, convexity)
         weights[i == j] = 0.0
         members = frame["node"].to_numpy()[cut(weights.reshape(m, m), threshold)]
-        return pd.DataFrame({"scene_id": scene, "u": centre, "v": members[members != centre]})
+        return members[members != centre]
+
+    def run(key: tuple, frames: pd.DataFrame, lengths: pd.DataFrame) -> pd.DataFrame:
+        known = dict(list(lengths.groupby("at_centre")))
+        found = [(centre, one(centre, frame, known.get(centre, lengths[:0]))) for centre, frame in frames.groupby("centre")]
+        u = np.repeat(np.array([c for c, _ in found], np.int64), [len(x) for _, x in found])
+        return pd.DataFrame({"scene_id": key[0], "u": u, "v": np.concatenate([x for _, x in found]) if found else u})
 
     return run
 
@@ -129,9 +134,12 @@ def segment_nodes(nodes: DataFrame, adjacency: DataFrame, sigmas: tuple, weight:
         lengths = around.withColumnRenamed("node", "u").join(adjacency.select(SCENE, "u", "v", "dist"), [SCENE, "u"]).join(there, [SCENE, "centre", "v"])
     else:
         lengths = around.limit(0).select(SCENE, "centre", F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("dist"))
-    lengths = lengths.select(F.col(SCENE).alias("at_scene"), F.col("centre").alias("at_centre"), "u", "v", "dist")
-    cut_hoods = hoods.groupBy(SCENE, "centre").cogroup(lengths.groupBy("at_scene", "at_centre"))
-    linked = materialise(cut_hoods.applyInPandas(_cut_node(sigmas, weight, threshold, eigen_from, convexity), "scene_id string, u long, v long"), "voxel-cuts")
+    # a task cuts the neighbourhoods of a bounded number of nodes of a scene, one after the other
+    parts = nodes.groupBy(SCENE).agg(F.ceil(F.count(F.lit(1)) / NODES).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    lengths = lengths.join(parts, SCENE).select(F.col(SCENE).alias("at_scene"), part("centre").alias("at_part"), F.col("centre").alias("at_centre"), "u", "v", "dist")
+    cut_hoods = hoods.join(parts, SCENE).withColumn("part", part("centre")).groupBy(SCENE, "part").cogroup(lengths.groupBy("at_scene", "at_part"))
+    linked = materialise(cut_hoods.applyInPandas(_cut_nodes(sigmas, weight, threshold, eigen_from, convexity), "scene_id string, u long, v long"), "voxel-cuts")
     both = linked.join(linked.select(SCENE, F.col("v").alias("u"), F.col("u").alias("v")), [SCENE, "u", "v"], "left_semi")
     # nodes left alone go to the most similar neighbour that is not
     joined = both.select(SCENE, F.col("u").alias("node")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithomesh.functions.eigen import with_eigen
+
 SCENE = "scene_id"
 BINS = ["ix", "iy", "iz"]
 
@@ -99,6 +101,31 @@ def neighbour_voxels(cells: DataFrame) -> DataFrame:
     return moved.join(there, [SCENE, "ox", "oy", "oz"])
 
 
+def neighbourhood_normals(cells: DataFrame, touching: DataFrame, same: str | None = None) -> DataFrame:
+    """Normals of voxels (scene_id, ix, iy, iz, x, y, z) from the voxels at most two steps away, towards the origin.
+
+    A voxel that several ways lead to counts once for each, and a voxel itself for each
+    way back. With ``same`` only steps between voxels with equal values of that column
+    count. Voxels with fewer than three entries have no row.
+    """
+    key = [SCENE, *BINS]
+    there = {"ix": "ox", "iy": "oy", "iz": "oz"}
+    step = touching.select(*key, *there.values())
+    if same:
+        value = cells.select(*key, F.col(same).alias("_a"))
+        step = step.join(value, key).join(value.withColumnsRenamed(there | {"_a": "_b"}), [SCENE, *there.values()]).filter("_a = _b").select(*key, *there.values())
+    else:
+        step = step.join(cells.select(*key), key)
+    second = step.select(SCENE, *[F.col(o).alias(b) for b, o in there.items()], *[F.col(b).alias(f"_{b}") for b in BINS])
+    two = second.join(step, key).select(SCENE, *[F.col(f"_{b}").alias(b) for b in BINS], *there.values())
+    none = cells.select(*key, *[F.col(b).alias(o) for b, o in there.items()])
+    ways = step.unionByName(two).unionByName(none).join(cells.select(SCENE, *[F.col(b).alias(o) for b, o in there.items()], "x", "y", "z"), [SCENE, *there.values()])
+    shape = with_eigen(scatter(ways, key, normalised=True, least=3).filter("n >= 3"))
+    near = shape.join(cells.select(*key, "x", "y", "z"), key)
+    away = sum(F.col(f"v3{c}") * F.col(c) for c in "xyz") > 0
+    return near.select(*key, *[F.when(away, -F.col(f"v3{c}")).otherwise(F.col(f"v3{c}")).alias(f"n{c}") for c in "xyz"])
+
+
 def centroids(points: DataFrame, by: list[str]) -> DataFrame:
     """Mean position, colour and unit normal of each group."""
     means = points.groupBy(*by).agg(*[F.avg(c).alias(c) for c in (*"xyz", *"rgb")], F.count(F.lit(1)).alias("n"))

@@ -7,12 +7,13 @@ are taken from its first nine components, the label is the object, and ids modul
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithomesh.operators import analysis, components, cut_pursuit, edges, features, geodesic, linkage, neighbours, regions, scoring, supervoxels, voxel_graph, voxels
 from lithomesh.operators.components import connected_components
-from lithomesh.plans.storage import materialise
+from lithomesh.plans import benchmark
+from lithomesh.plans.storage import fresh_path, materialise
 from lithomesh.sources import scans, tables
 
 SCENES = 5
@@ -179,6 +180,65 @@ def _eigen_features(s: SparkSession, d: str) -> DataFrame:
     return _rounded(features.point_features(points(s, d), knn(s, d), names), names, 5)
 
 
+def _oriented(frame: DataFrame, digits: int = 4) -> DataFrame:
+    """Normals rounded, upwards."""
+    up = F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
+    return frame.withColumns({c: F.round(F.col(c) * up, digits) + 0.0 for c in ("nx", "ny", "nz")})
+
+
+def _voxel_features(s: SparkSession, d: str) -> DataFrame:
+    by = ["scene_id", *voxels.BINS]
+    found = features.voxel_features(voxels.scatter(voxels.binned(points(s, d), CELL), by), by)
+    return _oriented(found.select(*by, *[(F.round(F.col("eigen")[i], 4) + 0.0).alias(n) for i, n in enumerate(features.VOXEL_FEATURES)], "nx", "ny", "nz"))
+
+
+def _draws(s: SparkSession, d: str) -> DataFrame:
+    """Points of 200 plane hypotheses, by their ranks in a scene."""
+    own = Window.partitionBy("scene_id")
+    ranked = points(s, d).select("scene_id", "pid", (F.row_number().over(own.orderBy("pid")) - 1).alias("i"))
+    sizes = ranked.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+    chosen = sizes.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return chosen.withColumn("i", ((F.col("h") * 37 + F.col("j") * (F.col("h") + 11)) % F.col("n")).cast("int")).join(ranked, ["scene_id", "i"])
+
+
+def _mesh_adjacency(s: SparkSession, d: str) -> DataFrame:
+    """Labels as nodes, joined by the edges of the points nearest to their centroids."""
+    p = points(s, d)
+    node = F.substring("scene_id", 2, 9).cast("long") * 100 + F.col("label")
+    owner = p.select("scene_id", "pid", node.alias("node"))
+    centres = voxels.centroids(p, ["scene_id", "label"]).select("scene_id", node.alias("pid"), "x", "y", "z")
+    return voxel_graph.mesh_adjacency(centres, p, owner, graph(s, d))
+
+
+def _stored_graph(s: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(s, "stored-graph")
+    tables.write_graph(knn(s, d), path)
+    return tables.read_graph(s, path, "s1")
+
+
+def _csv(s: SparkSession, frame: DataFrame) -> str:
+    path = fresh_path(s, "results")
+    tables.write_csv(frame, path)
+    return path
+
+
+def _concatenated(s: SparkSession, d: str) -> DataFrame:
+    one, two = (_results(s, d, flag) for flag in "AR")
+    return tables.concat_csv(s, [_csv(s, one), _csv(s, two.withColumn("Kind", F.lit("R")))]).selectExpr("cast(Name as bigint) Name", "OOA_cp", "cast(Size_cp as bigint) Size_cp", "Kind")
+
+
+def _listed_scenes(s: SparkSession, d: str) -> DataFrame:
+    path = _csv(s, table(s, d, "customer").select(F.col("c_name").alias("scenes")))
+    return scans.scenes(scans.chosen_scenes(scans.scenes_from_csv(s, path), None), ["Customer#000000001"], prefix=16)
+
+
+def _benchmark(s: SparkSession, d: str) -> DataFrame:
+    """The benchmark over two partitions that SQL can state: columns of cells, and refined labels."""
+    chosen = {"cells": lambda p, e: superpoints(s, d), "refined": lambda p, e: regions.refine_together(_sparse_labels(s, d), e), "left out": None}
+    found = benchmark.run_benchmark(points(s, d).drop("label"), objects(s, d), graph(s, d), chosen, exclude=("left out",))
+    return _rounded(found.drop("Duration_cells", "Duration_refined"), ["OOA_cells", "OOA_refined"], 9)
+
+
 def _fused(s: SparkSession, d: str) -> DataFrame:
     graph_ = knn(s, d, 2)
     found = connected_components(edges.mutual(graph_), "src", "dst")
@@ -252,25 +312,27 @@ QUERIES = {
     "edge_weights": lambda s, d: _rounded(edges.edge_weights(knn(s, d)).select("scene_id", "src", "dst", "weight"), ["weight"]),
     "fewer_neighbours": lambda s, d: edges.nearest(knn(s, d).drop("rank"), 3).select("scene_id", "src", "dst", "rank"),
     "adjacency_arrays": lambda s, d: edges.adjacency(knn(s, d)).select("scene_id", "src", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets")),
+    "mesh_adjacency": lambda s, d: _rounded(_mesh_adjacency(s, d), ["dist"]),
+    "cell_adjacency": lambda s, d: supervoxels.supervoxel_adjacency(points(s, d), superpoints(s, d), CELL),
     "complete_scenes": lambda s, d: edges.complete_sources(points(s, d), knn(s, d), NEAR),
     # paths and components
     "geodesic_hops": lambda s, d: _rounded(geodesic.geodesic_hops(graph(s, d), _seeds(s, d), 2), ["dist"]),
     "geodesic_radius": lambda s, d: _rounded(geodesic.geodesic_radius(graph(s, d), _seeds(s, d), REACH), ["dist"]),
     "geodesic_knn": lambda s, d: _rounded(geodesic.geodesic_knn(graph(s, d), _seeds(s, d), 4), ["dist"]),
     "shortest_paths": lambda s, d: _rounded(geodesic.one_to_all(graph(s, d), _seeds(s, d)), ["d"]),
-    "least_distances": lambda s, d: geodesic.least_distances(graph(s, d), 3).select("scene_id", "src", F.transform("dists", lambda x: F.round(x, 6)).alias("dists")),
+    "least_distances": lambda s, d: _rounded(geodesic.least_distances(graph(s, d), 3).select("scene_id", "src", F.posexplode("dists").alias("rank", "dist")), ["dist"]),
     "path_lengths": lambda s, d: _rounded(geodesic.path_length(graph(s, d), _seeds(s, d).select("scene_id", F.col("pid").alias("src"), (F.col("pid") + SCENES).alias("dst"))), ["dist"]),
     "components": lambda s, d: connected_components(edges.mutual(knn(s, d, 2)), "src", "dst"),
     "fused_components": _fused,
-    "random_subgraph": lambda s, d: components.random_subgraph(graph(s, d).select("scene_id", "src", "dst"), 40),
+    "random_subgraph": lambda s, d: components.random_subgraph(graph(s, d).select("scene_id", "src", "dst"), 40, order=F.col("pid")),
     # features
     "neighbour_scatter": lambda s, d: _rounded(features.neighbourhood_scatter(points(s, d), knn(s, d)), _E6),
     "point_features": lambda s, d: _rounded(features.point_features(points(s, d), knn(s, d), features.GEOF), features.GEOF, 5),
     "eigen_features": _eigen_features,
-    "all_point_features": lambda s, d: features.point_features(points(s, d), knn(s, d), features.ALL_GEOF),
-    "curvature_normals": lambda s, d: features.point_features(points(s, d), knn(s, d), features.CURVATURE),
-    "pca_normals": lambda s, d: features.pca_normals(points(s, d), knn(s, d)),
-    "voxel_features": lambda s, d: features.voxel_features(voxels.scatter(voxels.binned(points(s, d), CELL), ["scene_id", *voxels.BINS]), ["scene_id", *voxels.BINS]),
+    "all_point_features": lambda s, d: _oriented(_rounded(features.point_features(points(s, d), knn(s, d), features.ALL_GEOF), features.ALL_GEOF[:8], 5)),
+    "curvature_normals": lambda s, d: _oriented(_rounded(features.point_features(points(s, d), knn(s, d), features.CURVATURE), features.CURVATURE[:5], 5)),
+    "pca_normals": lambda s, d: _oriented(_rounded(features.pca_normals(points(s, d), knn(s, d)), ["lambda0"], 5)),
+    "voxel_features": _voxel_features,
     "perspective": lambda s, d: _rounded(voxels.perspective(points(s, d)).select("scene_id", "pid", "x", "y", "z"), ["x", "y", "z"]),
     # scans and results
     "ground_truth": lambda s, d: scans.ground_truth(_groups(s, d), _indices(s, d)),
@@ -278,6 +340,12 @@ QUERIES = {
     "scenes": lambda s, d: scans.scenes(table(s, d, "customer").select(F.col("c_name").alias("name")), ["Customer#000000001"], prefix=16),
     "small_scenes": lambda s, d: scans.small_scenes(table(s, d, "lineitem").select(F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").alias("pid")), 3),
     "wide_results": _wide,
+    "stored_graph": lambda s, d: _rounded(_stored_graph(s, d), ["dist"]),
+    "stored_results": lambda s, d: tables.read_csv(s, _csv(s, _results(s, d, "A")), "Name bigint, OOA_cp double, Size_cp bigint"),
+    "concatenated_results": _concatenated,
+    "listed_scenes": _listed_scenes,
+    "ramp": lambda s, d: _rounded(points(s, d).select("scene_id", "pid", *tables.ramp((F.col("x") + 1) / 2)), ["r", "g", "b"]),
+    "benchmark": _benchmark,
     # comparison of results
     "robust_scale": lambda s, d: _rounded(analysis.robust_scale(_orders(s, d), "price", ["o_orderpriority"]), ["median", "scale"], 4),
     "robust_inliers": lambda s, d: analysis.robust_inliers(_orders(s, d), "price", ["o_orderpriority"], 1.0).select("o_orderkey", "o_orderpriority"),
@@ -297,7 +365,7 @@ QUERIES = {
     "refined_labels_together": lambda s, d: regions.refine_together(_sparse_labels(s, d), graph(s, d)),
     "grown_regions": lambda s, d: regions.grow_regions(_seeds(s, d), graph(s, d), points(s, d).select("scene_id", "pid", "nx", "ny", "nz"), 60.0),
     "grown_scene": lambda s, d: regions.grow_scene(points(s, d).select("scene_id", "pid", "x", "y", "z").join(features.pca_normals(points(s, d), knn(s, d)), ["scene_id", "pid"]), graph(s, d), 15.0, percent=0.5),
-    "ransac_planes": lambda s, d: regions.ransac_planes(points(s, d), 0.05, 200),
+    "ransac_planes": lambda s, d: _rounded(regions.ransac_planes(points(s, d), 0.05, draws=_draws(s, d)), ["a", "b", "c", "d"]),
     "supervoxels": lambda s, d: supervoxels.supervoxels(points(s, d), 0.05, 0.2, 0.2, 0.2, 0.6, 1),
     "voxel_graph": lambda s, d: voxel_graph.segment_voxels(points(s, d), CELL, 0.3, points_min=0, adjacency_min=0, voxels_min=0),
     "supervoxel_graph": lambda s, d: voxel_graph.segment_supervoxels(points(s, d), supervoxels.supervoxels(points(s, d), 0.05, 0.2, 0.2, 0.2, 0.6, 0), 0.3),
@@ -311,14 +379,54 @@ PATHS = f"""RECURSIVE {GRAPH},
 w(scene_id, root, v, d) USING KEY (root, v) AS (SELECT scene_id, pid, pid, 0.0::double FROM p WHERE pid % 20 = 0
   UNION SELECT w.scene_id, w.root, e.dst, min(w.d + e.dist) FROM w JOIN e ON e.src = w.v LEFT JOIN recurring.w o ON o.root = w.root AND o.v = e.dst
   WHERE w.d + e.dist < coalesce(o.d, 1e300) GROUP BY 1, 2, 3)"""
-#: Eigenvalues of symmetric matrices by the trigonometric formula.
-EIGEN = f"""{KNN},
-c AS (SELECT scene_id, src AS pid, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz
-  FROM (SELECT k.scene_id, src, x, y, z FROM k JOIN p ON pid = dst UNION ALL SELECT scene_id, pid, x, y, z FROM p) GROUP BY ALL),
+#: Eigenvalues of symmetric matrices by the trigonometric formula, and the projections on eigenvectors: pab of the last, hia the sizes of all components.
+_SPECTRUM = """
 c2 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c),
 c3 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS t FROM c2),
 c4 AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * t * t * t)))) / 3 AS phi FROM c3),
-ev AS (SELECT scene_id, pid, q + 2 * t * cos(phi) AS l1, greatest(0, 3 * q - (q + 2 * t * cos(phi)) - (q + 2 * t * cos(phi + 2 * pi() / 3))) AS l2, greatest(0, q + 2 * t * cos(phi + 2 * pi() / 3)) AS l3 FROM c4)"""
+ev AS (SELECT *, q + 2 * t * cos(phi) AS l1, greatest(0, 3 * q - (q + 2 * t * cos(phi)) - (q + 2 * t * cos(phi + 2 * pi() / 3))) AS l2, greatest(0, q + 2 * t * cos(phi + 2 * pi() / 3)) AS l3 FROM c4),
+sq AS (SELECT *, xx * xx + xy * xy + xz * xz AS mxx, xy * xy + yy * yy + yz * yz AS myy, xz * xz + yz * yz + zz * zz AS mzz, xx * xz + xy * yz + xz * zz AS mxz, xy * xz + yy * yz + yz * zz AS myz FROM ev),
+pr AS (SELECT *, """ + ", ".join(f"sqrt(greatest(0, (m{c}{c} - (l{j} + l{k}) * {c}{c} + l{j} * l{k}) / ((l{i} - l{j}) * (l{i} - l{k})))) AS h{i}{c}" for i, j, k in ((1, 2, 3), (2, 1, 3), (3, 1, 2)) for c in "xyz") + """,
+  (mxz - (l1 + l2) * xz) / ((l3 - l1) * (l3 - l2)) AS pxz, (myz - (l1 + l2) * yz) / ((l3 - l1) * (l3 - l2)) AS pyz FROM sq),
+un AS (SELECT *, """ + ", ".join(f"l1 * h1{c} + l2 * h2{c} + l3 * h3{c} AS u{c}" for c in "xyz") + """, pxz / h3z AS nx, pyz / h3z AS ny, h3z AS nz, l1 + l2 + l3 AS total FROM pr)"""
+EIGEN = f"""{KNN},
+c AS (SELECT scene_id, src AS pid, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz
+  FROM (SELECT k.scene_id, src, x, y, z FROM k JOIN p ON pid = dst UNION ALL SELECT scene_id, pid, x, y, z FROM p) GROUP BY ALL),{_SPECTRUM}"""
+_SHAPE = {
+    "linearity": "(sqrt(l1) - sqrt(l2)) / sqrt(l1)", "planarity": "(sqrt(l2) - sqrt(l3)) / sqrt(l1)", "scattering": "sqrt(l3) / sqrt(l1)", "verticality": "uz / sqrt(ux * ux + uy * uy + uz * uz)",
+    "omnivariance": "l3 / total", "eigensum": "total", "anisotropy": "(l1 - l3) / l1", "eigenentropy": "-(l1 * ln(l1) + l2 * ln(l2) + l3 * ln(l3))", "curvature": "l3 / total", "lambda0": "l3 / (total + 1e-12)",
+}
+_NORMAL = ", ".join(f"round(n{c}, 4) + 0.0 AS n{c}" for c in "xyz")
+
+
+def _shape(names: list[str]) -> str:
+    return ", ".join(f"round({_SHAPE[n]}, 5) + 0.0 AS {n}" for n in names)
+
+
+_GRID_C = f"{GRID},\nc AS (SELECT {_GROUP}, " + ", ".join(f"covar_pop({a}, {b}) * count(*) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + f" FROM v GROUP BY {_GROUP} HAVING count(*) >= 4),{_SPECTRUM},\nes AS (SELECT *, l1 / sqrt(l1 * l1 + l2 * l2 + l3 * l3) AS e1, l2 / sqrt(l1 * l1 + l2 * l2 + l3 * l3) AS e2, l3 / sqrt(l1 * l1 + l2 * l2 + l3 * l3) AS e3 FROM un)"
+_VOXEL_SHAPE = {
+    "linearity": "(e1 - e2) / e1", "planarity": "(e2 - e3) / e1", "scattering": "e3 / e1", "curvature": "e3 / (e1 + e2 + e3)", "anisotropy": "(e1 - e3) / e1", "entropy": "-(e1 * ln(e1) + e2 * ln(e2) + e3 * ln(e3))", "eigensum": "e1 + e2 + e3", "omnivariance": "cbrt(e1 * e2 * e3)",
+}
+#: Components of mutual nearest neighbours, the small ones led to the largest one near.
+FUSED = f"""RECURSIVE {KNN},
+m AS (SELECT src, dst FROM k WHERE rank <= 2 AND EXISTS (SELECT 1 FROM k o WHERE o.rank <= 2 AND o.src = k.dst AND o.dst = k.src)),
+w AS (SELECT src AS id, src AS component FROM m UNION SELECT m.dst, w.component FROM w JOIN m ON m.src = w.id),
+c AS (SELECT p.scene_id, p.pid, coalesce(f.component, p.pid) AS label FROM p LEFT JOIN (SELECT id, min(component) AS component FROM w GROUP BY id) f ON f.id = p.pid),
+z AS (SELECT scene_id, label, count(*) AS n FROM c GROUP BY ALL),
+h AS (SELECT DISTINCT a.scene_id, a.label AS a, b.label AS b FROM k JOIN c a ON a.pid = src JOIN c b ON b.pid = dst WHERE a.label <> b.label),
+hh AS (SELECT scene_id, a, b FROM h UNION SELECT scene_id, b, a FROM h),
+t AS (SELECT hh.scene_id, a, b FROM hh JOIN z s ON s.label = a AND s.n < 5 JOIN z l ON l.label = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY l.n DESC, b) = 1),
+tt AS (SELECT a, b FROM t UNION SELECT b, a FROM t),
+g AS (SELECT a AS id, a AS root FROM tt UNION SELECT tt.b, g.root FROM g JOIN tt ON tt.a = g.id),
+q AS (SELECT z.label, z.n, coalesce(y.root, z.label) AS g FROM z LEFT JOIN (SELECT id, min(root) AS root FROM g GROUP BY id) y ON y.id = z.label),
+best AS (SELECT g, label AS new FROM q QUALIFY row_number() OVER (PARTITION BY g ORDER BY n >= 5 DESC, CASE WHEN n >= 5 THEN n ELSE 0 END DESC, label) = 1)"""
+#: Labels spread from the labelled points, a step of edges at a time.
+REFINED = f"""RECURSIVE {GRAPH},
+u(v, d) USING KEY (v) AS (SELECT pid, 0 FROM p WHERE pid % 7 = 0 UNION SELECT e.dst, min(u.d + 1) FROM u JOIN e ON e.src = u.v LEFT JOIN recurring.u o ON o.v = e.dst WHERE o.v IS NULL GROUP BY 1),
+w(scene_id, pid, label, d) AS (SELECT scene_id, pid, label, 0 FROM p WHERE pid % 7 = 0 UNION ALL
+  SELECT scene_id, pid, label, d FROM (SELECT e.scene_id, e.src AS pid, w.label, w.d + 1 AS d, row_number() OVER (PARTITION BY e.src ORDER BY count(*) DESC, w.label) AS r
+    FROM w JOIN e ON e.dst = w.pid JOIN u ON u.v = e.src AND u.d = w.d + 1 GROUP BY e.scene_id, e.src, w.label, w.d) WHERE r = 1),
+f AS (SELECT p.scene_id, p.pid, coalesce(w.label, top + 1) AS label FROM p LEFT JOIN w ON w.pid = p.pid JOIN (SELECT scene_id, max(label) AS top FROM w GROUP BY scene_id) b ON b.scene_id = p.scene_id)"""
 
 SQL = {
     "ooa_of_voxel_partition": _sql("SELECT scene_id, round(sum(m) / sum(a), 9) AS ooa, count(*) AS n_superpoints FROM (SELECT scene_id, s, max(n) AS m, sum(n) AS a FROM t GROUP BY ALL) GROUP BY scene_id", TABLE),
@@ -379,6 +487,32 @@ SQL = {
     "path_lengths": _sql(f"SELECT p.scene_id, p.pid AS src, p.pid + {SCENES} AS dst, round(d, 6) + 0.0 AS dist FROM p LEFT JOIN w ON w.root = p.pid AND w.v = p.pid + {SCENES} WHERE p.pid % 20 = 0", PATHS),
     "grown_regions": _sql("SELECT scene_id, root, v AS pid FROM w", f"RECURSIVE {GRAPH},\nw AS (SELECT scene_id, pid AS root, pid AS v FROM p WHERE pid % 20 = 0 UNION SELECT w.scene_id, w.root, e.dst FROM w JOIN e ON e.scene_id = w.scene_id AND e.src = w.v JOIN p a ON a.pid = w.root JOIN p b ON b.pid = e.dst WHERE acos(least(greatest(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz, -1), 1)) < radians(60))"),
     "eigen_features": _sql("SELECT scene_id, pid, round((sqrt(l1) - sqrt(l2)) / sqrt(l1), 5) + 0.0 AS linearity, round((sqrt(l2) - sqrt(l3)) / sqrt(l1), 5) + 0.0 AS planarity, round(sqrt(l3) / sqrt(l1), 5) + 0.0 AS scattering, round(l3 / (l1 + l2 + l3), 5) + 0.0 AS omnivariance, round(l1 + l2 + l3, 5) + 0.0 AS eigensum, round((l1 - l3) / l1, 5) + 0.0 AS anisotropy, round(-(l1 * ln(l1) + l2 * ln(l2) + l3 * ln(l3)), 5) + 0.0 AS eigenentropy FROM ev", EIGEN),
+    "point_features": _sql(f"SELECT scene_id, pid, {_shape(features.GEOF)} FROM un", EIGEN),
+    "all_point_features": _sql(f"SELECT scene_id, pid, {_shape(features.ALL_GEOF[:8])}, {_NORMAL} FROM un", EIGEN),
+    "curvature_normals": _sql(f"SELECT scene_id, pid, {_shape(features.CURVATURE[:5])}, {_NORMAL} FROM un", EIGEN),
+    "pca_normals": _sql(f"SELECT scene_id, pid, {_shape(['lambda0'])}, {_NORMAL} FROM un", EIGEN),
+    "voxel_features": _sql(f"SELECT o.scene_id, o.ix, o.iy, o.iz, " + ", ".join(f"coalesce(round({e}, 4) + 0.0, 0.0) AS {n}" for n, e in _VOXEL_SHAPE.items()) + ", " + ", ".join(f"coalesce(round(n{c}, 4) + 0.0, 0.0) AS n{c}" for c in "xyz") + f" FROM (SELECT DISTINCT {_GROUP} FROM v) o LEFT JOIN es ON es.scene_id = o.scene_id AND es.ix = o.ix AND es.iy = o.iy AND es.iz = o.iz", _GRID_C),
+    "least_distances": _sql("SELECT scene_id, src, rank, round(d, 6) + 0.0 AS dist FROM (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY d, dst) - 1)::int AS rank FROM m) WHERE rank < 3",
+        f"{GRAPH},\nm AS (SELECT scene_id, src, dst, min(dist) AS d FROM (SELECT scene_id, pid AS src, pid AS dst, 0.0::double AS dist FROM p UNION ALL SELECT scene_id, src, dst, dist FROM e UNION ALL SELECT a.scene_id, a.src, b.dst, a.dist + b.dist FROM e a JOIN e b ON a.dst = b.src) GROUP BY ALL)"),
+    "random_subgraph": _sql("SELECT e.scene_id, src, dst FROM e JOIN kept a ON a.v = src JOIN kept b ON b.v = dst",
+        f"RECURSIVE {GRAPH},\nw(scene_id, v, d) USING KEY (v) AS (SELECT scene_id, min(pid), 0 FROM p GROUP BY scene_id UNION SELECT w.scene_id, e.dst, min(w.d + 1) FROM w JOIN e ON e.src = w.v LEFT JOIN recurring.w o ON o.v = e.dst WHERE o.v IS NULL GROUP BY 1, 2),\nkept AS (SELECT scene_id, v FROM w QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY d, v) <= 40)"),
+    "fused_components": _sql("SELECT c.scene_id, c.pid, best.new AS label FROM c JOIN q ON q.label = c.label JOIN best ON best.g = q.g", FUSED),
+    "refined_labels_together": _sql("SELECT scene_id, pid, label FROM f", REFINED),
+    "ransac_planes": _sql(
+        "SELECT scene_id, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(c, 6) + 0.0 AS c, round(d, 6) + 0.0 AS d, inliers FROM (SELECT n.scene_id, n.h, n.a, n.b, n.c, n.d, count(*) FILTER (abs(n.a * x + n.b * y + n.c * z + n.d) <= 0.05) AS inliers FROM n JOIN p ON p.scene_id = n.scene_id GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY inliers DESC, h) = 1",
+        f"{POINTS},\nr AS (SELECT scene_id, x, y, z, row_number() OVER (PARTITION BY scene_id ORDER BY pid) - 1 AS i, count(*) OVER (PARTITION BY scene_id) AS n FROM p),\nt AS (SELECT o.scene_id, g.h, o.x, o.y, o.z, q.x - o.x AS ux, q.y - o.y AS uy, q.z - o.z AS uz, s.x - o.x AS vx, s.y - o.y AS vy, s.z - o.z AS vz FROM range(200) g(h) JOIN r o ON o.i = (h * 37) % o.n JOIN r q ON q.scene_id = o.scene_id AND q.i = (h * 37 + h + 11) % o.n JOIN r s ON s.scene_id = o.scene_id AND s.i = (h * 37 + 2 * (h + 11)) % o.n),\nx AS (SELECT *, uy * vz - uz * vy AS cx, uz * vx - ux * vz AS cy, ux * vy - uy * vx AS cz FROM t),\nl AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS l FROM x),\nn AS (SELECT scene_id, h, cx / l AS a, cy / l AS b, cz / l AS c, -(cx / l * x + cy / l * y + cz / l * z) AS d FROM l WHERE l > 0)"),
+    "mesh_adjacency": _sql(
+        "SELECT scene_id, u, v, round(min(dist), 6) + 0.0 AS dist FROM (SELECT scene_id, u, v, dist FROM j UNION ALL SELECT scene_id, v, u, dist FROM j) GROUP BY scene_id, u, v",
+        f"{GRAPH},\no AS (SELECT scene_id, pid, substr(scene_id, 2)::bigint * 100 + label AS node, x, y, z FROM p),\nce AS (SELECT scene_id, node, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM o GROUP BY ALL),\nne AS (SELECT ce.scene_id, ce.node AS u, o.pid FROM ce JOIN o ON o.scene_id = ce.scene_id QUALIFY row_number() OVER (PARTITION BY ce.scene_id, ce.node ORDER BY sqrt((o.x - ce.x) * (o.x - ce.x) + (o.y - ce.y) * (o.y - ce.y) + (o.z - ce.z) * (o.z - ce.z)), o.pid) = 1),\nj AS (SELECT ne.scene_id, ne.u, o.node AS v, e.dist FROM ne JOIN e ON e.scene_id = ne.scene_id AND e.src = ne.pid JOIN o ON o.pid = e.dst WHERE ne.u <> o.node)"),
+    "cell_adjacency": _sql("SELECT x.scene_id, x.label AS a, y.label AS b, count(*) AS n FROM s x JOIN s y ON x.scene_id = y.scene_id AND abs(x.ix - y.ix) <= 1 AND abs(x.iy - y.iy) <= 1 AND abs(x.iz - y.iz) <= 1 AND (x.ix, x.iy, x.iz) <> (y.ix, y.iy, y.iz) AND x.label <> y.label GROUP BY ALL", f"{GRID},\ns AS (SELECT DISTINCT {_GROUP}, {_CELL} AS label FROM v)"),
+    "stored_graph": _sql("SELECT scene_id, src, dst, round(dist, 6) + 0.0 AS dist, rank FROM k WHERE scene_id = 's1'", KNN),
+    "stored_results": f"WITH {BOTH}\nSELECT Name, ooa AS OOA_cp, size AS Size_cp FROM ra",
+    "concatenated_results": f"WITH {BOTH}\nSELECT Name, ooa AS OOA_cp, size AS Size_cp, NULL AS Kind FROM ra UNION ALL SELECT Name, ooa, size, 'R' FROM rr",
+    "listed_scenes": "SELECT name FROM (SELECT c_name AS name, row_number() OVER (PARTITION BY substr(c_name, 1, 16) ORDER BY c_name) AS r FROM customer) WHERE r = 1 AND name <> 'Customer#000000001'",
+    "ramp": _sql("SELECT scene_id, pid, round(least(greatest((x + 1) / 2, 0), 1), 6) + 0.0 AS r, 0.0::double AS g, round(1 - least(greatest((x + 1) / 2, 0), 1), 6) + 0.0 AS b FROM p"),
+    "benchmark": _sql(
+        "SELECT dense_rank() OVER (ORDER BY a.scene_id)::int AS ID, a.scene_id AS Name, a.n AS \"|V|\", round(a.ooa, 9) AS OOA_cells, a.k AS \"|S|_cells\", round(b.ooa, 9) AS OOA_refined, b.k AS \"|S|_refined\" FROM a JOIN b ON b.scene_id = a.scene_id",
+        REFINED + "".join(f",\n{name} AS (SELECT scene_id, sum(m) / sum(n) AS ooa, count(*) AS k, sum(n)::bigint AS n FROM (SELECT scene_id, s, max(n) AS m, sum(n) AS n FROM (SELECT p.scene_id, {s} AS s, p.label AS o, count(*) AS n FROM {source} GROUP BY ALL) GROUP BY scene_id, s) GROUP BY scene_id)" for name, s, source in (("a", _CELL, "p"), ("b", "f.label", "p JOIN f ON f.pid = p.pid")))),
     "components": _sql("SELECT id, min(component) AS component FROM w GROUP BY id", f"RECURSIVE {KNN.replace(f'rank <= {NEAR}', 'rank <= 2')},\nm AS (SELECT src, dst FROM k WHERE EXISTS (SELECT 1 FROM k o WHERE o.src = k.dst AND o.dst = k.src)),\nw AS (SELECT src AS id, src AS component FROM m UNION SELECT m.dst, w.component FROM w JOIN m ON m.src = w.id)"),
     "neighbour_scatter": _sql(f"SELECT scene_id, src AS pid, {_COV.format(least=1, times='')}, count(*) AS n FROM (SELECT k.scene_id, src, x, y, z FROM k JOIN p ON pid = dst UNION ALL SELECT scene_id, pid, x, y, z FROM p) GROUP BY scene_id, src", KNN),
     "perspective": _sql("SELECT scene_id, pid, round(x / z, 6) + 0.0 AS x, round(y / z, 6) + 0.0 AS y, round(ln(z), 6) + 0.0 AS z FROM p WHERE z > 0"),

@@ -96,7 +96,7 @@ def _grow_scene(angle: float, distance: float | None, percent: float | None):
     def run(points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         points = points.sort_values("pid").reset_index(drop=True)
         at = {p: i for i, p in enumerate(points["pid"].tolist())}
-        xyz, normal, flat = points[["x", "y", "z"]].to_numpy(), points[["nx", "ny", "nz"]].to_numpy(), points["lambda0"].to_numpy()
+        xyz, normal, flat = points[["x", "y", "z"]].to_numpy(), points[["nx", "ny", "nz"]].to_numpy(), points["lambda0"].to_numpy().round(12)
         near: list[list[int]] = [[] for _ in at]
         for u, v in zip(edges["src"].tolist(), edges["dst"].tolist()):
             if u in at and v in at:
@@ -126,7 +126,7 @@ def grow_scene(points: DataFrame, edges: DataFrame, angle: float, distance: floa
     """Greedy region growing from the flattest points on, by the angle between normals and a distance or a share of flat points.
 
     Points are (scene_id, pid, x, y, z, nx, ny, nz, lambda0); the order decides, so a
-    scene is one task; ties go to the smaller id.
+    scene is one task; ties, of lambda0 to twelve digits, go to the smaller id.
     """
     prepare_workers(points.sparkSession)
     own = points.select(SCENE, F.col("pid").cast("long").alias("pid"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "nx", "ny", "nz", "lambda0")])

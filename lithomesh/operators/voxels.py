@@ -106,7 +106,7 @@ def neighbourhood_normals(cells: DataFrame, touching: DataFrame, same: str | Non
 
     A voxel that several ways lead to counts once for each, and a voxel itself for each
     way back. With ``same`` only steps between voxels with equal values of that column
-    count. Voxels with fewer than three entries have no row.
+    count. Where the entries lie on a line no normal is the least, and there is no row.
     """
     key = [SCENE, *BINS]
     there = {"ix": "ox", "iy": "oy", "iz": "oz"}
@@ -120,7 +120,7 @@ def neighbourhood_normals(cells: DataFrame, touching: DataFrame, same: str | Non
     two = second.join(step, key).select(SCENE, *[F.col(f"_{b}").alias(b) for b in BINS], *there.values())
     none = cells.select(*key, *[F.col(b).alias(o) for b, o in there.items()])
     ways = step.unionByName(two).unionByName(none).join(cells.select(SCENE, *[F.col(b).alias(o) for b, o in there.items()], "x", "y", "z"), [SCENE, *there.values()])
-    shape = with_eigen(scatter(ways, key, normalised=True, least=3).filter("n >= 3"))
+    shape = with_eigen(scatter(ways, key, normalised=True, least=3).filter("n >= 3")).filter("l2 - l3 > 1e-9 * (l1 + l2 + l3)")
     near = shape.join(cells.select(*key, "x", "y", "z"), key)
     away = sum(F.col(f"v3{c}") * F.col(c) for c in "xyz") > 0
     return near.select(*key, *[F.when(away, -F.col(f"v3{c}")).otherwise(F.col(f"v3{c}")).alias(f"n{c}") for c in "xyz"])

@@ -155,6 +155,11 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("price"))
 
 
+def _skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a figure that has outliers."""
+    return _orders(spark, sf_dir).withColumn("price", F.pow(F.col("price") / 1000, F.lit(4.0)))
+
+
 ORDERS = "o AS (SELECT o_orderkey, o_orderpriority, o_totalprice::double AS price FROM orders),\nq AS (SELECT o_orderpriority, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM o GROUP BY 1),\nl AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q)"
 
 
@@ -353,7 +358,7 @@ QUERIES = {
     "renamed_results": lambda s, d: analysis.rename_columns(analysis.drop_columns(_results(s, d, "A"), ["cp"], ["Size"]), {"cp": "pursuit"}, ["OOA"]),
     "common_scenes": lambda s, d: analysis.common_scenes(table(s, d, "orders").select(F.col("o_custkey").alias("Name"), F.col("o_orderkey").alias("ID")), table(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("Name"))),
     "outlier_fences": lambda s, d: _rounded(analysis.fences(_orders(s, d), "price", ["o_orderpriority"]), ["q1", "q3", "low", "high"], 4),
-    "outliers": lambda s, d: analysis.outliers(_orders(s, d), "price", ["o_orderpriority"]).select("o_orderkey", "o_orderpriority"),
+    "outliers": lambda s, d: analysis.outliers(_skewed(s, d), "price", ["o_orderpriority"]).select("o_orderkey", "o_orderpriority"),
     "without_outliers": lambda s, d: analysis.without_outliers(_both(s, d), ["OOA_cp_P", "OOA_cp_M"]).select("Name"),
     "summary": lambda s, d: _rounded(analysis.describe(_orders(s, d), "price", ["o_orderpriority"]), ["mean", "std", "q25", "q50", "q75"], 3),
     "box_statistics": lambda s, d: _rounded(analysis.box(_orders(s, d), "price", ["o_orderpriority"]), ["q1", "q3", "median", "whisker_low", "whisker_high"], 4),
@@ -527,7 +532,7 @@ SQL = {
     "renamed_results": f"WITH {BOTH}\nSELECT Name, ooa AS OOA_pursuit FROM ra",
     "common_scenes": "WITH f AS (SELECT o_custkey AS Name, o_orderkey AS ID, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)\nSELECT Name, ID FROM f WHERE n <> 2 AND r = 1 AND Name IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
     "outlier_fences": f"WITH {ORDERS}\nSELECT o_orderpriority, round(q1, 4) AS q1, round(q3, 4) AS q3, round(low, 4) AS low, round(high, 4) AS high FROM l",
-    "outliers": f"WITH {ORDERS}\nSELECT o_orderkey, o.o_orderpriority FROM o JOIN l ON l.o_orderpriority = o.o_orderpriority WHERE price >= high OR price <= low",
+    "outliers": f"WITH {ORDERS.replace('o_totalprice::double AS', 'power(o_totalprice::double / 1000, 4) AS')}\nSELECT o_orderkey, o.o_orderpriority FROM o JOIN l ON l.o_orderpriority = o.o_orderpriority WHERE price >= high OR price <= low",
     "without_outliers": f"WITH {BOTH},\nx AS (SELECT quantile_cont(a, 0.25) AS a1, quantile_cont(a, 0.75) AS a3, quantile_cont(b, 0.25) AS b1, quantile_cont(b, 0.75) AS b3 FROM j)\nSELECT Name FROM j, x WHERE NOT (a >= a3 + 1.5 * (a3 - a1) OR a <= a1 - 1.5 * (a3 - a1) OR b >= b3 + 1.5 * (b3 - b1) OR b <= b1 - 1.5 * (b3 - b1))",
     "summary": f"WITH {ORDERS}\nSELECT o_orderpriority, count(price) AS n, round(avg(price), 3) AS mean, round(stddev_samp(price), 3) AS std, round(quantile_cont(price, 0.25), 3) AS q25, round(quantile_cont(price, 0.5), 3) AS q50, round(quantile_cont(price, 0.75), 3) AS q75 FROM o GROUP BY 1",
     "box_statistics": f"WITH {ORDERS}\nSELECT o.o_orderpriority, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, round(quantile_cont(price, 0.5), 4) AS median, round(min(price) FILTER (price BETWEEN low AND high), 4) AS whisker_low, round(max(price) FILTER (price BETWEEN low AND high), 4) AS whisker_high, count(*) FILTER (NOT (price BETWEEN low AND high)) AS n_outliers FROM o JOIN l ON l.o_orderpriority = o.o_orderpriority GROUP BY 1",

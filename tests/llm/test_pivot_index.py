@@ -93,3 +93,20 @@ def test_registered_query(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = pivot_index.op9_pivot_index(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == [(i, int(near[i].sum()), int(label[i]), label[i] == i) for i in range(len(x))]
+
+
+@pytest.mark.parametrize("count", [512, 1024, 2048])
+def test_recall_of_pairs_at_the_threshold(count):
+    """Retrieval alone: pairs of vectors at a cosine of 0.9, with no group around them."""
+    rng = np.random.default_rng(31)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for dim in (16, 64):
+        pivots = pivot_index._far_apart(unit(rng.normal(size=(pivot_index.SAMPLE * count, dim))), count, 0.9)
+        x = unit(rng.normal(size=(2000, dim)))
+        away = rng.normal(size=x.shape)
+        away = unit(away - (away * x).sum(1, keepdims=True) * x)
+        near = [np.argsort(-(v @ pivots.T), axis=1)[:, : pivot_index.PREFIX] for v in (x, 0.9 * x + np.sqrt(1 - 0.81) * away)]
+        home = [(a[:, :1] == b).any(1) for a, b in (near, near[::-1])]
+        shared = (near[0][:, :, None] == near[1][:, None]).sum((1, 2))
+        found = (home[0] | home[1]) & (shared >= pivot_index.SHARED)
+        assert found.mean() >= 0.95, (dim, found.mean())

@@ -18,9 +18,9 @@ linked. Only what neither positions nor derived bounds decide is compared in ful
 sets that resemble one pivot in blocks, where each set is sent once a block and not
 once a pair, others in pairs.
 
-Elements are 64-bit hashes of shingles and sets are 128-bit hashes of their sorted
+Elements are 64-bit hashes of shingles and sets are 96-bit hashes of their sorted
 elements. Two different shingles of one pair of documents are taken for one with a
-probability under 1e-10, two different sets of ten billion with one under 1e-18.
+probability under 1e-10, two different sets of ten billion with one under 1e-8.
 """
 
 from __future__ import annotations
@@ -90,9 +90,9 @@ def shingles(text: bytes | None, hashes: WordHashes, k: int = WORDS) -> np.ndarr
 
 
 def set_key(elements: np.ndarray) -> tuple[int, int]:
-    """A 128-bit hash as two signed 64-bit numbers."""
-    a, b = np.frombuffer(xxhash.xxh3_128_digest(elements.tobytes()), np.int64).tolist()
-    return a, b
+    """A 96-bit hash as a signed 64-bit and an unsigned 32-bit number."""
+    digest = xxhash.xxh3_128_digest(elements.tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:12], "little")
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -220,7 +220,7 @@ def _postings(classes, buckets: int):
                 used, at = np.unique(row[lo:hi], return_inverse=True)
                 delta = np.diff(e[lo:hi], prepend=np.uint64(0))
                 flagged = (at.astype(np.uint32) << np.uint32(2)) | kind[lo:hi]
-                out.append((b, int(hi - lo), len(used), _pack([delta, flagged, place[lo:hi]]), _pack([keys[used, 0], keys[used, 1], sizes[used], ends[used], often[used]])))
+                out.append((b, int(hi - lo), len(used), _pack([delta, flagged, place[lo:hi]]), _pack([keys[used, 0], keys[used, 1].astype(np.uint32), sizes[used], ends[used], often[used]])))
             held.clear()
             size = 0
             c = list(zip(*out))
@@ -281,9 +281,9 @@ def _lists(batches):
     for batch in batches:
         for n, m, postings, nodes in zip(*(batch.column(x).to_pylist() for x in ("n", "sets", "postings", "nodes"))):
             delta, flagged, place = _unpack(postings, n, [np.uint64, np.uint32, np.uint32])
-            keys, keys2, sizes, ends, often = _unpack(nodes, m, [np.int64, np.int64, np.uint32, np.uint32, np.uint32])
+            keys, keys2, sizes, ends, often = _unpack(nodes, m, [np.int64, np.uint32, np.uint32, np.uint32, np.uint32])
             at = flagged >> np.uint32(2)
-            parts.append((np.cumsum(delta, dtype=np.uint64), keys[at], keys2[at], sizes[at], ends[at], place, often[at], flagged & np.uint32(3)))
+            parts.append((np.cumsum(delta, dtype=np.uint64), keys[at], keys2[at].astype(np.int64), sizes[at], ends[at], place, often[at], flagged & np.uint32(3)))
     if not parts:
         return
     columns = [np.concatenate(x) for x in zip(*parts)]
@@ -350,19 +350,22 @@ def _compare(batches):
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """n_a, n_b and overlap of each pair (a, b) of ids.
 
-    A document of more than ``PAIRS`` pairs, as a pivot of many, is dealt out: its text
-    is sent once for each so many pairs, and they meet it by a hash of the other document.
+    A document of many pairs, as a pivot, is dealt out: its text is sent once for each
+    so many pairs, and they meet it by a hash of the other document. Texts are shuffled
+    once for both sides.
     """
     pairs = materialise(pairs.select("a", "b"), "jaccard-pairs")
-
-    def meet(rows: DataFrame, side: str, other: str) -> DataFrame:
-        hot = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts")).filter("parts > 1")
-        parts = F.coalesce("parts", F.lit(1))
-        own = texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")).join(hot, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-        return rows.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("parts").join(own, [side, "part"]).drop("part")
-
-    both = meet(meet(pairs, "b", "a"), "a", "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, n_a long, n_b long, overlap long")
+    # so at most 200,000 documents are dealt out and told to all tasks
+    most = max(PAIRS, pairs.count() // 100_000)
+    counts = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    hot = F.broadcast(materialise(counts.select("id", F.ceil(F.col("n") / most).alias("parts")), "jaccard-hot"))
+    sent = texts.select("id", "text").join(hot, "id", "left").select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"), "text")
+    for side, other in ("ab", "ba"):
+        own = hot.select(F.col("id").alias(side), "parts")
+        pairs = pairs.join(F.broadcast(own), side, "left").withColumn(f"part_{side}", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    for side in "ba":
+        pairs = pairs.join(sent.select(F.col("id").alias(side), F.col("part").alias(f"part_{side}"), F.col("text").alias(f"text_{side}")), [side, f"part_{side}"]).drop(f"part_{side}")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, n_a long, n_b long, overlap long")
 
 
 LINKED = "100 * overlap >= 75 * (n_a + n_b - overlap)"

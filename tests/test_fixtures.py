@@ -129,7 +129,11 @@ def test_knn(spark, k):
         assert [j for _, j in sorted(got[i])] == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 50, 1 << 18])
+def test_components(spark, monkeypatch, few):
+    from lithomesh.operators import components
+
+    monkeypatch.setattr(components, "FEW", few)
     rng = np.random.default_rng(3)
     pairs = rng.integers(0, 300, size=(220, 2))
     label = list(range(300))
@@ -141,7 +145,8 @@ def test_components(spark):
     assert all(got[int(a)] == label[a] and got[int(b)] == label[b] for a, b in pairs)
     assert {got[i] for i in range(400, 900)} == {400} and {got[i] for i in range(1000, 1101)} == {1000}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
-    assert connected_components(spark.createDataFrame([(5, 5), (None, 2)], "src long, dst long")).collect() == [(5, 5)]
+    loops = spark.createDataFrame([(5, 5), (None, 2), (7, 7), (7, 6), (9, 9), (8, 9)], "src long, dst long")
+    assert sorted(map(tuple, connected_components(loops).collect())) == [(5, 5), (6, 6), (7, 6), (8, 8), (9, 8)]
 
 
 def test_regions(spark):

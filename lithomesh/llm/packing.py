@@ -27,7 +27,7 @@ from lithomesh.plans.session import prepare_workers
 #: Windows that a batch fills.
 BATCH_WINDOWS = 256
 #: Ids short of full windows that a batch is taken with, for each window: differencing rarely leaves exactly equal sums.
-SLACK = 6
+SLACK = 12
 #: Share of a batch that windows beyond the fewest may add as padding.
 PADDING = 0.005
 #: Documents are joined to items of at least this many ids, so a batch has a bounded number of items.

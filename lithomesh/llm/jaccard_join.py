@@ -696,3 +696,15 @@ def group_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS e FROM w WHERE len(w) > 0),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN z p ON p.doc_id = x JOIN z q ON q.doc_id = y WHERE 100 * o >= 75 * (p.n + q.n - o)),
+c AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id
+FROM documents d LEFT JOIN z ON z.doc_id = d.doc_id JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) ON id = d.doc_id
+"""

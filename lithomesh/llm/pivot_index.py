@@ -248,3 +248,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 def op9_pivot_index(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs; the index finds all where a length has few vectors, as in tables up to 511 rows.
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.id),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, root = vec_id AS kept
+FROM v JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) ON id = vec_id LEFT JOIN n ON x = vec_id
+"""

@@ -21,4 +21,6 @@ SQL = {
     "op3_content_sort": content_sort.OP3_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
+    "op8_jaccard": jaccard_join.OP8_SQL,
+    "op9_pivot_index": pivot_index.OP9_SQL,
 }

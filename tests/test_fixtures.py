@@ -78,6 +78,17 @@ def test_paths_against_brute_force(spark):
         assert r.dist == pytest.approx(np.sort(d[r.src][np.isfinite(d[r.src])])[r.rank])
 
 
+def test_long_paths_take_few_jobs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(geodesic, "materialise", lambda df, tag, f=geodesic.materialise: written.append(tag) or f(df, tag))
+    n = 40
+    e = spark.createDataFrame([("s", *x, 1.0) for i in range(n - 1) for x in ((i, i + 1), (i + 1, i))], "scene_id string, src long, dst long, dist double")
+    ends = spark.createDataFrame([("s", 0, n - 1), ("s", 5, 5), ("s", 99, 3), ("s", 4, None), (None, 1, 2)], "scene_id string, src long, dst long")
+    got = {(r.scene_id, r.src, r.dst): r.dist for r in geodesic.path_length(e, ends).collect()}
+    assert got == {("s", 0, n - 1): n - 1, ("s", 5, 5): 0, ("s", 99, 3): None, ("s", 4, None): None, (None, 1, 2): None}
+    assert len(written) <= 6
+
+
 def test_refine(spark):
     p = partition(spark, [5, -1, -1, 7, -1])
     assert [r.label for r in regions.refine(p, chain(spark)).orderBy("pid").collect()] == [5, 5, 5, 7, 8]

@@ -160,8 +160,13 @@ def _whole(edges: DataFrame, pairs: DataFrame, all_pairs: bool, prune: Callable[
 
 
 def one_to_all(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Path lengths from each source (scene_id, pid) to all vertices it reaches; others have no row."""
-    return _relax(_roots(sources), edges)
+    """Path lengths from each source (scene_id, pid) to all vertices it reaches; others have no row.
+
+    A source without edges reaches itself. Edges without ends or a finite length, and
+    sources without an id or a scene, are left out; repeated ones do no harm. Lengths
+    are not negative.
+    """
+    return _whole(edges, _roots(sources).select(*STATE), all_pairs=True)
 
 
 def all_to_all(edges: DataFrame) -> DataFrame:
@@ -174,8 +179,7 @@ def path_length(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A search goes on only over paths that are shorter than the longest one found so
     far to a root's targets, once all of these have one. Pairs without an end or a
-    scene stay, with null. Edges without ends or a finite
-    length are left out; repeated ones do no harm. Lengths are not negative.
+    scene stay, with null; edges are taken as by ``one_to_all``.
     """
     wanted = materialise(pairs.select(SCENE, F.col("src").alias("root"), F.col("dst").alias("v")).distinct(), "geodesic-pairs")
 

@@ -86,9 +86,36 @@ def test_long_paths_take_few_jobs(spark, monkeypatch):
     ends = spark.createDataFrame([("s", 0, n - 1), ("s", 5, 5), ("s", 99, 3), ("s", 4, None), (None, 1, 2)], "scene_id string, src long, dst long")
     got = {(r.scene_id, r.src, r.dst): r.dist for r in geodesic.path_length(e, ends).collect()}
     assert got == {("s", 0, n - 1): n - 1, ("s", 5, 5): 0, ("s", 99, 3): None, ("s", 4, None): None, (None, 1, 2): None}
+    every = {(r.root, r.v): r.d for r in geodesic.all_to_all(e).collect()}
+    assert every == {(i, j): abs(i - j) for i in range(n) for j in range(n)}
     assert len(written) <= 6
 
 
+@pytest.mark.parametrize("held, step, states", [(1 << 20, 1 << 16, 1 << 21), (1 << 20, 3, 40), (60, 5, 100), (0, 1, 1)])
+def test_scenes_are_searched_in_tasks_or_rounds(spark, monkeypatch, held, step, states):
+    """Scenes of both kinds, directed edges, repeated ones, and ones without ends or a finite length."""
+    for name, value in {"HELD": held, "STEP": step, "STEP_EDGES": 2 * step, "STATES": states, "DEALT": 400, "BATCH": 7}.items():
+        monkeypatch.setattr(geodesic, name, value)
+    rng = np.random.default_rng(3)
+    rows, lengths = [], {}
+    for scene, n in (("s", 12), ("t", 25)):
+        w = np.where(rng.random((n, n)) < 0.13, rng.random((n, n)), np.inf)
+        rows += [(scene, int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(np.isfinite(w)))]
+        np.fill_diagonal(w, 0)
+        for k in range(n):
+            w = np.minimum(w, w[:, k : k + 1] + w[k : k + 1])
+        lengths[scene] = w
+    odd = [("s", 0, None, 1.0), ("s", None, 1, 1.0), ("s", 0, 11, None), ("s", 0, 11, float("inf")), ("s", 0, 11, float("nan")), (None, 0, 11, 0.0)]
+    e = spark.createDataFrame(rows + rows[:9] + odd, "scene_id string, src long, dst long, dist double")
+    sources = spark.createDataFrame([(s, i) for s in "st" for i in range(0, 12, 2)] + [("s", 0), ("u", 1), ("s", None), (None, 3)], "scene_id string, pid long")
+    got = {(r.scene_id, r.root, r.v): pytest.approx(r.d) for r in geodesic.one_to_all(e, sources).collect()}
+    want = {(s, i, j): d[i, j] for s, d in lengths.items() for i in range(0, 12, 2) for j in range(len(d)) if np.isfinite(d[i, j])}
+    assert got == want | {("u", 1, 1): 0}
+    pairs = [(s, i, j) for s, d in lengths.items() for i in range(0, len(d), 3) for j in range(1, len(d), 5)]
+    found = {(r.scene_id, r.src, r.dst): r.dist for r in geodesic.path_length(e, spark.createDataFrame(pairs * 2, "scene_id string, src long, dst long")).collect()}
+    assert found == {(s, i, j): pytest.approx(lengths[s][i, j]) if np.isfinite(lengths[s][i, j]) else None for s, i, j in pairs}
+
+
 def test_refine(spark):
     p = partition(spark, [5, -1, -1, 7, -1])
     assert [r.label for r in regions.refine(p, chain(spark)).orderBy("pid").collect()] == [5, 5, 5, 7, 8]

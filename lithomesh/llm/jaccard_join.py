@@ -147,37 +147,58 @@ def _sets(batches):
     count()
     size = 1 << PART_BITS
     parts = [(i, counts[i * size : (i + 1) * size]) for i in range(len(counts) // size)]
-    rows = [(i, _pack([c])) for i, c in parts if c.any()]
+    rows = [(i, int(c.sum(dtype=np.int64)), _pack([c])) for i, c in parts if c.any()]
     if rows:
-        m = len(rows)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array([r[1] for r in rows], pa.int64()), none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=names)
 
 
-def _add_parts(batches):
-    """Sums of sketch parts, as quarter powers of two and totals."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-            one = _unpack(blob, 1 << PART_BITS, [np.uint32])[0]
-            sums[part] = sums[part] + one if part in sums else one.astype(np.uint64)
-    if sums:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([int(x.sum()) for x in sums.values()], pa.int64()), pa.array([(4 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["part", "total", "levels"]
-        )
+def _add_parts(usual: float):
+    """Sums of sketch parts as classes, of the parts in which a count is more than usual."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
+                one = _unpack(blob, 1 << PART_BITS, [np.uint32])[0]
+                sums[part] = sums[part] + one if part in sums else one.astype(np.uint64)
+        level_class = np.ceil(np.maximum(0, np.arange(256) - usual) / 4).astype(np.uint8)
+        classes = {part: level_class[(4 * np.log2(x + 1.0)).astype(np.uint8)] for part, x in sums.items()}
+        rows = [(part, _pack([x])) for part, x in classes.items() if x.any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "classes"])
+
+    return run
+
 
+class Classes:
+    """For each slot of the sketch 0 where its count is usual, else the power of two by which it is more.
+
+    Travels compressed; a worker spreads it out once.
+    """
+
+    def __init__(self, parts: dict[int, bytes]):
+        self.parts = parts
+        self._table: np.ndarray | None = None
+
+    def table(self) -> np.ndarray:
+        if self._table is None:
+            self._table = np.zeros(1 << SKETCH_BITS, np.uint8)
+            for part, blob in self.parts.items():
+                self._table[part << PART_BITS : (part + 1) << PART_BITS] = _unpack(blob, 1 << PART_BITS, [np.uint8])[0]
+        return self._table
 
-def rarity_classes(sketch: DataFrame, partitions: int) -> np.ndarray:
-    """For each slot 0 where its count is usual, else the power of two by which it is more.
 
-    The sketch covers all documents and has a fixed size, which bounds what comes to
-    the driver and what is broadcast (16 MB).
+def rarity_classes(sketch: DataFrame, partitions: int) -> Classes:
+    """The classes of all slots.
+
+    The sketch covers all documents and has a fixed size. Only its total and the parts
+    with counts that are not usual come to the driver, compressed, and are broadcast.
     """
-    rows = sketch.select("part", "blob").repartition(partitions, "part").mapInArrow(_add_parts, "part int, total long, levels binary").collect()
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in rows:
-        levels[r["part"] << PART_BITS : (r["part"] + 1) << PART_BITS] = np.frombuffer(r["levels"], np.uint8)
-    usual = 4 * np.log2(2 * sum(r["total"] for r in rows) / len(levels) + 5)
-    return np.ceil(np.maximum(0, np.arange(256) - usual) / 4).astype(np.uint8)[levels]
+    total = sketch.agg(F.sum("n")).first()[0] or 0
+    usual = float(4 * np.log2(2 * total / (1 << SKETCH_BITS) + 5))
+    rows = sketch.select("part", "blob").repartition(partitions, "part").mapInArrow(_add_parts(usual), "part int, classes binary").collect()
+    return Classes({r["part"]: bytes(r["classes"]) for r in rows})
 
 
 def indexed(n: int) -> int:
@@ -193,7 +214,7 @@ def _postings(classes, buckets: int):
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def run(batches):
-        table = classes.value
+        table = classes.value.table()
         hashes, seen = WordHashes(), set()
         held: list[tuple] = []
         size = 0
@@ -358,13 +379,22 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # so at most 200,000 documents are dealt out and told to all tasks
     most = max(PAIRS, pairs.count() // 100_000)
     counts = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    hot = F.broadcast(materialise(counts.select("id", F.ceil(F.col("n") / most).alias("parts")), "jaccard-hot"))
+    hot = materialise(counts.select("id", F.ceil(F.col("n") / most).alias("parts")), "jaccard-hot")
+    if hot.isEmpty():
+        for side in "ba":
+            pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
+        return _compared(pairs)
+    hot = F.broadcast(hot)
     sent = texts.select("id", "text").join(hot, "id", "left").select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"), "text")
     for side, other in ("ab", "ba"):
         own = hot.select(F.col("id").alias(side), "parts")
         pairs = pairs.join(F.broadcast(own), side, "left").withColumn(f"part_{side}", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
     for side in "ba":
         pairs = pairs.join(sent.select(F.col("id").alias(side), F.col("part").alias(f"part_{side}"), F.col("text").alias(f"text_{side}")), [side, f"part_{side}"]).drop(f"part_{side}")
+    return _compared(pairs)
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, n_a long, n_b long, overlap long")
 
 
@@ -585,12 +615,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(rarity_classes(first.filter("part is not null"), max(8, partitions)))
     reps = materialise(sets.filter("key is not null and id is not null").groupBy(*both).agg(F.min("id").alias("node"), F.max("n").alias("n")), "jaccard-reps")
     # A quarter of the shingles is indexed, so buckets grow with the data and what a worker holds of lists does not.
-    postings = (reps.agg(F.sum("n")).first()[0] or 0) // 4
+    shape = reps.groupBy("node").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).agg(F.sum("n").alias("n"), F.max("k").alias("k")).first()
+    postings = (shape["n"] or 0) // 4
+    several = (shape["k"] or 0) > 1
     buckets = 1 << (max(64, partitions, postings // BUCKET) - 1).bit_length()
 
     texts = named.filter("id is not null")
     blobs = texts.mapInArrow(_postings(classes, buckets), "bucket int, n int, sets int, postings binary, nodes binary")
     lists = materialise(blobs.repartition(buckets, "bucket").mapInArrow(_lists, LISTS), "jaccard-lists")
+    classes.destroy()
 
     def named_pairs(pairs):
         """Keys of sets to the ids of their first documents, the smaller one first."""
@@ -605,8 +638,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # What each set shares with one pivot, of those it was compared with the one compared most.
     sides = starred.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "overlap", "n_a", "n_b").union(starred.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "overlap", "n_a", "n_b"))
-    many = reps.groupBy("node").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("node")
-    sides = sides.join(many, "node", "left_anti").join(many.select(F.col("node").alias("pivot")), "pivot", "left_anti")
+    if several:
+        many = reps.groupBy("node").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("node")
+        sides = sides.join(many, "node", "left_anti").join(many.select(F.col("node").alias("pivot")), "pivot", "left_anti")
     sides = sides.filter("4 * overlap >= n_a + n_b - overlap").select("node", "pivot", "overlap")
     degrees = sides.groupBy(F.col("node").alias("pivot")).agg(F.count(F.lit(1)).alias("d"))
     ranked = sides.join(degrees, "pivot").select("node", "pivot", "overlap", "d")
@@ -615,7 +649,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = materialise(near, "jaccard-near")
     cells = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= BIG_CELL)
     labels = comps.select(F.col("id").alias("node"), "component")
-    placed = reps.groupBy("node").agg(F.max("n").alias("n")).join(labels, "node", "left").join(near.join(cells.select("pivot", "size"), "pivot", "left"), "node", "left")
+    largest = reps.groupBy("node").agg(F.max("n").alias("n")) if several else reps.select("node", "n")
+    placed = largest.join(labels, "node", "left").join(near.join(cells.select("pivot", "size"), "pivot", "left"), "node", "left")
     placed = placed.select(
         "node",
         "n",

@@ -26,6 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithomesh.plans.session import bound_parser_caches
 from lithomesh.plans.storage import materialise
 
 # The base kinds in their order, with their patterns.
@@ -131,6 +132,7 @@ def _two_sided(z: str) -> str:
 
 def _spans(docs: DataFrame, text: Column) -> DataFrame:
     """Base spans and tested tokens of each row: columns ``assign``, ``access``, ``hex`` and ``tokens``."""
+    bound_parser_caches(docs.sparkSession)
     located = (
         docs.withColumn("_t", text)
         .withColumn("assign", F.expr(f"filter({_located('_t', ASSIGN)}, m -> length(regexp_extract(m.match, {_quoted(ASSIGN)}, 2)) >= {ASSIGN_VALUE})"))

@@ -33,3 +33,13 @@ def prepare_workers(spark: SparkSession, batch_rows: int | None = None) -> None:
         package = Path(__file__).resolve().parent.parent
         context.addPyFile(shutil.make_archive(f"{folder}/lithomesh-code", "zip", package.parent, package.name))
         _shipped.add(context)
+
+
+def bound_parser_caches(spark: SparkSession) -> None:
+    """Bound what the SQL parser keeps of the expressions it has read, a setting of the session.
+
+    Long expressions with nested functions leave some 25 MB in the driver for good, a
+    heap several times as large between collections; reading the next takes a second more.
+    """
+    spark.conf.set("spark.sql.parser.manageParserCaches", "true")
+    spark.conf.set("spark.sql.parser.parserDfaCacheFlushThreshold", "500")

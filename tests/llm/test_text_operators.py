@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import pickle
 import re
 import time
 import zlib
@@ -254,6 +255,23 @@ def test_jaccard_chains_passages_and_thresholds(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
 
 
+def test_jaccard_sketch_stays_small_in_the_driver(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard_join, "rarity_classes", lambda *x, f=jaccard_join.rarity_classes: seen.append(f(*x)) or seen[-1])
+    texts = ["the same five words here " + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(40)]
+    rows = [(i, x) for i, x in enumerate([*texts, *texts[:5], "", None])]
+    jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    (classes,) = seen
+    assert len(pickle.dumps(classes)) < 1 << 16
+    # of distinct sets, as one task sees them
+    counts, hashes = np.zeros(1 << jaccard_join.SKETCH_BITS), jaccard_join.WordHashes()
+    for x in texts:
+        counts[(jaccard_join.shingles(x.encode(), hashes) >> np.uint64(64 - jaccard_join.SKETCH_BITS)).astype(int)] += 1
+    levels, usual = (4 * np.log2(counts + 1)).astype(np.uint8), 4 * np.log2(2 * counts.sum() / len(counts) + 5)
+    assert (classes.table() == np.ceil(np.maximum(0, levels - usual) / 4)).all()
+    assert classes.table().max() == 3
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard_by_small_blocks(spark, monkeypatch, tmp_path, seed):
     """Clusters that resemble each other, passages in most documents, repeated texts and ids: the registered query equals brute force."""

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lithomesh.operators.components import connected_components
 from lithomesh.plans.session import prepare_workers
-from lithomesh.plans.storage import discard, materialise
+from lithomesh.plans.storage import discard, materialise, release_shuffles
 
 WORDS = 5
 #: Elements by smallest hash whose lists the first round reads.
@@ -624,6 +624,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blobs = texts.mapInArrow(_postings(classes, buckets), "bucket int, n int, sets int, postings binary, nodes binary")
     lists = materialise(blobs.repartition(buckets, "bucket").mapInArrow(_lists, LISTS), "jaccard-lists")
     classes.destroy()
+    release_shuffles(spark)
 
     def named_pairs(pairs):
         """Keys of sets to the ids of their first documents, the smaller one first."""
@@ -632,6 +633,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return b.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
     starred = materialise(compare(named_pairs(lists.filter("element is null").select(*both, "other", "other2").distinct()), texts), "jaccard-compared")
+    release_shuffles(spark)
     # several sets of one id are one document
     found = starred.filter(LINKED)
     comps = materialise(connected_components(found, "a", "b"), "jaccard-components")
@@ -664,16 +666,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = lists.filter("element is not null").withColumn("n", F.col("n").cast("long")).join(reps.drop("n"), both).drop(*both).join(placed.drop("n"), "node")
     labelled = members.select("element", "node", "comp", "n", "place", "until", "often", "pivot", F.when(F.col("pivot") == F.col("node"), F.col("n")).otherwise(F.col("common")).alias("common"), "cell")
     crossing = materialise(labelled.repartition(buckets, "element").mapInArrow(_cross_pairs, CROSS), "jaccard-crossing")
+    discard(lists, near)
+    release_shuffles(spark)
     left = crossing.filter("a is not null").groupBy("a", "b").agg(F.max("rest").alias("rest"), F.sum("shared").alias("shared")).filter("7 * shared + rest >= 0").select("a", "b")
     left = left.join(starred.select("a", "b"), ["a", "b"], "left_anti")
     rest = materialise(compare(left, texts).filter(LINKED).select("a", "b"), "jaccard-linked")
+    release_shuffles(spark)
 
     meetings = materialise(crossing.filter("cell_a is not null").select("cell_a", "cell_b").distinct(), "jaccard-cells")
     if meetings.limit(1).count():
         rest = rest.union(materialise(_cell_links(meetings, placed, texts), "jaccard-linked"))
     if rest.limit(1).count():
         comps = materialise(connected_components(found.select("a", "b").union(rest), "a", "b"), "jaccard-components")
-    discard(starred, lists, near, placed, crossing, meetings)
+    discard(starred, placed, crossing, meetings)
+    release_shuffles(spark)
 
     return (
         sets.join(reps.drop("n"), both, "left")

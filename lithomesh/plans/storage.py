@@ -88,3 +88,12 @@ def discard(*tables: DataFrame) -> None:
         if path in _written:
             _delete(df.sparkSession, path)
             del _written[path]
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let shuffle files of ended jobs go.
+
+    Spark deletes them when the driver collects its garbage, which may be long after;
+    between the steps of an operator that shuffles much they would add up.
+    """
+    spark._jvm.System.gc()

@@ -256,11 +256,13 @@ def test_jaccard_chains_passages_and_thresholds(spark):
 
 
 def test_jaccard_sketch_stays_small_in_the_driver(spark, monkeypatch):
-    seen = []
+    seen, released = [], []
+    monkeypatch.setattr(jaccard_join, "release_shuffles", lambda s, f=jaccard_join.release_shuffles: released.append(f(s)))
     monkeypatch.setattr(jaccard_join, "rarity_classes", lambda *x, f=jaccard_join.rarity_classes: seen.append(f(*x)) or seen[-1])
     texts = ["the same five words here " + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(40)]
     rows = [(i, x) for i, x in enumerate([*texts, *texts[:5], "", None])]
     jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(released) >= 5  # shuffle files of one step do not wait for the end of the next
     (classes,) = seen
     assert len(pickle.dumps(classes)) < 1 << 16
     # of distinct sets, as one task sees them
